@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from seamline.llm import byte_bpe, quality_rules, simhash, token_counts
+from seamline.llm import byte_bpe, quality_rules, secrets, simhash, token_counts
 
-MODULES = (simhash, token_counts, byte_bpe, quality_rules)
+MODULES = (simhash, token_counts, byte_bpe, quality_rules, secrets)
 
 
 def queries() -> dict:
