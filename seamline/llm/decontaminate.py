@@ -22,7 +22,8 @@ joins the documents to the starts, broadcast if at most `broadcast_rows`
 documents have any, else shuffled by id.
 
 Null and empty texts have no shingles and are never contaminated; items without
-words are ignored; repeated items each report. Documents with equal ids are
+words are ignored, and items of fewer than five words only meet documents of
+the same words; repeated items each report. Documents with equal ids are
 looked at together (the best window counts); null ids form one such group.
 Windows are clipped at the document's ends. Extra columns are ignored; empty
 tables give an empty result.

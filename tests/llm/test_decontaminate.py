@@ -20,7 +20,7 @@ def brute(docs, items):
         w = (text or "").lower().split()
         for j, item in items:
             b = (item or "").lower().split()
-            if b and w:
+            if b and w and (len(b) >= 5 or w == b):
                 if any(similarity(shingles(w[s : s + len(b)]), shingles(b)) >= 0.8 for s in range(len(w))):
                     out.add((i, j))
     return out
