@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from seamline.llm import byte_bpe, decontaminate, quality_rules, secrets, simhash, token_counts
+from seamline.llm import byte_bpe, decontaminate, quality_rules, secrets, shards, simhash, token_counts
 
-MODULES = (simhash, token_counts, byte_bpe, quality_rules, secrets, decontaminate)
+MODULES = (simhash, token_counts, byte_bpe, quality_rules, secrets, decontaminate, shards)
 
 
 def queries() -> dict:
