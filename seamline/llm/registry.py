@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from seamline.llm import byte_bpe, decontaminate, quality_rules, secrets, shards, simhash, token_counts
+from seamline.llm import byte_bpe, decontaminate, quality_rules, secrets, shards, simhash, token_counts, warc
 
-MODULES = (simhash, token_counts, byte_bpe, quality_rules, secrets, decontaminate, shards)
+MODULES = (simhash, token_counts, warc, byte_bpe, quality_rules, secrets, decontaminate, shards, warc)
 
 
 def queries() -> dict:
