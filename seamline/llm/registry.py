@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from seamline.llm import byte_bpe, decontaminate, quality_rules, secrets, shards, simhash, token_counts, warc
+from seamline.llm import byte_bpe, decontaminate, passages, quality_rules, secrets, shards, simhash, token_counts, warc
 
-MODULES = (simhash, token_counts, warc, byte_bpe, quality_rules, secrets, decontaminate, shards, warc)
+MODULES = (simhash, token_counts, warc, byte_bpe, quality_rules, secrets, decontaminate, shards, warc, passages)
 
 
 def queries() -> dict:
