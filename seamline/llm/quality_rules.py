@@ -70,7 +70,9 @@ def text_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.size("lines").cast("long").alias("n_lines"),
         windows.alias("h"),
     )
-    return hashed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("h")).alias("n_repeat_words"), "n_lines")
+    out = hashed.select("doc_id", F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("h")).alias("n_repeat_words"), "n_lines").alias("s"))
+    # a generator: filters on the statistics must not move below it and compute them again
+    return out.select("doc_id", F.explode_outer(F.array("s")).alias("s")).select("doc_id", "s.*")
 
 
 def share(a: str, b: str) -> Column:

@@ -129,7 +129,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """doc_id, text, base and added: arrays of spans (start, kind_no, kind, stop), and
     all: both by start, then kind."""
     found = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    found = found.withColumn("base", base_spans(F.col("text"))).withColumn("rid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id"))))
+    found = found.withColumn("base", base_spans(F.col("text"))).withColumn("rid", F.xxhash64(F.col("doc_id")))
     scores = train(found, sample)
     none = F.array().cast(SPAN)
     if scores is None:
