@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from seamline.plans import judging
+from seamline.plans import judging, shapes, texts
 
-MODULES = (judging,)
+MODULES = (judging, shapes, texts)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
