@@ -19,6 +19,10 @@ from seamline.llm import byte_bpe, decontaminate, quality_rules, secrets, simhas
 from seamline.llm.shared import table, written
 
 
+#: Labelled documents that train the quality rules, those with the smallest hash of their id.
+SAMPLE = 20_000
+
+
 def whole(docs: DataFrame) -> DataFrame:
     """docs as (doc, text): all columns in one, and the text."""
     return docs.select(F.struct(*docs.columns).alias("doc"), "text")
@@ -27,9 +31,11 @@ def whole(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base nor the learned decision list rejects."""
     labels = table(spark, sf_dir, "labels")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    # at most SAMPLE ids, so they are broadcast and no text is shuffled
+    ids = labels.where("quality is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    labelled = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     stats = written(quality_rules.text_statistics(labelled), "labelled-statistics")
-    rules = quality_rules.learn(stats, labels)
+    rules = quality_rules.learn(stats, labels, SAMPLE)
     judged = quality_rules.judged(quality_rules.text_statistics(whole(docs), "doc", "text"), rules)
     return judged.where("kept").select("doc_id.*")
 

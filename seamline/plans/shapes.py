@@ -58,11 +58,11 @@ def polygon_elongation(spark, sf):
 
 @query("""WITH p AS (SELECT vec_id, i, (embedding[2 * i + 1]::DOUBLE + 0.5) * 1280 AS x, (embedding[2 * i + 2]::DOUBLE + 0.5) * 720 AS y FROM embeddings, range(0, 32) r(i)),
 n AS (SELECT vec_id, i, greatest(0.0::DOUBLE, least(1.0::DOUBLE, x / 1280)) AS x, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y / 720)) AS y FROM p)
-SELECT vec_id, count(*)::INT AS points, round(sum(x), 4) AS sx, round(sum(y), 4) AS sy FROM n GROUP BY vec_id""")
+SELECT vec_id, count(*)::INT AS points, round(sum(x), 1) AS sx, round(sum(y), 1) AS sy FROM n GROUP BY vec_id""")
 def normalize_polygon(spark, sf):
     px = F.transform("p", lambda p: F.struct(((p["x"] + 0.5) * 1280).alias("x"), ((p["y"] + 0.5) * 720).alias("y")))
     norm = polygons(spark, sf).select("vec_id", G.normalised(px, F.lit(1280.0), F.lit(720.0)).alias("n"))
-    return norm.select("vec_id", F.size("n").alias("points"), F.round(G.total(F.col("n"), lambda p: p["x"]), 4).alias("sx"), F.round(G.total(F.col("n"), lambda p: p["y"]), 4).alias("sy"))
+    return norm.select("vec_id", F.size("n").alias("points"), F.round(G.total(F.col("n"), lambda p: p["x"]), 1).alias("sx"), F.round(G.total(F.col("n"), lambda p: p["y"]), 1).alias("sy"))
 
 
 @query("SELECT quantile_cont(value, 0.33) AS lo, quantile_cont(value, 0.67) AS hi FROM events WHERE value > 0")
