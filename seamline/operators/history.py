@@ -98,11 +98,11 @@ def weak_retrieval(history: DataFrame, below: float = 0.45, size: int = 16) -> D
 
 
 def citations(uses: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Clauses by number of uses (ties by first use), numbered from 0, with their group."""
+    """Clauses by number of uses (ties by first use, then clause), numbered from 0, with their group."""
     counted = uses.groupBy("clause").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seen"))
     joined = counted.join(clauses, "clause")
     # a row per clause: the rank needs one task over the clause list, not over the uses
-    return joined.withColumn("idx", F.row_number().over(W.orderBy(F.desc("n"), "first_seen")) - 1)
+    return joined.withColumn("idx", F.row_number().over(W.orderBy(F.desc("n"), "first_seen", "clause")) - 1)
 
 
 def coverage(uses: DataFrame, clauses: DataFrame) -> DataFrame:

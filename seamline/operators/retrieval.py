@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions import geometry as G
+from seamline.operators.blocks import against
 
 
 def ngrams(text: Column) -> Column:
@@ -63,17 +64,13 @@ def cosine(a: Column, b: Column) -> Column:
 def scaled(scores: DataFrame, value: str, by: str = "query_id") -> DataFrame:
     """Min-max scaling over all rows of a query, by one aggregation joined back."""
     ends = scores.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return scores.join(F.broadcast(ends), by).withColumn(value, (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)).drop("_lo", "_hi")
+    return scores.join(ends, by).withColumn(value, (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)).drop("_lo", "_hi")
 
 
 def hybrid(chunks: DataFrame, lexical: DataFrame, queries: DataFrame, weight: float = 0.6, id_column: str = "chunk_no") -> DataFrame:
-    """All chunks against all queries (number checked): weight * cosine + (1 - weight)
+    """All chunks against all queries, in blocks of queries: weight * cosine + (1 - weight)
     * scaled BM25; chunks without a shared term take part in the scaling with 0."""
-    n = queries.limit(1001).count()
-    if n > 1000:
-        raise ValueError("more than 1000 queries; search in batches")
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("_q")))
-    pairs = chunks.join(q)
+    pairs = against(chunks, queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
     both = pairs.join(lexical, ["query_id", id_column], "left").withColumn("bm", F.coalesce("bm", F.lit(0.0)))
     return scaled(both, "bm").withColumn("dense", cosine(F.col("embedding"), F.col("_q"))).withColumn("score", weight * F.col("dense") + (1 - weight) * F.col("bm")).drop("_q")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.operators import profiles as P
+from seamline.operators.blocks import against
 
 # Similarities of different distribution classes (either way round).
 CLOSE = {("산재", "군집"): 0.5, ("산재", "선상"): 0.3, ("군집", "선상"): 0.3, ("단독", "산재"): 0.2, ("단독", "군집"): 0.2}
@@ -46,15 +47,12 @@ def compared(a: str, b: str) -> Column:
     return F.struct((coarse * (1 - FINE) + fine * FINE).alias("score"), dist.alias("s_distribution"), shape.alias("s_shape"), size.alias("s_size"), fine.alias("s_fine"))
 
 
-def scored(queries: DataFrame, cases: DataFrame, most_queries: int = 10_000) -> DataFrame:
-    """Every query against every case: cases stream past the broadcast queries, whose
-    number is checked. Columns query_id, case_id, q, c and the score's parts."""
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search in batches")
+def scored(queries: DataFrame, cases: DataFrame) -> DataFrame:
+    """Every query against every case, in blocks of queries. Columns query_id, case_id,
+    q, c and the score's parts."""
     q = queries.select(F.col("image").alias("query_id"), F.struct(*FIELDS).alias("q"))
     c = cases.select(F.col("image").alias("case_id"), F.struct(*FIELDS).alias("c"), *(["verdict"] if "verdict" in cases.columns else []))
-    return c.join(F.broadcast(q)).withColumn("s", compared("q", "c")).select("query_id", "case_id", "q", "c", *(["verdict"] if "verdict" in cases.columns else []), "s.*")
+    return against(c, q, "query_id").withColumn("s", compared("q", "c")).select("query_id", "case_id", "q", "c", *(["verdict"] if "verdict" in cases.columns else []), "s.*")
 
 
 def ranked(pairs: DataFrame, k: int, digits: int = 9) -> DataFrame:

@@ -145,15 +145,15 @@ def retrieval_failures(spark, sf):
     return H.weak_retrieval(cases(spark, sf))
 
 
-USES = "u AS (SELECT l_partkey AS clause, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_partkey % 50 < 3), c AS (SELECT p_partkey AS clause, p_type AS grp FROM part WHERE p_partkey % 50 < 4)"
+USES = "u AS (SELECT l_partkey AS clause, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), c AS (SELECT p_partkey AS clause, p_type AS grp FROM part)"
 
 
 def uses_and_clauses(spark, sf):
-    uses = table(spark, sf, "lineitem").where("l_partkey % 50 < 3").select(F.col("l_partkey").alias("clause"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    return uses, table(spark, sf, "part").where("p_partkey % 50 < 4").select(F.col("p_partkey").alias("clause"), F.col("p_type").alias("grp"))
+    uses = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("clause"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return uses, table(spark, sf, "part").select(F.col("p_partkey").alias("clause"), F.col("p_type").alias("grp"))
 
 
-@query(f"WITH {USES}, n AS (SELECT clause, count(*) AS n, min(seq) AS first_seen FROM u GROUP BY clause) SELECT clause, n, first_seen, grp, row_number() OVER (ORDER BY n DESC, first_seen) - 1 AS idx FROM n JOIN c USING (clause)")
+@query(f"WITH {USES}, n AS (SELECT clause, count(*) AS n, min(seq) AS first_seen FROM u GROUP BY clause) SELECT clause, n, first_seen, grp, row_number() OVER (ORDER BY n DESC, first_seen, clause) - 1 AS idx FROM n JOIN c USING (clause)")
 def citation_usage(spark, sf):
     return H.citations(*uses_and_clauses(spark, sf))
 

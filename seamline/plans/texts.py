@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seamline.operators import chunking as C
 from seamline.operators import dataset as D
 from seamline.operators import retrieval as R
+from seamline.operators.blocks import against
 from seamline.sources import files as S
 from seamline.plans.proxies import table
 
@@ -34,9 +35,9 @@ def char_ngrams(spark, sf):
     return rows.select("doc_id", F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
 
 
-#: Queries of the search smoke test: benchmark texts.
+#: Queries of the searches: the benchmark texts whose id is divisible by 100.
 def questions(spark, sf):
-    return table(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
+    return table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 def lexical(spark, sf):
@@ -47,7 +48,7 @@ def lexical(spark, sf):
 V_BM25 = f"""v_t AS (SELECT doc_id AS chunk_no, unnest({GRAMS}) AS term FROM (SELECT doc_id, {NORM} AS t FROM documents)),
 v_post AS (SELECT chunk_no, term, count(*) AS tf FROM v_t GROUP BY ALL), v_len AS (SELECT chunk_no, sum(tf) AS dl FROM v_post GROUP BY chunk_no),
 v_n AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(dl) FROM v_len) AS terms),
-v_q AS (SELECT query_id, unnest({GRAMS}) AS term FROM (SELECT item_id AS query_id, {NORM.replace('text', 'text[1:40]')} AS t FROM benchmark WHERE item_id < 5)), v_qt AS (SELECT query_id, term, count(*) AS qtf FROM v_q GROUP BY ALL),
+v_q AS (SELECT query_id, unnest({GRAMS}) AS term FROM (SELECT item_id AS query_id, {NORM} AS t FROM benchmark WHERE item_id % 100 = 0)), v_qt AS (SELECT query_id, term, count(*) AS qtf FROM v_q GROUP BY ALL),
 v_df AS (SELECT term, count(*) AS df FROM v_post GROUP BY term),
 v_bm AS (SELECT query_id, chunk_no, sum(qtf * ln((docs + 1) / df::DOUBLE) * (tf * 2.5::DOUBLE / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (terms / docs::DOUBLE)) + tf))) AS bm FROM v_post JOIN v_qt USING (term) JOIN v_df USING (term) JOIN v_len USING (chunk_no), v_n GROUP BY ALL)"""
 
@@ -69,16 +70,16 @@ def vectors(spark, sf):
 
 
 def asked(spark, sf):
-    return vectors(spark, sf).where("chunk_no < 5").select(F.col("chunk_no").alias("query_id"), "embedding")
+    return vectors(spark, sf).where("chunk_no % 100 = 0").select(F.col("chunk_no").alias("query_id"), "embedding")
 
 
-V_DENSE = "v_dense AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_no, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dense FROM embeddings q, embeddings c WHERE q.vec_id < 5)"
+V_DENSE = "v_dense AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_no, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dense FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)"
 
 
 @query(f"WITH {V_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 6) DESC, chunk_no) AS rank FROM v_dense QUALIFY rank <= 5) SELECT query_id, chunk_no, rank::INT AS rank, round(dense, 4) AS dense FROM r")
 def dense_search(spark, sf):
-    q = F.broadcast(asked(spark, sf).withColumnRenamed("embedding", "q"))  # five rows
-    return top(vectors(spark, sf).join(q).withColumn("dense", R.cosine(F.col("embedding"), F.col("q"))), "dense")
+    q = asked(spark, sf).withColumnRenamed("embedding", "q")
+    return top(against(vectors(spark, sf), q, "query_id").withColumn("dense", R.cosine(F.col("embedding"), F.col("q"))), "dense")
 
 
 def fused(spark, sf):
@@ -169,10 +170,10 @@ def class_split_counts(spark, sf):
     return D.by_class_and_split(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("class"), F.when(F.col("o_orderkey") % 10 < 8, "train").otherwise("val").alias("split")))
 
 
-@query("SELECT doc_id, 'no label' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT vec_id, 'no image' FROM embeddings WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT doc_id, 'no label' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT vec_id, 'no image' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
 def anti_join_verify(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
-    labels = table(spark, sf, "labels").select("doc_id").union(table(spark, sf, "embeddings").where("vec_id % 50 = 0").select("vec_id").join(docs, F.col("vec_id") == docs.doc_id, "left_anti"))
+    labels = table(spark, sf, "labels").select("doc_id").union(table(spark, sf, "embeddings").select("vec_id").join(docs, F.col("vec_id") == docs.doc_id, "left_anti"))
     return D.unmatched(docs, labels, "doc_id")
 
 
