@@ -3,14 +3,14 @@
 Texts are lower-cased words; a shingle is five of them (fewer words: the whole
 text). A document is contaminated by an item if one of its windows of the
 item's length has a weighted (multiset) Jaccard similarity of `similarity` or
-more with the item's shingles. Looked at are the windows in which a shingle
-stands at the same place as in the item: a window that is similar shares most
-shingles, and one that shares none at the same place has a neighbour, shifted by
-the words added or left out, that does.
+more with the item's shingles. Looked at are all windows that hold enough
+shingles of items of the length, at any places and in any order: a similar window
+shares at least `similarity` times its item's shingles.
 
 1. One pass over all shingles of all documents, joined to the index of item
-   shingles, gives the window starts (document, item length, start). The index
-   is broadcast if it has at most `broadcast_rows` rows, else shuffled.
+   shingles, gives the places that items of a length share, and these the window
+   starts (document, item length, start). The index is broadcast if it has at
+   most `broadcast_rows` rows, else shuffled.
 2. Windows get a 64-bit SimHash; so do items. Both are cut into errors + 1 blocks
    of bits; two fingerprints within `errors` bits agree on a block, so the join
    on (length, block number, block) finds all of them. 24 bits are far out in
@@ -67,6 +67,21 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(BITS)), F.lit(0), lambda acc, i: acc + F.when(F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)), 1).otherwise(0))
 
 
+def window_starts(at: Column, places: Column, similarity: float) -> Column:
+    """All starts of windows of `places` shingles that hold enough of the places `at`
+    (sorted) for the similarity: two multisets, one of them of `places`, share
+    similarity * places or more; windows at a text's start are clipped there."""
+    need = F.greatest(F.ceil(similarity * places - 1e-9).cast("int"), F.lit(1))
+    n = F.size(at)
+
+    def around(i: Column) -> Column:
+        first, last = F.get(at, i), F.get(at, i + need - 1)
+        low = F.greatest(last - places + 1, F.lit(0))
+        return F.when(low <= first, F.sequence(low, F.greatest(low, first))).otherwise(F.array().cast("array<int>"))
+
+    return F.when(n >= need, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - need, F.lit(0))), around)))).otherwise(F.array().cast("array<int>"))
+
+
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as multisets, by one walk over both, sorted."""
     tagged = F.array_sort(F.concat(F.transform(a, lambda x: F.struct(x.alias("h"), F.lit(1).alias("a"))), F.transform(b, lambda x: F.struct(x.alias("h"), F.lit(0).alias("a")))))
@@ -93,17 +108,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     items = lowered(benchmark, (item_column, "item_id")).where("size(w) > 0")
     items = items.select("item_id", F.size("w").alias("n_words"), shingle_hashes(w, size).alias("h"))
     items = written(items.withColumn("fp", simhash(F.col("h"))), "items")
-    index = items.select(F.posexplode("h").alias("place", "h"), "n_words").groupBy("h", "place", "n_words").agg(F.lit(1).alias("one")).drop("one")
-    index = written(index, "item-index")
+    index = written(items.select(F.explode("h").alias("h"), "n_words").distinct(), "item-index")
     hashed = lowered(docs, (id_column, "doc_id")).select("doc_id", shingle_hashes(w, size).alias("h"))
     # outer: else Spark infers a filter on h and computes it inside its own lambda, once per word
     spread = hashed.select("doc_id", F.posexplode_outer("h").alias("at", "h"))
     small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    starts = spread.join(small(index), "h").select("doc_id", "n_words", F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("start")).distinct()
-    starts = written(starts.groupBy("doc_id").agg(F.collect_set(F.struct("n_words", "start")).alias("windows")), "starts")
+    places = F.greatest(F.col("n_words") - (size - 1), F.lit(1))
+    hits = spread.join(small(index), "h").groupBy("doc_id", "n_words").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    starts = hits.withColumn("start", F.explode(window_starts(F.col("at"), places, similarity))).select("doc_id", "n_words", "start")
+    starts = written(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "start")).alias("windows")), "starts")
     few = small(starts.select(F.col("doc_id").alias("hit"), "windows"))
     hit = hashed.join(few, F.col("doc_id").eqNullSafe(F.col("hit"))).select("doc_id", "h", F.explode_outer("windows").alias("x")).select("doc_id", "x.*", "h")
-    places = F.greatest(F.col("n_words") - (size - 1), F.lit(1))
     windows = hit.select("doc_id", "n_words", "start", F.slice("h", F.col("start") + 1, places).alias("h"))
     windows = written(windows.withColumn("fp", simhash(F.col("h"))), "windows")
     blocks = lambda df, *keep: df.select(*keep, "n_words", "fp", F.explode(block_keys(F.col("fp"), errors)).alias("b")).select(*keep, "n_words", "fp", "b.*")

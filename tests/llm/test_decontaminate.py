@@ -70,3 +70,19 @@ def test_repeated_and_null_ids_and_empty_tables(spark):
     assert sorted((str(r.doc_id), r.item_id, r.similarity) for r in d.contaminated(a, b).collect()) == [("1", 5, 1.0), ("1", 6, 1.0), ("None", 5, 1.0), ("None", 6, 1.0)]
     assert d.contaminated(a.limit(0), b).count() == 0
     assert d.contaminated(a, b.limit(0)).count() == 0
+
+
+def test_leak_with_reordered_parts_is_found(spark):
+    rng = random.Random(35)
+    words = lambda n: ["r%d" % rng.randrange(100_000) for _ in range(n)]
+    items, docs = [], []
+    for k in range(6):
+        parts = [words(30), words(30)] if k % 2 else [words(60), words(12), words(60)]
+        items.append((k, " ".join(sum(parts, []))))
+        docs.append((k, " ".join(words(40) + sum(parts[::-1], []) + words(40 if k < 4 else 0))))
+    want = brute(docs, items)
+    assert len(want) == 6
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = d.contaminated(a, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.start_word == 40 for r in got)
