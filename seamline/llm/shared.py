@@ -15,11 +15,13 @@ WHITE = r"\x20\x09-\x0D"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a temporary folder
-    of this machine is taken.
+    Only where that setting is absent and Spark runs in one process (tests) a
+    temporary folder of this machine is taken; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(shared_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="seamline-")
         shared_folder.own = found
     return found.rstrip("/")
@@ -43,6 +45,23 @@ def erased(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], counted: DataFrame | None = None, most: int = 1024, least: int = 256) -> DataFrame:
+    """many.join(one, keys), for a table `one` with a row for each key at most, and a table
+    `many` where some keys may hold a large part of the rows: those over 1 / most of
+    `counted` (the rows of many with their keys; fewer than `most` keys, so they are
+    broadcast) are dealt into parts, and the rows of `one` repeated for each. Null keys meet nothing."""
+    rows = many if counted is None else counted
+    limit = max(least, rows.count() // most)
+    hot = written(rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("_parts")), "hot-keys")
+    if hot.isEmpty():
+        return many.join(one, keys)
+    plain = [c for c, kind in rows.dtypes if kind in ("string", "bigint", "int", "double")]
+    salt = F.coalesce(F.pmod(F.xxhash64(*plain), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    copies = one.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
