@@ -1,27 +1,31 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction (operator 7).
 
-A text is cut into leaves; the encodings of neighbouring leaves are joined
-pairwise up a tree. A join only re-encodes a window around the border and keeps
-all tokens outside, which is exact for two reasons:
+Every text is halved down to leaves, and the encodings of neighbouring leaves are
+joined pairwise up a tree. A join re-encodes a window around the border that grows
+until the tokens outside it are proven stable, and keeps these:
 
 * between pretokens: white space after a word character always starts a
-  pretoken, whatever stands before or after. The window grows on both sides to
-  such a place; tokens beyond it do not depend on the other side;
-* inside one pretoken (long texts without white space): a token sequence is an
-  encoding exactly if every two neighbours are. The window of tokens doubles
-  until its re-encoding begins and ends with the same tokens as before; then
-  all pairs beyond it are as they were.
+  pretoken, whatever stands before or after. The window doubles on either side
+  until it reaches such a place; tokens beyond it do not depend on the other side;
+* inside one pretoken: it is halved down to `small` bytes, which are merged by rank,
+  lowest first. A token sequence is an encoding exactly if every two neighbours
+  are, so the window of tokens around a border doubles until its re-encoding
+  begins and ends with the same tokens as before; then all pairs beyond it are as
+  they were.
 
-Decoding concatenates the bytes of the tokens up the same kind of tree.
+Encodings of pretokens are kept in a bounded table for the next time. Decoding
+concatenates the bytes of the tokens up the same kind of tree.
 
 Null and empty texts give no tokens and empty bytes. Rows are kept one for one,
-repeated rows and ids included; other columns are ignored. Work is a map over
-rows without a shuffle, with memory in proportion to the longest text.
+repeated rows and ids included; other columns are ignored, whatever their names.
+Texts may be of any length; work is a map over rows without a shuffle, with
+memory in proportion to the longest text.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -37,36 +41,51 @@ BORDER = re.compile(r"(?<=\w)[ \n]")
 
 
 class TreeCodec:
-    """Encodes by joins in a tree over leaves of at most `leaf` characters or bytes."""
+    """Encodes by joins in a tree, over leaves of `leaf` characters and pretokens' leaves
+    of `small` bytes. joins and grown count the joins, and those whose window had to grow."""
 
-    def __init__(self, encoding, leaf: int = 4096) -> None:
-        self.encoding, self.leaf = encoding, leaf
-        self.size = [len(b) for b in encoding.decode_tokens_bytes(range(encoding.n_vocab))]
-        self.pattern = None
+    TABLE = 1 << 19
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 512, small: int = 12) -> None:
+        import regex
+
+        self.ranks, self.leaf, self.small = ranks, leaf, small
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for b, i in ranks.items():
+            self.tokens[i] = b
+        self.size = [len(b) for b in self.tokens]
+        self.pretokens = regex.compile(pattern).findall
+        self.known: dict[str, list[int]] = {}
+        self.joins = self.grown = 0
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
-        cuts = list(range(0, len(text), self.leaf)) + [len(text)]
-        level = [(a, b, self.encoding.encode_ordinary(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+        cuts = [*range(0, len(text), self.leaf), len(text)]
+        level = [(a, b, self.cut(text[a:b])) for a, b in zip(cuts, cuts[1:])]
         while len(level) > 1:
             joined = [self.join(text, *level[i], *level[i + 1][1:]) for i in range(0, len(level) - 1, 2)]
             level = joined + level[len(joined) * 2 :]
-        return level[0][2]
+        return level[0][2] if level else []
 
     def join(self, text: str, lo: int, mid: int, left: list[int], hi: int, right: list[int]) -> tuple[int, int, list[int]]:
         """The encoding of text[lo:hi] from those of text[lo:mid] and text[mid:hi]."""
-        if BORDER.match(text, mid):
-            return lo, hi, left + right
-        p, reach = lo, 64
-        while mid - lo > reach // 2:
-            if found := [m.start() for m in BORDER.finditer(text, max(lo + 1, mid - reach), mid)]:
-                p = found[-1]
-                break
-            reach *= 2
-        # a border right of mid needs its word character right of mid too
-        m = BORDER.search(text, mid + 1, hi)
-        q = m.start() if m else hi
+        self.joins += 1
+        p, q, reach = mid, mid, 16
+        if not BORDER.match(text, mid):
+            p, q = lo, hi
+            while mid - lo > reach // 2:
+                if found := [m.start() for m in BORDER.finditer(text, max(lo + 1, mid - reach), mid)]:
+                    p = found[-1]
+                    break
+                reach *= 2
+                self.grown += 1
+            # a border right of mid needs its word character right of mid too
+            reach = 16
+            while hi - mid > reach // 2:
+                if m := BORDER.search(text, mid + 1, min(mid + reach, hi)):
+                    q = m.start()
+                    break
+                reach *= 2
+                self.grown += 1
         keep, n = len(left), len(text[p:mid].encode("utf-8", "surrogatepass"))
         while n > 0:
             keep -= 1
@@ -75,33 +94,71 @@ class TreeCodec:
         while n > 0:
             n -= self.size[right[skip]]
             skip += 1
-        return lo, hi, left[:keep] + self.window(text[p:q]) + right[skip:]
-
-    def window(self, text: str) -> list[int]:
-        if len(text) <= 2 * self.leaf:
-            return self.encoding.encode_ordinary(text)
-        if self.pattern is None:
-            import regex
-
-            self.pattern = regex.compile(self.encoding._pat_str)
-        return [t for piece in self.pattern.findall(text) for t in self.piece(piece.encode("utf-8", "surrogatepass"))]
+        return lo, hi, left[:keep] + self.cut(text[p:q]) + right[skip:]
+
+    def cut(self, text: str) -> list[int]:
+        """The pretokens of a piece of text, one after another."""
+        out: list[int] = []
+        known = self.known
+        for x in self.pretokens(text):
+            ids = known.get(x)
+            if ids is None:
+                ids = self.piece(x.encode("utf-8", "surrogatepass"))
+                if len(x) <= 64:
+                    if len(known) >= self.TABLE:
+                        known.clear()
+                    known[x] = ids
+            out += ids
+        return out
 
     def piece(self, b: bytes) -> list[int]:
         """One pretoken, in halves."""
-        if len(b) <= self.leaf:
-            return self.encoding._encode_single_piece(b)
+        if len(b) <= self.small:
+            return self.merged(b)
         left, right = self.piece(b[: len(b) // 2]), self.piece(b[len(b) // 2 :])
-        w = 4
+        self.joins += 1
+        w = 1
         while True:
             a, z = left[-w:], right[:w]
-            mid = self.encoding._encode_single_piece(self.decode(a) + self.decode(z))
-            if (len(a) == len(left) or mid[0] == a[0]) and (len(z) == len(right) or mid[-1] == z[-1]):
+            mid = self.merged(self.decode(a) + self.decode(z))
+            # the outermost tokens must stay, or be the ends of the pretoken's halves
+            if (len(a) == len(left) or mid[0] == a[0]) and (len(z) == len(right) or mid[-1] == z[-1]) and (w > 1 or len(a) == len(left) and len(z) == len(right)):
                 return left[: len(left) - len(a)] + mid + right[len(z) :]
             w *= 2
+            self.grown += 1
+
+    def merged(self, b: bytes) -> list[int]:
+        """Neighbours merged as long as their bytes together have a rank, lowest rank first, leftmost of equal ones."""
+        n = len(b)
+        if n == 0:
+            return []
+        ranks = self.ranks
+        if (whole := ranks.get(b)) is not None:
+            return [whole]
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(b[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            if ends[i] < 0 or ends[i] >= n or ends[ends[i]] != end:
+                continue  # one of the two has been merged since
+            gone = ends[i]
+            ends[i], ends[gone] = end, -1
+            if end < n:
+                before[end] = i
+                if (r := ranks.get(b[i : ends[end]])) is not None:
+                    heapq.heappush(heap, (r, i, ends[end]))
+            if (p := before[i]) >= 0 and (r := ranks.get(b[p:end])) is not None:
+                heapq.heappush(heap, (r, p, end))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[b[i : ends[i]]])
+            i = ends[i]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf:
-            return self.encoding.decode_bytes(ids)
+            return b"".join([self.tokens[i] for i in ids])
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -109,18 +166,16 @@ class TreeCodec:
 _codecs: dict[tuple, TreeCodec] = {}
 
 
-def codec(path: str, pattern: str, leaf: int = 4096) -> TreeCodec:
+def codec(path: str, pattern: str, leaf: int = 512) -> TreeCodec:
     """The process's codec for a rank file."""
     if (path, pattern, leaf) not in _codecs:
-        import tiktoken
-
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _codecs[path, pattern, leaf] = TreeCodec(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), leaf)
+        _codecs[path, pattern, leaf] = TreeCodec(ranks, pattern, leaf)
     return _codecs[path, pattern, leaf]
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", leaf: int = 4096, rows: int = 512) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", leaf: int = 512, rows: int = 512) -> DataFrame:
     """One row per document: id, ids array<int>, decoded binary (of these ids).
 
     rows: documents in one batch that goes back to Spark.
@@ -149,7 +204,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def digests(docs: DataFrame, ranks: str, pattern: str, leaf: int = 4096) -> DataFrame:
+def digests(docs: DataFrame, ranks: str, pattern: str, leaf: int = 512) -> DataFrame:
     """Per document the number of tokens and SHA-256 of ids and of decoded bytes."""
     return encode_decode(docs, ranks, pattern, leaf=leaf).select(
         "doc_id",

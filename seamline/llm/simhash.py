@@ -1,38 +1,47 @@
 """SimHash near-duplicate classes by a binary trie self-join (operator 1).
 
-1. Fingerprints: each document's 64-bit SimHash over its 4-word shingles, in an
+1. Fingerprints: each document's 64-bit SimHash over its word shingles, in an
    Arrow map beside the scan; (id, fingerprint) is written once.
 2. Equal fingerprints are pre-aggregated to one row.
-3. Trie self-join. Two fingerprints within `errors` bits agree wholly on at least
-   one of errors + 1 blocks of bits. Each block in turn is put first; the trie
-   over the turned fingerprints then only has to be joined below equal blocks,
-   which are independent of each other and so are Spark's partitioning key.
-   Within a key, node pairs are walked together from the top: each step adds
-   the bit in which the children differ, and a pair of nodes is dropped when
-   the errors exceed the budget. A key with more than `most` fingerprints is
-   dealt into parts by hash, and each pair of parts is a task's key, so no task
-   holds more than 2 * most fingerprints of a key, and no pair is lost.
+3. Trie self-join. Two fingerprints within `errors` bits agree wholly on m - errors
+   of any m blocks of bits. Each choice of so many blocks in turn is put first; the
+   trie over the turned fingerprints then only has to be joined below equal
+   prefixes, which are independent of each other and so are Spark's partitioning
+   key. m grows with the logarithm of the number of fingerprints, so that about
+   `most` of them or fewer share a prefix: 4 errors take 5 prefixes of 12 bits,
+   15 of 20, 35 of 26. Within a key, node pairs are walked together from the top:
+   each step adds the bit in which the children differ, and a pair of nodes is
+   dropped when the errors exceed the budget. A key that still has more than
+   4 * most fingerprints is dealt into parts by hash, and each pair of parts is a
+   task's key, so no task holds more than that, and no pair is lost.
 4. Each task reduces the links that it finds to a spanning forest, so rows do not
    grow with the square of a group. Components of all forests come from
-   minimum labels with pointer jumping over tables in the shared folder.
+   minimum labels by star rounds over tables in the shared folder.
+
+similar_classes() does the same for texts of a shingle similarity of 0.8 or more,
+where one fingerprint within a few bits is not enough; see there.
 
 Documents without words (null, empty, white space) have fingerprint zero and are
-linked like any other. Rows with a null id are kept; they take part with the id
-null, and a component made of null ids only has component_id null. Repeated
-ids stay separate rows; columns beyond id and text are ignored; an empty table
+linked like any other. Texts may be of any length; a task holds one at a time.
+Rows with a null id are kept; they take part with the id null, and a component
+made of null ids only has component_id null. Repeated ids stay separate rows;
+columns beyond id and text are ignored, whatever their names; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm.shared import table, written
+from seamline.llm.passages import mixed, shingles
+from seamline.llm.shared import salted_join, table, written
 
 BITS = 64
 SEED = 42
@@ -141,33 +150,50 @@ class Forest:
                 self.root = up
 
 
-def turned(fp: np.ndarray, by: int) -> np.ndarray:
-    """Rotated left, so that the block which starts `by` bits from the top comes first."""
-    return fp if not by else (fp << np.uint64(by)) | (fp >> np.uint64(BITS - by))
+def prefixes(errors: int, count: int, most: int) -> list[list[tuple[int, int]]]:
+    """Which blocks [from, to) of bits, counted from the top, stand first in each turn: all
+    choices of m - errors out of m blocks, for the least m with about `most` or
+    fewer of `count` fingerprints to a prefix."""
+    for m in range(errors + 1, BITS + 1):
+        blocks = [(BITS * k // m, BITS * (k + 1) // m) for k in range(m)]
+        if (m - errors) * (BITS // m) >= math.log2(max(count, 1) / most) or math.comb(m + 1, errors) > 500:
+            break
+    return [list(c) for c in combinations(blocks, m - errors)]
+
+
+def turned(fp: np.ndarray, first: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with the given blocks put first, then all other bits in their order."""
+    put = sorted(first)
+    rest = [(a, b) for a, b in zip([0, *(b for _, b in put)], [*(a for a, _ in put), BITS]) if a < b]
+    out, at = np.zeros(len(fp), np.uint64), BITS
+    for a, b in [*put, *rest]:
+        at -= b - a
+        out |= ((fp >> np.uint64(BITS - b)) & np.uint64((1 << (b - a)) - 1)) << np.uint64(at)
+    return out
 
 
 def links(fps: DataFrame, errors: int = 4, most: int = 1024) -> DataFrame:
-    """Spanning links (a, b) with a < b as unsigned ranks of the fingerprints in
+    """Spanning links (a, b) with a < b (as signed longs) of the fingerprints in
     column fp (distinct), such that links join exactly the pairs within `errors`
     bits, directly or through others."""
-    blocks = [(BITS * k // (errors + 1), BITS * (k + 1) // (errors + 1)) for k in range(errors + 1)]
-    top = [F.shiftrightunsigned(F.shiftleft("fp", a), BITS - b + a) for a, b in blocks]
+    turns = prefixes(errors, fps.count(), most)
+    top = [F.xxhash64(*(F.shiftrightunsigned(F.shiftleft("fp", a), BITS - b + a) for a, b in blocks)) for blocks in turns]
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), x.alias("block")) for k, x in enumerate(top)))).alias("k")).select("fp", "k.*")
-    crowd = keyed.groupBy("turn", "block").count().where("count > 1").select("turn", "block", F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    dealt = keyed.join(crowd, ["turn", "block"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    # prefixes of one fingerprint need no join; crowded ones are few, as m grows with the count
+    crowd = written(keyed.groupBy("turn", "block").count().where("count > %d" % (4 * most)).select("turn", "block", F.ceil(F.col("count") / (2 * most)).cast("int").alias("parts")), "crowded")
+    dealt = keyed.join(crowd, ["turn", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # a part meets itself (side 2) and each other part once (sides 0 and 1)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select(F.xxhash64("turn", "block", low, high).alias("key"), "turn", side.cast("byte").alias("part"), "fp")
-    starts = [a for a, _ in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(rows: list[np.ndarray]) -> pa.RecordBatch:
             key, turn, part, fp = rows
             spun = fp.copy()
-            for k, by in enumerate(starts):
-                spun[turn == k] = turned(fp[turn == k], by)
+            for k in np.unique(turn).tolist():
+                spun[turn == k] = turned(fp[turn == k], turns[k])
             order = np.lexsort((spun, part, key))
             key, part, fp, spun = key[order], part[order], fp[order], spun[order]
             # equal fingerprints of different keys are different rows here; the forest joins within keys
@@ -228,9 +254,133 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     grouped = components(links(fps, errors, most))
     member = fps.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    member = written(member, "members")
+    first = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = written(salted_join(member, first, ["root"]).select("fp", "component_id"), "classes")
+    return salted_join(prints, of, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """32-bit hashes of (shingle, how often it stood before): the multiset as a set, sorted."""
+    h = shingles(text) if size == 5 else np.zeros(0, np.uint64)
+    if not len(h):
+        import xxhash
+
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        n = max(len(words) - size + 1, 1) if words else 0
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) for i in range(n)], np.uint64)
+    h = np.sort(h)
+    first = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+    again = np.arange(len(h)) - first
+    return np.unique((mixed(h + again.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))
+
+
+def wide_fingerprint(members: np.ndarray, prints: int) -> np.ndarray:
+    """`prints` independent 64-bit SimHashes of a shingle set."""
+    turn = np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(prints * BITS, np.float64)
+    for k in range(0, len(members), 4096):
+        bits = np.unpackbits(mixed(members[k : k + 4096].astype(np.uint64)[:, None] + turn).view(np.uint8), axis=1, bitorder="little")
+        ones += np.ones(len(bits), np.float32) @ bits.astype(np.float32)
+    return np.packbits(2 * ones > len(members), bitorder="little").view(np.int64)
+
+
+def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 16, errors: int = 20) -> DataFrame:
+    """doc_id, component_id (least id of the class): classes under links between texts whose
+    shingles (words lower-cased A-Z) have a multiset Jaccard similarity of `similarity` or more.
+
+    At 0.8 two SimHashes differ in 15 % of their bits, about 10 of 64, more than a
+    trie over one fingerprint can be joined for. So each document has `prints`
+    independent fingerprints of four blocks of 16 bits. Tries are joined below each
+    equal block with a budget of `errors` for the fingerprint; the next
+    fingerprint must be within twice the budget together with it. With 16
+    fingerprints a pair at 0.8 shares none of 64 blocks with chance 0.008 (by
+    calculation, (1 - 0.85 ** 16) ** 64), one at 0.85 with 0.001, one at 0.9 with 1e-5. In
+    each block each fingerprint keeps its nearest one on either side of it in the
+    trie's order, so rows do not grow with the square of a group. All links
+    are verified by the exact similarity of the shingle multisets before they count.
+
+    Equal multisets are one node from the start; documents without words are one class.
+    """
+    kind = docs.schema[id_column].dataType
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                sets = [shingle_set(t.as_py(), size) for t in part.column("text")]
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                w = np.concatenate([wide_fingerprint(x, prints) for x in sets]) if sets else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * prints).astype(np.int32)), pa.array(w))
+                members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int32) if sets else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), lists, members], ["doc_id", "node", "w", "members"])
+
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    sketched = written(texts.mapInArrow(sketch, f"doc_id {kind.simpleString()}, node long, w array<long>, members array<int>"), "sketches")
+    nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("w").alias("w")), "nodes")
+    each = [F.struct(F.lit(4 * k + b).alias("turn"), F.shiftrightunsigned(F.col("w")[k], 48 - 16 * b).bitwiseAND(65535).cast("int").alias("block"), F.col("w")[k].alias("fp"), F.col("w")[(k + 1) % prints].alias("more")) for k in range(prints) for b in range(4)]
+    keyed = nodes.select("node", F.explode(F.array(*each)).alias("k")).select(F.expr("k.turn * 65536L + k.block").alias("key"), "k.fp", "k.more", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def near(rows: list[np.ndarray]) -> pa.RecordBatch:
+            key, fp, more, node = rows
+            spun = fp.copy()
+            for b in range(4):
+                of = (key >> 16) % 4 == b
+                spun[of] = turned(fp[of], [(16 * b, 16 * b + 16)])
+            order = np.lexsort((spun, key))
+            key, fp, more, node, spun = key[order], fp[order], more[order], node[order], spun[order]
+            best = np.full((2, len(key)), np.iinfo(np.int64).max)  # of those before and those behind: distance, and which
+            for i, j in trie_pairs(key, np.full(len(key), 2, np.int8), spun, errors):
+                d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
+                ok = (d <= 2 * errors - 5) & (node[i] != node[j])
+                i, j, d = i[ok], j[ok], d[ok]
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                np.minimum.at(best[0], j, d << 40 | i)
+                np.minimum.at(best[1], i, d << 40 | j)
+            out = []
+            for side in best:
+                at = np.flatnonzero(side != np.iinfo(np.int64).max)
+                out.append(np.stack([node[at], node[side[at] & (1 << 40) - 1]]))
+            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            key, fp, more, node = (np.asarray(batch.column(k)).astype(np.int64) for k in range(4))
+            rows = [key, fp.view(np.uint64), more.view(np.uint64), node]
+            held = [np.concatenate([h, r]) for h, r in zip(held, rows)] if held else rows
+            cut = int(np.searchsorted(held[0], held[0][-1], side="left")) if len(held[0]) else 0
+            if cut > 60_000:
+                yield near([r[:cut] for r in held])
+                held = [r[cut:] for r in held]
+        if held and len(held[0]):
+            yield near(held)
+
+    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct(), "candidates")
+    asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    sets = written(sketched.select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    both = salted_join(salted_join(found, sets.select(F.col("node").alias("a"), F.col("members").alias("x")), ["a"]), sets.select(F.col("node").alias("b"), F.col("members").alias("y")), ["b"], found)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
+                s = len(np.intersect1d(p, q, assume_unique=True))
+                keep[k] = s >= similarity * (len(p) + len(q) - s) - 1e-9
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    edges = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    grouped = components(edges)
+    member = written(nodes.select("node", "least").join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "members")
     first = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(member.join(first, "root").select("fp", "component_id"), "classes")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = written(salted_join(member, first, ["root"]).select("node", "component_id"), "classes")
+    return salted_join(sketched.select("doc_id", "node"), of, ["node"]).select("doc_id", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

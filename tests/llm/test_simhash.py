@@ -80,3 +80,66 @@ def test_empty_table_and_null_ids(spark):
     assert simhash.near_duplicates(docs).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(docs).collect()) == [("7", 7), ("7", 7), ("None", 7)]
+
+
+def test_prefixes_hold_a_whole_choice_of_blocks_for_every_pair_within_the_budget():
+    rng = np.random.default_rng(8)
+    for count, n in ((1000, 5), (10**8, 15), (10**10, 35)):
+        turns = simhash.prefixes(4, count, 1024)
+        assert len(turns) == n
+        fp = rng.integers(0, 2**63, 50).astype(np.uint64)
+        for x in fp.tolist():
+            y = x
+            for b in rng.choice(64, 4, replace=False).tolist():
+                y ^= 1 << b
+            assert any(all((x ^ y) >> (64 - b) & ((1 << (b - a)) - 1) == 0 for a, b in blocks) for blocks in turns)
+        for blocks in turns[:3]:
+            spun = simhash.turned(fp, blocks)
+            assert np.bitwise_count(spun).tolist() == np.bitwise_count(fp).tolist()
+            width = sum(b - a for a, b in blocks)
+            want = 0
+            for a, b in blocks:
+                want = want << (b - a) | int(fp[0]) >> (64 - b) & ((1 << (b - a)) - 1)
+            assert int(spun[0]) >> (64 - width) == want
+
+
+def jaccard(a, b):
+    from collections import Counter
+
+    x, y = (Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) for w in (a, b))
+    both = sum((x & y).values())
+    return both / (sum(x.values()) + sum(y.values()) - both)
+
+
+def test_similar_classes_match_all_pairs_by_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    words = lambda n: ["w%d" % rng.randrange(10**5) for _ in range(n)]
+    docs = {0: [], 1: [], 2: ["a", "b"], 3: ["A", "B"], 4: ["a"]}
+    for k in range(60):
+        base = words(rng.randrange(20, 200))
+        for n in range(rng.randrange(1, 5)):
+            w = list(base)
+            for at in sorted(rng.sample(range(len(w)), min(len(w) // 40, n * 2)), reverse=True):
+                w[at : at + 1] = rng.choice([[], ["x%d" % rng.randrange(10**6)], [w[at], "y"]])
+            docs[len(docs)] = w
+    low = {i: [x.lower() for x in w] for i, w in docs.items()}
+    root = {i: i for i in docs}
+    for a in docs:
+        for b in range(a):
+            if (not low[a] and not low[b]) or (low[a] and low[b] and jaccard(low[a], low[b]) >= 0.8):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    rows = [(i, " ".join(w) if w else (None if i else ""), 1) for i, w in docs.items()]
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string, node int")).collect()}
+    assert len(set(root.values())) < len(root) - 30
+    assert sum(got[i] != root[i] for i in docs) <= len(docs) // 50  # the chance of no common block
+    assert all(root[c] == root[i] for i, c in got.items())  # nothing is joined that is not similar
+
+
+def test_similar_classes_of_null_ids_repeated_ids_and_empty_tables(spark):
+    text = " ".join("t%d" % i for i in range(40))
+    docs = spark.createDataFrame([(None, text), (5, text), (5, "other words here"), (7, text + " end")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.component_id) for r in simhash.similar_classes(docs).collect()) == [("5", 5), ("5", 5), ("7", 5), ("None", 5)]
+    assert simhash.similar_classes(docs.limit(0)).count() == 0
