@@ -41,8 +41,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate class."""
-    classes = simhash.near_duplicates(docs)
+    """The document with the least id of each class of near-duplicates: five-word shingles,
+    similarity 0.8 or more."""
+    classes = simhash.similar_classes(docs)
     gone = written(classes.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
