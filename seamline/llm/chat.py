@@ -9,22 +9,32 @@ the others are marked. Arguments are validated against a JSON-Schema subset
 (type, required, properties, enum, minLength, additionalProperties).
 
 Order: a result stands after its call and a call after every result that it
-names in "after" (a list of identifiers); the turns break ties. The depth of a
-call in this relation is found by joins that each follow one more link until
-nothing changes; calls on a cycle get no depth and are marked `cycle`.
-
-Canonical JSON: keys sorted, no spaces, UTF-8 characters kept, numbers as Python
-writes them. Conversations with no tool messages pass through as text messages.
+names in "after" (a list of identifiers); depth is the longest such chain before a
+call, and the calls of a message stand by depth, then place. Depths come from
+joins over the links: each round settles the calls whose links all lead to settled
+ones, and lets all other links jump over calls that have one link only, so a
+chain of n calls takes about log2(n) rounds. Calls on or behind a cycle get no
+depth and are marked `cycle`.
+
+Canonical JSON: keys sorted, no spaces, UTF-8 characters kept (halves of surrogate
+pairs stay escapes), numbers as Python writes them. What is no strict JSON (NaN,
+Infinity, numbers beyond double range, nesting of over 200 levels) is no call
+and passes as text. Conversations with no tool messages pass through as text.
 
 Null texts are empty messages; null roles are "unknown"; null conversation ids
-form one conversation; rows with equal turns are ordered by role, then text,
-and repeated rows stay. Extra columns are ignored; an empty table gives an
-empty result.
+form one conversation; calls whose id is missing or no string are never linked
+(status `no id`). Each row is a message of its own: rows with equal turns, and
+repeated rows, stay, with their own calls only; of calls with one identifier the
+first by turn, then name, arguments and place, counts. Very long texts are parsed
+in the task that holds them. Extra columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +43,17 @@ from pyspark.sql import functions as F
 
 from seamline.llm.shared import table, written
 
+SURROGATE = re.compile("[\ud800-\udfff]")
+DEEPEST = 200
+
+
+def valid_utf8(x: str) -> str:
+    """Halves of surrogate pairs as escapes."""
+    return SURROGATE.sub(lambda m: "\\u%04x" % ord(m[0]), x)
+
 
 def canonical(x: object) -> str:
-    return json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return valid_utf8(json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
 
 TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -45,7 +63,8 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
     """What of a value does not fit the schema."""
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"integer": number and value == int(value) if number else False, "number": number}.get(kind, isinstance(value, TYPES[kind]) if kind in TYPES else True)
+    whole = number and (isinstance(value, int) or value.is_integer())
+    fits = {"integer": whole, "number": number}.get(kind, isinstance(value, TYPES[kind]) if kind in TYPES else True)
     if not fits:
         return [f"{at}: not {kind}"]
     out = [f"{at}: not one of the values"] if "enum" in schema and value not in schema["enum"] else []
@@ -64,18 +83,44 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-CALL = "conv_id {0}, turn long, no int, call_id string, name string, arguments string, after array<string>, valid boolean, problem string"
-RESULT = "conv_id {0}, turn long, call_id string, content string"
+def number(x: str) -> float:
+    if not math.isfinite(y := float(x)):
+        raise ValueError(f"{x} is out of range")
+    return y
+
+
+def refused(x: str) -> None:
+    raise ValueError(f"{x} is no JSON")
+
+
+def depth_of(x: object) -> int:
+    """How deep lists and objects stand in each other."""
+    deep, level = 0, [x]
+    while level:
+        level = [y for v in level if isinstance(v, (dict, list)) for y in (v.values() if isinstance(v, dict) else v)]
+        deep += 1
+    return deep
 
 
 def parsed(text: str | None) -> dict:
+    """The object that a text is, if it is strict JSON."""
     if not text or not text.lstrip().startswith("{"):
         return {}
     try:
-        got = json.loads(text)
-    except ValueError:
+        got = json.loads(text, parse_float=number, parse_constant=refused)
+        return got if isinstance(got, dict) and depth_of(got) <= DEEPEST else {}
+    except (ValueError, RecursionError):
         return {}
-    return got if isinstance(got, dict) else {}
+
+
+CALL = "msg long, conv_id {0}, turn long, no int, call_id string, name string, arguments string, after array<string>, valid boolean, problem string"
+
+
+def numbered(messages: DataFrame) -> DataFrame:
+    """msg (a number for each row), conv_id, turn, role, text; written, so that numbers stay."""
+    turn = F.col("turn").cast("long").alias("turn")
+    rows = messages.select("conv_id", turn, F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return written(rows.withColumn("msg", F.monotonically_increasing_id()), "messages")
 
 
 def tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -86,77 +131,103 @@ def tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for conv, turn, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "text"))):
+            for msg, conv, turn, text in zip(*(batch.column(c).to_pylist() for c in ("msg", "conv_id", "turn", "text"))):
                 calls = parsed(text).get("tool_calls")
                 for no, call in enumerate(calls if isinstance(calls, list) else ()):
                     if not isinstance(call, dict):
                         continue
-                    name, args = str(call.get("name")), call.get("arguments", {})
+                    name, args, call_id = call.get("name"), call.get("arguments", {}), call.get("id")
+                    name = valid_utf8(name) if isinstance(name, str) else ""
                     if isinstance(args, str):
                         args = parsed(args) if args.strip() else {}
                     wrong = problems(args, sent[name]) if name in sent else ["no such tool"]
                     after = call.get("after")
-                    out.append((conv, turn, no, str(call.get("id")), name, canonical(args), [str(x) for x in after] if isinstance(after, list) else [], not wrong, "; ".join(wrong) or None))
-            names = ["conv_id", "turn", "no", "call_id", "name", "arguments", "after", "valid", "problem"]
-            types = [batch.schema.field("conv_id").type, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, types)], names)
+                    after = [valid_utf8(x) for x in after if isinstance(x, str)] if isinstance(after, list) else []
+                    call_id = valid_utf8(call_id) if isinstance(call_id, str) else None
+                    out.append((msg, conv, turn, no, call_id, name, canonical(args), after, not wrong, valid_utf8("; ".join(wrong)) or None))
+            names = ["msg", "conv_id", "turn", "no", "call_id", "name", "arguments", "after", "valid", "problem"]
+            types = [pa.int64(), batch.schema.field("conv_id").type, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 10, types)], names)
 
-    rows = messages.where("role = 'assistant'").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
-    return rows.mapInArrow(run, CALL.format(kind))
+    return messages.where("role = 'assistant'").select("msg", "conv_id", "turn", "text").mapInArrow(run, CALL.format(kind))
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
     """All results in tool messages."""
-    got = messages.where("role = 'tool'").select("conv_id", F.col("turn").cast("long").alias("turn"), F.get_json_object("text", "$.tool_call_id").alias("call_id"), F.get_json_object("text", "$.content").alias("content"))
+    got = messages.where("role = 'tool'").select("conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("call_id"), F.get_json_object("text", "$.content").alias("content"))
     return got.where("call_id is not null")
 
 
+def same(left: str, right: str):
+    """Join condition: the same conversation (null is one) and identifier; columns prefixed."""
+    return F.col(f"{left}conv_id").eqNullSafe(F.col(f"{right}conv_id")) & (F.col(f"{left}call_id") == F.col(f"{right}call_id"))
+
+
+def prefixed(df: DataFrame, p: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(p + c) for c in df.columns))
+
+
+def depths(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, depth of all calls (conv_id, call_id unique, after) that no cycle is before."""
+    nodes = calls.select("conv_id", "call_id")
+    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before"), F.lit(1).alias("far"), F.lit(0).alias("settled"))
+    known = prefixed(nodes, "k_")
+    edges = written(edges.join(known, F.col("conv_id").eqNullSafe(F.col("k_conv_id")) & (F.col("before") == F.col("k_call_id")), "left_semi"), "call-links")
+    depth = written(nodes.join(prefixed(edges.select("conv_id", "call_id").distinct(), "k_"), same("", "k_"), "left_anti").withColumn("depth", F.lit(0)), "depth")
+    settled = depth
+    while not edges.isEmpty():
+        # a link to a settled call gets its depth; one to a call with a single link, and none that was settled before, jumps over it
+        single = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.max("settled").alias("was"), F.first("before").alias("next"), F.first("far").alias("more")).where("n = 1 and was = 0").drop("n", "was")
+        state = edges.join(prefixed(settled, "d_"), F.col("conv_id").eqNullSafe(F.col("d_conv_id")) & (F.col("before") == F.col("d_call_id")), "left")
+        state = state.join(prefixed(single, "s_"), F.col("conv_id").eqNullSafe(F.col("s_conv_id")) & (F.col("before") == F.col("s_call_id")), "left")
+        to = F.when(F.col("d_depth").isNotNull(), F.lit(None)).otherwise(F.coalesce("s_next", "before"))
+        far = F.when(F.col("d_depth").isNotNull(), F.col("far") + F.col("d_depth")).otherwise(F.col("far") + F.coalesce("s_more", F.lit(0)))
+        # before is null where the way is settled; then far is the depth by that way
+        moved = state.select("conv_id", "call_id", "settled", to.alias("before"), far.alias("far"))
+        moved = moved.select("conv_id", "call_id", "before", "far", F.when(F.col("before").isNull(), F.greatest("settled", "far")).otherwise(F.col("settled")).alias("settled"))
+        moved = written(moved.groupBy("conv_id", "call_id", "before").agg(F.max("far").alias("far"), F.max("settled").alias("settled")), "call-links")
+        new = written(moved.groupBy("conv_id", "call_id").agg(F.count("before").alias("open"), F.max("settled").alias("depth")).where("open = 0").drop("open"), "depth")
+        if new.isEmpty():
+            break  # the rest is on cycles, or behind one
+        settled = settled.union(new)
+        best = moved.groupBy("conv_id", "call_id").agg(F.max("settled").alias("settled"))
+        still = moved.where("before is not null").drop("settled").join(prefixed(best, "b_"), same("", "b_")).select("conv_id", "call_id", "before", "far", F.col("b_settled").alias("settled"))
+        edges = written(still, "call-links")
+    return settled
+
+
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """calls with result, result_turn, status (ok, invalid, unanswered, repeated, cycle) and depth."""
+    """calls with result, result_turn, status (ok, invalid, unanswered, repeated, cycle, no id) and depth."""
     calls = written(calls, "parsed-calls")
-    first = calls.groupBy(F.col("conv_id").alias("f_conv"), F.col("call_id").alias("f_id")).agg(F.min(F.struct("turn", "no")).alias("f"))
-    is_first = F.col("f").eqNullSafe(F.struct("turn", "no"))
-    calls = calls.join(first, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("call_id") == F.col("f_id"))).withColumn("nth", F.when(is_first, 1).otherwise(2)).drop("f", "f_conv", "f_id")
-    r = results.select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("result_turn"), F.col("call_id").alias("r_id"), F.col("content").alias("result"))
-    once = calls.where("nth = 1")
-    joined = once.join(r, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & (F.col("result_turn") > F.col("turn")), "left")
-    least = joined.groupBy("conv_id", "turn", "no", "call_id", "name", "arguments", "after", "valid", "problem", "nth").agg(F.min(F.struct("result_turn", "result")).alias("r"))
-    every = least.select("*", F.col("r.result_turn").alias("result_turn"), F.col("r.result").alias("result")).drop("r")
-    more = calls.where("nth > 1").select("*", F.lit(None).cast("long").alias("result_turn"), F.lit(None).cast("string").alias("result"))
-    every = written(every.unionByName(more), "calls")
-    # links between calls that both exist
-    edges = every.where("nth = 1").select("conv_id", "call_id", F.explode_outer(F.array_distinct("after")).alias("before")).where("before is not null")
-    known = every.where("nth = 1").select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"))
-    edges = written(edges.join(known, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("before") == F.col("k_id")), "left_semi"), "call-links")
-    free = every.where("nth = 1").select("conv_id", "call_id").join(edges.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id")).distinct(), F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("call_id") == F.col("k_id")), "left_anti")
-    depth = written(free.withColumn("depth", F.lit(0)), "depth")
-    level, waiting = 0, not edges.isEmpty()
-    while waiting:
-        # ready: every call before it has its depth
-        d = depth.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_id"), "depth")
-        state = edges.join(d, F.col("conv_id").eqNullSafe(F.col("d_conv")) & (F.col("before") == F.col("d_id")), "left").groupBy("conv_id", "call_id").agg(F.count_if(F.col("depth").isNull()).alias("open"))
-        ready = state.where("open = 0").join(depth.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_id")), F.col("conv_id").eqNullSafe(F.col("d_conv")) & (F.col("call_id") == F.col("d_id")), "left_anti")
-        level += 1
-        ready = written(ready.select("conv_id", "call_id", F.lit(level).alias("depth")), "depth")
-        waiting = not ready.isEmpty()
-        depth = depth.union(ready)
-    d = depth.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_id"), "depth")
-    out = every.join(d, F.col("conv_id").eqNullSafe(F.col("d_conv")) & (F.col("call_id") == F.col("d_id")), "left")
-    status = F.when(F.col("nth") > 1, "repeated").when(F.col("depth").isNull(), "cycle").when(~F.col("valid"), "invalid").when(F.col("result_turn").isNull(), "unanswered").otherwise("ok")
-    return out.select("conv_id", "turn", "no", "call_id", "name", "arguments", "after", "problem", "result_turn", "result", status.alias("status"), F.when(F.col("nth") == 1, F.col("depth")).alias("depth"))
+    order = F.struct("turn", "name", "arguments", "no", "msg")
+    named = calls.where("call_id is not null")
+    first = prefixed(named.groupBy("conv_id", "call_id").agg(F.min(order).alias("f")), "f_")
+    named = named.join(first, same("", "f_")).withColumn("nth", F.when(F.col("f_f").eqNullSafe(order), 1).otherwise(2)).drop(*first.columns)
+    once = named.where("nth = 1")
+    joined = once.select("conv_id", "call_id", "turn").join(prefixed(results, "r_"), same("", "r_") & (F.col("r_turn") > F.col("turn")))
+    answers = prefixed(joined.groupBy("conv_id", "call_id").agg(F.min(F.struct("r_turn", "r_content")).alias("r")), "a_")
+    every = once.join(answers, same("", "a_"), "left").select(*once.columns, F.col("a_r.r_turn").alias("result_turn"), F.col("a_r.r_content").alias("result"))
+    every = written(every, "calls")
+    deep = prefixed(depths(every.select("conv_id", "call_id", "after")), "d_")
+    every = every.join(deep, same("", "d_"), "left").withColumn("depth", F.col("d_depth")).drop(*deep.columns)
+    rest = named.where("nth = 2").unionByName(calls.where("call_id is null").withColumn("nth", F.lit(0)))
+    every = every.unionByName(rest, allowMissingColumns=True)
+    status = F.when(F.col("nth") == 0, "no id").when(F.col("nth") > 1, "repeated").when(F.col("depth").isNull(), "cycle").when(~F.col("valid"), "invalid").when(F.col("result_turn").isNull(), "unanswered").otherwise("ok")
+    return every.select("msg", "conv_id", "turn", "no", "call_id", "name", "arguments", "after", "problem", "result_turn", "result", status.alias("status"), "depth")
 
 
 def formatted(messages: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per message, with the calls of assistant messages in topological
-    order and canonical JSON in column json."""
-    calls = links.groupBy(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("depth"), "no", "call_id", "name", "arguments", "status", "result"))).alias("calls"))
-    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    both = rows.join(calls, F.col("conv_id").eqNullSafe(F.col("c_conv")) & F.col("turn").eqNullSafe(F.col("c_turn")) & (F.col("role") == "assistant"), "left")
+    """One row per message (see numbered()), with the calls of assistant messages in
+    topological order and canonical JSON in column json; call_order lists their
+    identifiers, depth is the greatest one of them."""
+    each = F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("depth"), "no", "call_id", "name", "arguments", "status", "result")
+    calls = links.groupBy(F.col("msg").alias("of")).agg(F.array_sort(F.collect_list(each)).alias("calls"), F.max("depth").cast("long").alias("depth"))
+    both = messages.join(calls, F.col("msg") == F.col("of"), "left")
     kind = messages.schema["conv_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, n, good = [], [], []
+            lines, n, good, order = [], [], [], []
             for role, text, calls in zip(*(batch.column(c).to_pylist() for c in ("role", "text", "calls"))):
                 message = {"role": role, "content": text}
                 if calls:
@@ -164,14 +235,17 @@ def formatted(messages: DataFrame, links: DataFrame) -> DataFrame:
                 lines.append(canonical(message))
                 n.append(len(calls or ()))
                 good.append(sum(c["status"] == "ok" for c in calls or ()))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(n, pa.int64()), pa.array(good, pa.int64()), pa.array(lines, pa.string())], ["conv_id", "turn", "n_calls", "n_ok", "json"])
+                order.append(",".join(c["call_id"] or "" for c in calls) if calls else None)
+            arrays = [batch.column("conv_id"), batch.column("turn"), pa.array(n, pa.int64()), pa.array(good, pa.int64()), pa.array(order, pa.string()), batch.column("depth"), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "n_calls", "n_ok", "call_order", "depth", "json"])
 
-    return both.select("conv_id", "turn", "role", "text", "calls").mapInArrow(run, f"conv_id {kind.simpleString()}, turn long, n_calls long, n_ok long, json string")
+    return both.select("conv_id", "turn", "role", "text", "calls", "depth").mapInArrow(run, f"conv_id {kind.simpleString()}, turn long, n_calls long, n_ok long, call_order string, depth long, json string")
 
 
 def chat(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Parse, link, order, validate and serialise."""
-    return formatted(messages, linked(tool_calls(messages, schemas), tool_results(messages)))
+    rows = numbered(messages)
+    return formatted(rows, linked(tool_calls(rows, schemas), tool_results(rows)))
 
 
 #: The schema of the query's only tool.
@@ -180,21 +254,24 @@ REPLY = {"reply": {"type": "object", "required": ["text"], "properties": {"text"
 
 def as_tool_protocol(conversations: DataFrame) -> DataFrame:
     """Plain conversations as tool messages, as the test tables hold no calls: a user
-    turn becomes a call of `reply` with the turn as identifier, and the assistant
-    turn after it the result. Every second call waits for the one before it. Other
-    roles stay as they are."""
+    turn becomes an assistant message with a call of `reply` for each of its first
+    two sentences and one for the rest, listed from the last to the first; each waits
+    for the one before it, and the first for the last one of the user turn before.
+    The assistant turn after it is the result of its last call. Other roles stay."""
     turn = F.col("turn").cast("long")
     text = F.coalesce("text", F.lit(""))
-    key = lambda c: F.concat(F.lit("t"), c.cast("string"))
-    after = F.when((turn >= 2) & (F.pmod(F.floor(turn / 2), F.lit(2)) == 1), F.array(key(turn - 2))).otherwise(F.array().cast("array<string>"))
-    call = F.to_json(F.struct(F.array(F.struct(key(turn).alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("text")).alias("arguments"), after.alias("after"))).alias("tool_calls")))
-    result = F.to_json(F.struct(key(turn - 1).alias("tool_call_id"), text.alias("content")))
+    key = lambda c, k: F.concat(F.lit("t"), c.cast("string"), F.lit("."), k.cast("string"))
+    parts = F.reverse(F.split(text, r"(?<=[.!?])\s+", 3))
+    waits = lambda k: F.when(k + 1 < F.size(parts), F.array(key(turn, k + 1))).otherwise(F.array(key(turn - 2, F.lit(0))))
+    calls = F.transform(parts, lambda x, k: F.struct(key(turn, k).alias("id"), F.lit("reply").alias("name"), F.struct(x.alias("text")).alias("arguments"), waits(k).alias("after")))
+    call = F.to_json(F.struct(calls.alias("tool_calls")))
+    result = F.to_json(F.struct(key(turn - 1, F.lit(0)).alias("tool_call_id"), text.alias("content")))
     user, answer = F.col("role") == "user", (F.col("role") == "assistant") & (turn > 0)
     return conversations.select("conv_id", turn.alias("turn"), F.when(user, "assistant").when(answer, "tool").otherwise(F.col("role")).alias("role"), F.when(user, call).when(answer, result).otherwise(F.col("text")).alias("text"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat(written(as_tool_protocol(table(spark, sf_dir, "conversations")), "messages"), REPLY)
+    return chat(as_tool_protocol(table(spark, sf_dir, "conversations")), REPLY)
 
 
 QUERIES = {"op5_chat": op5_chat}

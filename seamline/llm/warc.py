@@ -12,10 +12,11 @@ Reader: each archive is read front to back in blocks; every gzip member is
 decompressed step by step, its header lines give the record's length, and block
 and payload digests are verified. A damaged record raises ValueError.
 
-Null pages have an empty payload. Ids must be unique to be referred to (rows
-with equal ids and payloads: one is the response, the others refer to that id);
-a null id sorts first. Extra columns are ignored; an empty table gives no
-archive and an empty result.
+Null pages have an empty payload; a very long page is held once, in its task. Ids
+may be any text: they are percent-encoded in the header. Ids must be unique to be
+referred to (rows with equal ids and payloads are all the response); a null id
+sorts first. Extra columns are ignored, whatever their names; an empty table
+gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm.shared import shared_folder, table, written
+from seamline.llm.shared import salted_join, shared_folder, table, written
 
 LEAST = 100
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -44,22 +46,31 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
+def record_id(page: str | None) -> str:
+    name = "no page" if page is None else f"page:{page}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
 def record(page: str | None, url: str | None, kind: str, refers: str | None, payload: bytes, size: int, digest: str) -> bytes:
     """One record as a gzip member; the digest is the payload's hex SHA-256."""
     block = HEAD.format(size).encode() + (payload if kind == "response" else b"")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>",
+        f"WARC-Record-ID: {record_id(page)}",
         f"WARC-Target-URI: {(url or '').encode('ascii', 'backslashreplace').decode().translate({10: None, 13: None})}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Page-ID: {'' if page is None else page}",
     ]
+    # ids are percent-encoded, so any text stays one line and as it is; a null id has no line
+    if page is not None:
+        lines.append(f"X-Page-ID: {quote(page, safe='')}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {'' if refers is None else refers}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers)}"]
+        if refers is not None:
+            lines.append(f"X-Refers-To-Page-ID: {quote(refers, safe='')}")
     lines.append(f"Content-Length: {len(block)}")
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
@@ -112,16 +123,16 @@ def read_records(source) -> Iterator[tuple[dict[str, str], int, str, bytes | Non
 
 def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = LEAST, archive_bytes: int = 64 << 20) -> DataFrame:
     """Writes the archives and returns their manifest: path, records."""
-    kind = pages.schema[id_column].dataType.simpleString()
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_column), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     # payloads that occur once need no look-up: only repeated digests go into the join
     repeated = rows.where(F.col("size") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNotNull(), "page_id")).alias("first")).where("n > 1")
-    marked = written(rows.select("page_id", "digest", "size").join(repeated.select("digest", F.col("first.page_id").alias("first")).withColumn("known", F.lit(True)), "digest", "left").where("known and size >= %d" % least).select("page_id", "digest", "first").distinct(), "revisits")
+    repeated = written(repeated.select("digest", F.col("first.page_id").alias("first")), "repeated-payloads")
+    # the same payload may be a third of all pages: no task gets all of a digest
+    marked = written(salted_join(rows.where(F.col("size") >= least).select("page_id", "digest"), repeated, ["digest"]).distinct(), "revisits")
     rows = rows.join(marked.withColumnRenamed("digest", "same").withColumnRenamed("page_id", "page"), (F.col("digest") == F.col("same")) & F.col("page_id").eqNullSafe(F.col("page")), "left")
     revisit = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first").cast("string")).alias("refers"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "size", "digest")
-    del kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
@@ -151,10 +162,15 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     return written(rows.mapInArrow(run, "path string, records long"), "manifest")
 
 
+def named(fields: dict[str, str], key: str) -> str | None:
+    return unquote(fields[key]) if key in fields else None
+
+
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """page_id (string), payload_bytes, payload_digest, record_type, refers_to
     (string) and, if asked for, payload, of all records of the archives in the
-    manifest's column path. One archive is one row, dealt out evenly."""
+    manifest's column path. One archive is one row; there are as many partitions as
+    archives (a number that adaptive execution does not change)."""
     schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +182,14 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 rows = []
                 with files.open_input_stream(at, compression=None) as source:
                     for fields, size, digest, payload in read_records(source):
-                        rows.append((fields["x-page-id"] or None, size, digest, fields["warc-type"], fields.get("x-refers-to-page-id") or None) + (payload,) * payloads)
+                        rows.append((named(fields, "x-page-id"), size, digest, fields["warc-type"], named(fields, "x-refers-to-page-id")) + (payload,) * payloads)
                         if len(rows) == 1000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                             rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

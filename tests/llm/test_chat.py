@@ -34,7 +34,8 @@ def test_links_order_validation_and_json(spark):
         (3, 0, "user", ""),
     ]
     messages = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, json string")
-    links = c.linked(c.tool_calls(messages, SCHEMA), c.tool_results(messages))
+    messages_ = c.numbered(messages)
+    links = c.linked(c.tool_calls(messages_, SCHEMA), c.tool_results(messages_))
     got = {(r.conv_id, r.turn, r.call_id): (r.status, r.depth, r.result) for r in links.collect()}
     assert got == {
         (1, 1, "a"): ("ok", 0, "ra"), (1, 1, "b"): ("ok", 1, "rb"), (1, 1, "c"): ("unanswered", 2, None),
@@ -56,3 +57,80 @@ def test_query_protocol_links_every_pair(spark):
     out = {(r.conv_id, r.turn): (r.n_calls, r.n_ok, json.loads(r.json)) for r in c.chat(c.as_tool_protocol(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), c.REPLY).collect()}
     assert out[7, 1][:2] == (1, 1) and out[7, 3][2]["tool_calls"][0]["result"] == "a2"
     assert out[8, 0][2] == {"role": "assistant", "content": "alone"} and out[8, 1][2]["tool_calls"][0]["status"] == "invalid"
+
+
+def test_what_is_no_strict_json_passes_as_text(spark):
+    j = json.dumps
+    deep = '{"tool_calls": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    nested = '{"tool_calls": ' + "[" * 3000 + "]" * 3000 + "}"
+    texts = [
+        '{"tool_calls": [{"id": "a", "name": "add", "arguments": {"a": 1e999}}]}',
+        '{"tool_calls": [{"id": "a", "name": "add", "arguments": {"a": Infinity}}]}',
+        '{"tool_calls": [{"id": "a", "name": "add", "arguments": {"a": NaN}}]}',
+        deep,
+        nested,
+        "[" * 10,
+    ]
+    half = '{"tool_calls": [{"id": "\\ud800", "name": "\\udfff", "arguments": {"a": "\\ud800"}, "after": ["\\ud800"]}]}'
+    bare = j({"tool_calls": [{"name": "add", "arguments": {"a": 1}}, {"id": None, "name": None}, {"id": 5, "arguments": 2.0}, call("z", args={"a": 2.0})]})
+    rows = [(1, k, "assistant", t) for k, t in enumerate(texts)] + [(2, 0, "assistant", half), (3, 0, "assistant", bare), (3, 1, "tool", j({"tool_call_id": "None", "content": "x"})), (3, 2, "tool", '{"tool_call_id": "z", "content": "\\ud800"}')]
+    out = {(r.conv_id, r.turn): r for r in c.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMA).collect()}
+    assert all(out[1, k].n_calls == 0 and json.loads(out[1, k].json)["content"] == t for k, t in enumerate(texts))
+    assert out[2, 0].n_calls == 1 and json.loads(out[2, 0].json)["tool_calls"][0]["status"] == "cycle"
+    got = json.loads(out[3, 0].json)["tool_calls"]
+    assert [x["status"] for x in got] == ["ok", "no id", "no id", "no id"] and {x["result"] is None for x in got[1:]} == {True}
+
+
+def brute(rows):
+    """Status and depth of every call, one conversation and call after the other."""
+    calls, results = {}, {}
+    for m, (conv, turn, role, text) in enumerate(rows):
+        got = json.loads(text)
+        for no, x in enumerate(got.get("tool_calls", ())):
+            calls.setdefault((conv, x["id"]), []).append((turn, x["name"], c.canonical(x["arguments"]), no, m, x["after"]))
+        if role == "tool":
+            results.setdefault((conv, got["tool_call_id"]), []).append(turn)
+    first = {k: min(v) for k, v in calls.items()}
+    after = {k: [(k[0], x) for x in v[5] if (k[0], x) in first] for k, v in first.items()}
+    depth, more = {}, True
+    while more:
+        new = {k: max((depth[x] + 1 for x in v), default=0) for k, v in after.items() if k not in depth and all(x in depth for x in v)}
+        depth |= new
+        more = bool(new)
+    out = {}
+    for k, v in calls.items():
+        for x in v:
+            if x != first[k]:
+                out[x[4], x[3]] = ("repeated", None)
+            elif k not in depth:
+                out[x[4], x[3]] = ("cycle", None)
+            else:
+                answered = any(t > x[0] for t in results.get(k, ()))
+                out[x[4], x[3]] = ("ok" if answered else "unanswered", depth[k])
+    return out
+
+
+def test_random_conversations_match_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for conv in (1, 2, 3, None):
+        names = ["n%d" % i for i in range(25)]
+        for turn in range(12):
+            if rng.random() < 0.4:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice(names), "content": "r"})))
+            else:
+                some = [call(i, args={"a": rng.randrange(9)}, after=rng.sample(names[: names.index(i)] if rng.random() < 0.97 else names, min(rng.randrange(4), names.index(i)))) for i in rng.sample(names, 4)]
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": some})))
+    chain = [call("c%d" % i, after=["c%d" % (i - 1)] if i else []) for i in range(70)]
+    rows.append((9, 0, "assistant", json.dumps({"tool_calls": chain[::-1]})))
+    rows += [rows[0]] * 2
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "conv_id long, turn long, role string, text string, k int")
+    numbered = c.numbered(docs.coalesce(1).sortWithinPartitions("k"))
+    number = {r.msg: k for k, r in enumerate(numbered.orderBy("msg").collect())}
+    got = {(number[r.msg], r.no): (r.status, r.depth) for r in c.linked(c.tool_calls(numbered, SCHEMA), c.tool_results(numbered)).collect()}
+    assert got == brute(rows)
+    assert max(d for _, d in got.values() if d is not None) == 69
+    line = next(r for r in c.chat(docs, SCHEMA).collect() if r.conv_id == 9)
+    assert line.call_order == ",".join("c%d" % i for i in range(70)) and line.depth == 69

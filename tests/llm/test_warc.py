@@ -35,3 +35,22 @@ def test_round_trip_matches_brute_force(spark):
         want[i] = (len(b), hashlib.sha256(b).hexdigest(), "response" if first == i else "revisit", None if first == i else first)
     assert got == want
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_ids_of_any_text_come_back(spark):
+    ids = ["a\r\nX: 1", " pad ", "", "ünï/%41", "\n", None, "z" * 5000]
+    rows = [(i, "u", "p" * 200) for i in ids] + [("q%d" % k, None, "x" * k) for k in range(30)]
+    out = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)).collect()
+    assert sorted(str(r.page_id) for r in out) == sorted(str(i) for i, _, _ in rows)
+    same = {r.page_id: (r.record_type, r.refers_to) for r in out if r.payload_bytes == 200}
+    assert same[None] == ("response", None) and all(v == ("revisit", None) for k, v in same.items() if k is not None)
+    two = warc.record("2", None, "revisit", "a b", b"", 6, "0")
+    fields = warc.parse(gzip.decompress(two))[0]
+    assert fields["warc-refers-to"] == warc.record_id("a b")
+
+
+def test_one_partition_for_each_archive(spark):
+    pages = spark.createDataFrame([(i, "u", str(i) * 300) for i in range(60)], "page_id long, url string, html string").repartition(3)
+    manifest = warc.write_archives(pages, warc.shared_folder(spark) + "/test-warc", archive_bytes=200)
+    assert manifest.count() > 20
+    assert warc.read_archives(manifest).rdd.getNumPartitions() == manifest.count()
