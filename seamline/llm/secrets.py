@@ -1,11 +1,12 @@
 """Secret scans: patterns and character Markov models (operator 10).
 
 Base: three kinds of spans by regular expressions, with a least length. Method:
-every other run of 16 or more key characters is scored by two first-order
+every run of 16 or more key characters outside base spans is scored by two first-order
 character Markov models, one of random strings and one of ordinary words; a run
-whose log-likelihood ratio exceeds the logarithm of `odds` (how many ordinary
-runs are expected for a random one) is a span of kind `markov`. All of it is
-Spark expressions over one scan.
+with a stretch whose log-likelihood ratio exceeds the logarithm of `odds` (how many
+ordinary runs are expected for a random one) is a span of kind `markov`. All of
+it is Spark expressions over one scan of the texts, after one that marks the
+training sample.
 
 Training sample: the values that base patterns find (random strings) and the
 other words that occur at least twice in the sample (ordinary; strings that
@@ -15,13 +16,13 @@ aggregated by Spark; at most alphabet squared rows (68 x 68 x 2) come to the
 driver. Without any base span in the table there is nothing to learn from and no
 markov spans are added.
 
-Positions come from the pieces between matches, so the work for a text with m
-matches grows with m squared in array copies (small: 10,000 matches take about
-a second); no match is dropped.
+Positions come from the pieces between matches. Matches are gathered in chunks, so
+the work for a text with m matches grows with m (beyond millions, slowly with its
+square); no match is dropped, and texts may be of any length.
 
 Null and empty texts have no spans: counts 0, the hash of the empty string, and
 an empty list. Rows are kept one for one, repeated and null ids included; other
-columns are ignored.
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ LONG = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 RUN = r"[A-Za-z0-9+/_.=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SPAN = "array<struct<start:int,kind_no:int,kind:string,stop:int>>"
+VALUED = "array<struct<start:int,kind_no:int,kind:string,stop:int,value:string>>"
+#: Matches that are gathered before they are moved to the whole.
+CHUNK = 512
 
 
 def spans(text: Column, pattern: str, group: int, least: int, kind: str, number: int) -> Column:
@@ -52,20 +56,33 @@ def spans(text: Column, pattern: str, group: int, least: int, kind: str, number:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), F.transform(found, lambda x: F.length(x)).alias("length"), size.alias("size"))
+    length = F.transform(found, lambda x: F.length(x))
+    rows = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), length.alias("length"), size.alias("size"), found.alias("value"))
+    none = F.array().cast(VALUED)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        one = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), (start + x["length"]).alias("stop"))
-        return F.struct((start + x["length"]).alias("at"), F.when(x["size"] >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        one = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), (start + x["length"]).alias("stop"), x["value"].alias("value"))
+        full = F.size(acc["new"]) >= CHUNK
+        new = F.when(full, none).otherwise(acc["new"])
+        return F.struct((start + x["length"]).alias("at"), F.when(x["size"] >= least, F.concat(new, F.array(one))).otherwise(new).alias("new"), F.when(full, F.concat(acc["out"], F.array(acc["new"]))).otherwise(acc["out"]).alias("out"))
 
-    empty = F.array().cast(SPAN)
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("at"), none.alias("new"), F.array().cast(f"array<{VALUED}>").alias("out"))
+    return F.aggregate(rows, start, step, lambda acc: F.flatten(F.concat(acc["out"], F.array(acc["new"]))))
+
+
+def without_values(x: Column) -> Column:
+    return F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["kind"].alias("kind"), s["stop"].alias("stop")))
 
 
 def base_spans(text: Column) -> Column:
     """The base spans by start, then kind."""
-    none = F.array().cast(SPAN)
+    return without_values(valued_base(text))
+
+
+def valued_base(text: Column) -> Column:
+    """The base spans with their texts, by start, then kind."""
+    none = F.array().cast(VALUED)
     each = []
     for number, (kind, pattern, group, least) in enumerate(KINDS):
         each.append(F.when(text.rlike(QUICK[kind]), spans(text, LONG.get(kind, pattern), group, least, kind, number)).otherwise(none))
@@ -89,18 +106,24 @@ def pairs(run: Column) -> Column:
 
 
 def ratio(run: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of a run, over its character pairs."""
+    """The greatest log-likelihood ratio of a stretch of a run, over its character pairs."""
     scores = F.lit(table)
-    return F.aggregate(pairs(run), F.lit(0.0), lambda acc, k: acc + F.coalesce(F.get(scores, k), F.lit(0.0)))
+
+    def step(acc: Column, k: Column) -> Column:
+        here = F.greatest(acc["here"] + F.coalesce(F.get(scores, k), F.lit(0.0)), F.lit(0.0))
+        return F.struct(here.alias("here"), F.greatest(acc["best"], here).alias("best"))
+
+    start = F.struct(F.lit(0.0).alias("here"), F.lit(0.0).alias("best"))
+    return F.aggregate(pairs(run), start, step, lambda acc: acc["best"])
 
 
-def train(found: DataFrame, sample: int) -> list[float] | None:
-    """The log-likelihood ratio of each character pair. found: rid, text, base."""
-    marked = found.select("rid", (F.size("base") > 0).alias("has"))
+def train(texts: DataFrame, sample: int) -> list[float] | None:
+    """The log-likelihood ratio of each character pair. texts: rid, text."""
+    marked = written(texts.select("rid", (F.size(base_spans(F.col("text"))) > 0).alias("has")), "marked")
     ids = marked.where("has").orderBy(F.xxhash64("rid"), "rid").limit(sample).union(marked.where("not has").orderBy(F.xxhash64("rid"), "rid").limit(sample))
-    # ids are at most 2 * sample rows
-    rows = found.join(F.broadcast(ids.select("rid")), "rid", "left_semi")
-    value = F.transform("base", lambda s: F.regexp_extract(F.substring(F.col("text"), s["start"] + 1, s["stop"] - s["start"]), r"([A-Za-z0-9+/_.=-]+)$", 1))
+    # ids are at most 2 * sample rows, and only their texts are scanned again
+    rows = texts.join(F.broadcast(ids.select("rid").distinct()), "rid", "left_semi").withColumn("base", valued_base(F.col("text")))
+    value = F.transform("base", lambda s: F.regexp_extract(s["value"], r"([A-Za-z0-9+/_.=-]+)$", 1))
     blanked = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), LONG["access"], " "), LONG["hex"], " ")
     plain = F.regexp_extract_all(blanked, F.lit(r"[A-Za-z0-9+/_.=-]{4,}"), F.lit(0))
     runs = rows.select(F.explode(F.array(F.struct(F.lit(True).alias("random"), value.alias("v")), F.struct(F.lit(False).alias("random"), plain.alias("v")))).alias("r")).select("r.random", F.explode("r.v").alias("v")).where("length(v) > 1")
@@ -128,32 +151,45 @@ def conditional(counts: list[float], weight: float = 8.0) -> list[float]:
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = 2000, odds: float = 1e6) -> DataFrame:
     """doc_id, text, base and added: arrays of spans (start, kind_no, kind, stop), and
     all: both by start, then kind."""
-    found = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    found = found.withColumn("base", base_spans(F.col("text"))).withColumn("rid", F.xxhash64(F.col("doc_id")))
-    scores = train(found, sample)
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    scores = train(texts.select(F.xxhash64("doc_id").alias("rid"), "text"), sample)
+    found = texts.withColumn("base", base_spans(F.col("text")))
     none = F.array().cast(SPAN)
     if scores is None:
         return found.select("doc_id", "text", "base", none.alias("added"), F.col("base").alias("all"))
     high = lambda run: ratio(run, scores) > math.log(odds)
-    runs = F.regexp_extract_all("text", F.lit(RUN), F.lit(0))
-    found = found.withColumn("flagged", F.exists(runs, high))
-    placed = F.filter(
-        spans(F.col("text"), RUN, 0, 16, "markov", len(KINDS)),
-        lambda s: high(F.substring(F.col("text"), s["start"] + 1, s["stop"] - s["start"])) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
-    )
-    found = found.withColumn("added", F.when(F.col("flagged"), placed).otherwise(none))
+    # base spans as blanks: what stands beside them in a run is scored by itself
+    found = found.withColumn("rest", substituted(F.col("text"), F.col("base"), lambda b, left: F.repeat(F.lit(" "), left)))
+    found = found.withColumn("flagged", F.exists(F.regexp_extract_all("rest", F.lit(RUN), F.lit(0)), high))
+    placed = F.filter(spans(F.col("rest"), RUN, 0, 16, "markov", len(KINDS)), lambda s: high(s["value"]))
+    found = found.withColumn("added", F.when(F.col("flagged"), without_values(placed)).otherwise(none))
     return found.select("doc_id", "text", "base", "added", F.array_sort(F.concat("base", "added")).alias("all"))
 
 
+def substituted(text: Column, every: Column, by) -> Column:
+    """The text with each span replaced by by(span, how much of it is not yet replaced)."""
+
+    def replaced(c: Column) -> Column:
+        part = lambda a, b: F.array_join(F.slice(c, a + 1, F.greatest(b - a, F.lit(0))), "")
+
+        def step(acc: Column, s: Column) -> Column:
+            full = F.size(acc["new"]) >= CHUNK
+            new = F.when(full, F.array().cast("array<string>")).otherwise(acc["new"])
+            out = F.when(full, F.concat(acc["out"], F.array(F.array_join(acc["new"], "")))).otherwise(acc["out"])
+            more = F.concat(new, F.array(part(acc["at"], s["start"]), by(s, s["stop"] - F.greatest(acc["at"], s["start"]))))
+            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["stop"] > acc["at"], more).otherwise(new).alias("new"), out.alias("out"))
+
+        none = F.array().cast("array<string>")
+        start = F.struct(F.lit(0).alias("at"), none.alias("new"), none.alias("out"))
+        return F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.array_join(acc["new"], ""), part(acc["at"], F.size(c))))
+
+    # array of one element: binds the characters to a name
+    return F.when(F.size(every) > 0, F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), replaced), F.lit(0))).otherwise(text)
+
+
 def redacted(text: Column, every: Column) -> Column:
-    """The text with each span replaced by its kind in brackets (overlapping spans: the first)."""
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"],
-        F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))).alias("out")),
-    ).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(every) > 0, done).otherwise(text)
+    """The text with each span replaced by its kind in brackets (overlapping spans: that of the first)."""
+    return substituted(text, every, lambda s, left: F.when(left == s["stop"] - s["start"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,35 @@ def test_redaction_and_empty_table(spark):
     assert got == {1: "é [assign] x [hex] end", 2: "nothing"}
     assert secrets.scan(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == secrets.scan(docs).where("doc_id = 2").select(F.sha2(secrets.listed(F.col("base")), 256)).first()[0]
+
+
+def test_many_matches_and_very_long_texts(spark):
+    import hashlib
+    import random
+    import re
+
+    rng = random.Random(4)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    text = "\U0001f642é " + " ".join(f"{secret()} w{k}" for k in range(5_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "x" * 300_000)], "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets.scan(docs).select("doc_id", "base", secrets.redacted(secrets.F.col("text"), secrets.F.col("all")).alias("clean")).collect()}
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+    assert [(s.start, s.stop) for s in out[1].base] == want and len(want) == 5_000
+    assert out[1].clean == re.sub("[0-9a-f]{32,}", "[hex]", text)
+    assert out[3].clean == "x" * 300_000 and out[2].base == []
+    assert hashlib.sha256(out[1].clean.encode()).hexdigest() == hashlib.sha256(re.sub("[0-9a-f]{32,}", "[hex]", text).encode()).hexdigest()
+
+
+def test_a_random_stretch_in_a_longer_run_is_found(spark):
+    import random
+
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    plain = "the quick brown.fox jumps over/the lazy-dog and_then runs back/into the forest/path index.html "
+    rows = [(k, plain * 3 + f'token = "{token(40)}" ' + plain) for k in range(400)]
+    rows += [(1000 + k, plain + "runs/into/the/forest/path/" + token(40) + "/index/the/lazy-dog/over/there.html") for k in range(20)]
+    rows += [(2000 + k, plain + "runs/into/the/forest/path/the/lazy-dog/over/the/index.html") for k in range(20)]
+    out = {r.doc_id: len(r.added) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[1000 + k] > 0 for k in range(20)) >= 18
+    assert sum(out[2000 + k] > 0 for k in range(20)) == 0
