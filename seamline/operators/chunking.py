@@ -104,9 +104,12 @@ def structured(pages: DataFrame, doc_type: str = "rule") -> DataFrame:
     marker = line.rlike(u(CONTENTS))
     plain = ~marker & ~line.rlike(u(LEADERS))
     state = F.last(F.when(marker, F.lit(True)).when(plain, F.lit(False)), ignorenulls=True).over(upto)
+    # a page of contents alone may be the first guidance page: flags are taken before its lines go
+    whole = W.partitionBy("doc_id")
+    lines = lines.withColumns({"guided": F.max("guide").over(upto), "guide_page": F.min(F.when(F.col("guide"), F.col("page_no"))).over(whole)})
     lines = lines.withColumn("toc", F.coalesce(state, F.lit(False))).where("not toc and line <> ''")
     appendix = line.rlike(u(APPENDIX)) & ~line.contains("·")
-    lines = lines.withColumns({"guided": F.max("guide").over(upto), "appendix": appendix})
+    lines = lines.withColumns({"appendix": appendix})
     lines = lines.withColumn("in_appx", F.max("appendix").over(upto))
     first_guided = F.col("guided") & ~F.coalesce(F.lag("guided").over(at), F.lit(False))
     is_chapter = ~F.col("in_appx") & line.rlike(u(CHAPTER))
@@ -135,7 +138,9 @@ def structured(pages: DataFrame, doc_type: str = "rule") -> DataFrame:
     before = F.last("number", ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, -1))
     lines = lines.withColumn("opens", F.col("number").isNotNull() & (before.isNull() | (before != F.col("number"))))
     lines = lines.withColumn("article_no", F.sum(F.col("opens").cast("int")).over(within.rowsBetween(W.unboundedPreceding, 0)))
-    ends = lines.where("opens or closes or reset").select("doc_id", "page_no", "pos").withColumn("next_page", F.lead("page_no").over(at))
+    # the switch to guidance closes an article on the page before
+    closed = F.when(F.col("reset"), F.col("guide_page") - 1).otherwise(F.col("page_no"))
+    ends = lines.where("opens or closes or reset").select("doc_id", "page_no", "pos", closed.alias("closed")).withColumn("next_page", F.lead("closed").over(at)).drop("closed")
     last_page = pages.groupBy("doc_id").agg(F.max("page_no").alias("last_page"))
     body = lines.where("article_no > 0 and not closes").groupBy("doc_id", "stop", "article_no").agg(
         F.max(F.when(F.col("guided"), "guidance").otherwise(doc_type)).alias("doc_type"),

@@ -30,17 +30,17 @@ def postings(chunks: DataFrame, id_column: str = "chunk_no") -> DataFrame:
     return bound.select(id_column, F.explode_outer("grams").alias("term")).where("term is not null").groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, id_column: str = "chunk_no") -> DataFrame:
+def bm25(index: DataFrame, chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, present_only: bool = False, id_column: str = "chunk_no") -> DataFrame:
     """query_id, id, bm for every chunk that shares a term with a query (the others
     have the same constant part only, which min-max scaling removes: see hybrid).
 
-    The formula is the published BM25Plus with idf = ln((N + 1) / df); delta is added
-    for every query term, present or not, as common libraries do, and so only the
-    part that differs between chunks is summed. A query's repeated terms count
+    The formula is the published BM25Plus with idf = ln((N + 1) / df). Common libraries
+    add delta for every query term, present or not, so only the part that differs
+    between chunks is summed; with present_only delta is added for the terms that a
+    chunk has, as in the paper. A query's repeated terms count
     repeatedly. queries: query_id, text; broadcast after a check of their number.
     """
-    size = chunks.select(id_column, F.size(F.array(F.length("text"))).alias("_")).select(id_column)
-    stats = size.agg(F.count(F.lit(1)).alias("docs"))
+    stats = chunks.agg(F.count(F.lit(1)).alias("docs"))
     lengths = index.groupBy(id_column).agg(F.sum("tf").alias("dl"))
     mean = lengths.agg(F.sum("dl").alias("terms"))
     wanted = queries.select("query_id", F.explode(ngrams(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -51,8 +51,7 @@ def bm25(index: DataFrame, chunks: DataFrame, queries: DataFrame, k1: float = 1.
     rows = hits.join(df, "term").join(lengths, id_column).join(F.broadcast(stats)).join(F.broadcast(mean))
     idf = F.log((F.col("docs") + 1) / F.col("df"))
     norm = k1 * (1 - b + b * F.col("dl") / (F.col("terms") / F.col("docs")))
-    part = F.col("qtf") * idf * (F.col("tf") * (k1 + 1) / (norm + F.col("tf")))
-    del delta  # the same for all chunks
+    part = F.col("qtf") * idf * ((delta if present_only else 0.0) + F.col("tf") * (k1 + 1) / (norm + F.col("tf")))
     return rows.groupBy("query_id", id_column).agg(F.sum(part).alias("bm"))
 
 
@@ -69,10 +68,11 @@ def scaled(scores: DataFrame, value: str, by: str = "query_id") -> DataFrame:
 
 def hybrid(chunks: DataFrame, lexical: DataFrame, queries: DataFrame, weight: float = 0.6, id_column: str = "chunk_no") -> DataFrame:
     """All chunks against all queries, in blocks of queries: weight * cosine + (1 - weight)
-    * scaled BM25; chunks without a shared term take part in the scaling with 0."""
+    * scaled BM25; chunks without a shared term take part in the scaling with 0. A chunk
+    without vector has cosine 0, and a query without one goes by BM25 alone."""
     pairs = against(chunks, queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
     both = pairs.join(lexical, ["query_id", id_column], "left").withColumn("bm", F.coalesce("bm", F.lit(0.0)))
-    return scaled(both, "bm").withColumn("dense", cosine(F.col("embedding"), F.col("_q"))).withColumn("score", weight * F.col("dense") + (1 - weight) * F.col("bm")).drop("_q")
+    return scaled(both, "bm").withColumn("dense", cosine(F.col("embedding"), F.col("_q"))).withColumn("score", F.when(F.col("_q").isNull(), F.col("bm")).otherwise(weight * F.coalesce("dense", F.lit(0.0)) + (1 - weight) * F.col("bm"))).drop("_q")
 
 
 def soft(score: Column, topics: list[str] | None = None, doc_types: list[str] | None = None, doc_ids: list | None = None) -> Column:

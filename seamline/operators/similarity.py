@@ -16,24 +16,31 @@ FINE = 0.12
 SUMMARY = "유사 사례 %d건 중 %d건이 실제로 기공 결함이 있었습니다 (위험도: %s). 가장 비슷했던 특징은 %s입니다. 이번 사진은 기공 %d개, 배치는 '%s'%s 입니다."
 SUMMARY_SIZE = ", 크기는 대부분 '%s'"
 AXES = {"distribution": "기공 배치 패턴", "shape": "기공 형태", "size": "기공 크기"}
-FIELDS = ("n_instances", "distribution", "extent_ratio", "mean_nn_norm", "small", "medium", "large", "elongated", "mean_d")
+FIELDS = ("n_instances", "distribution", "extent_ratio", "mean_nn_norm", "small", "medium", "large", "elongated", "mean_d", "kind")
+
+
+CLASSES = ("해당없음", "단독", "산재", "군집", "선상")
+
+
+def class_number(c: Column) -> Column:
+    """A class as its place in CLASSES."""
+    return F.array_position(F.lit(list(CLASSES)), c).cast("int") - 1
 
 
 def class_similarity(a: Column, b: Column) -> Column:
-    out = F.when((a == "해당없음") & (b == "해당없음"), 1.0).when((a == "해당없음") | (b == "해당없음"), 0.0).when(a == b, 1.0)
-    for (x, y), s in CLOSE.items():
-        out = out.when(((a == x) & (b == y)) | ((a == y) & (b == x)), s)
-    return out.otherwise(0.0)
+    """Similarity of two classes given as numbers, from one table."""
+    of = lambda x, y: 1.0 if x == y else CLOSE.get((x, y), CLOSE.get((y, x), 0.0))
+    return F.get(F.lit([of(x, y) for x in CLASSES for y in CLASSES]), a * len(CLASSES) + b)
 
 
 def closeness(a: Column, b: Column) -> Column:
     return 1 - F.least(F.lit(1.0), F.abs(a - b))
 
 
-def compared(a: str, b: str) -> Column:
-    """Struct of score and its parts for two profiles in struct columns a and b."""
+def compared(a: str, b: str) -> dict[str, Column]:
+    """Score and its parts for two profiles in struct columns a and b."""
     x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
-    both = class_similarity(x("distribution"), y("distribution"))
+    both = class_similarity(x("kind"), y("kind"))
     extents = x("extent_ratio").isNotNull() & y("extent_ratio").isNotNull()
     dist = F.when(extents, 0.6 * both + 0.4 * closeness(x("extent_ratio"), y("extent_ratio"))).otherwise(both)
     shape = 1 - F.abs(x("elongated") - y("elongated"))
@@ -44,24 +51,33 @@ def compared(a: str, b: str) -> Column:
     fine = (n + d + half("extent_ratio") + half("mean_nn_norm")) / 4
     w = WEIGHTS
     coarse = (dist * w[0] + shape * w[1] + size * w[2]) / sum(w)
-    return F.struct((coarse * (1 - FINE) + fine * FINE).alias("score"), dist.alias("s_distribution"), shape.alias("s_shape"), size.alias("s_size"), fine.alias("s_fine"))
+    return {"score": coarse * (1 - FINE) + fine * FINE, "s_distribution": dist, "s_shape": shape, "s_size": size, "s_fine": fine}
 
 
 def scored(queries: DataFrame, cases: DataFrame) -> DataFrame:
     """Every query against every case, in blocks of queries. Columns query_id, case_id,
-    q, c and the score's parts."""
-    q = queries.select(F.col("image").alias("query_id"), F.struct(*FIELDS).alias("q"))
-    c = cases.select(F.col("image").alias("case_id"), F.struct(*FIELDS).alias("c"), *(["verdict"] if "verdict" in cases.columns else []))
-    return against(c, q, "query_id").withColumn("s", compared("q", "c")).select("query_id", "case_id", "q", "c", *(["verdict"] if "verdict" in cases.columns else []), "s.*")
+    q, c and the score's parts; what is not used of them is not computed."""
+    kind = class_number(F.col("distribution"))
+    q = queries.withColumn("kind", kind).select(F.col("image").alias("query_id"), F.struct(*FIELDS).alias("q"))
+    c = cases.withColumn("kind", kind).select(F.col("image").alias("case_id"), F.struct(*FIELDS).alias("c"), *(["verdict"] if "verdict" in cases.columns else []))
+    return against(c, q, "query_id").select("*", *(v.alias(k) for k, v in compared("q", "c").items()))
 
 
-def ranked(pairs: DataFrame, k: int, digits: int = 9) -> DataFrame:
+def ranked(pairs: DataFrame, k: int, digits: int = 9, buckets: int = 256) -> DataFrame:
     """The k best cases of each query (score rounded, ties by case id), numbered.
-    Spark limits each task to k per query before the shuffle (WindowGroupLimit)."""
+
+    Pairs are not sorted: one hash aggregation gives each query's best score in each
+    of `buckets` parts of the cases (at least 4 * k). The k-th of these is a score that k
+    cases reach, so only pairs with as much go into the ranking."""
     from pyspark.sql import Window as W
 
-    order = (F.desc(F.round("score", digits)), F.asc("case_id"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    parts = max(buckets, 4 * k)
+    score = F.round("score", digits)
+    best = pairs.groupBy("query_id", F.pmod(F.xxhash64("case_id"), F.lit(parts)).alias("part")).agg(F.max(score).alias("best"))
+    least = best.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("best"), asc=False), F.lit(k - 1)).alias("least")).select(F.col("query_id").alias("_query"), "least")
+    # a row for each query, as many as are broadcast already
+    near = pairs.join(F.broadcast(least), F.col("query_id") == F.col("_query")).where(F.col("least").isNull() | (score >= F.col("least"))).drop("_query", "least")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), F.asc("case_id")))).where(F.col("rank") <= k)
 
 
 def diverse(pairs: DataFrame, k: int = 5, pool: int = 50, trade: float = 0.5) -> DataFrame:
@@ -71,7 +87,7 @@ def diverse(pairs: DataFrame, k: int = 5, pool: int = 50, trade: float = 0.5) ->
     top = ranked(pairs, pool).select("query_id", "case_id", "c", "score", "rank")
     members = top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "case_id", "score", "c"))).alias("pool"))
     other = top.select("query_id", F.col("rank").alias("rank2"), F.col("c").alias("c2"))
-    near = top.join(other, "query_id").withColumn("s", compared("c", "c2")).select("query_id", "rank", "rank2", F.col("s.score").alias("near"))
+    near = top.join(other, "query_id").select("query_id", "rank", "rank2", compared("c", "c2")["score"].alias("near"))
     rows = near.groupBy("query_id", "rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank2", "near"))), lambda x: x["near"]).alias("near"))
     near = rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "near"))), lambda x: x["near"]).alias("near"))
     state = members.join(near, "query_id").withColumn("chosen", F.array(F.lit(1)))
@@ -87,22 +103,35 @@ def diverse(pairs: DataFrame, k: int = 5, pool: int = 50, trade: float = 0.5) ->
     return state.select("query_id", F.posexplode_outer(picked).alias("place", "m")).select("query_id", (F.col("place") + 1).alias("rank"), F.col("m.case_id").alias("case_id"), F.col("m.score").alias("score"))
 
 
-def report(top: DataFrame) -> DataFrame:
+NO_MATCH = "비교할 유사 사례가 없습니다."
+
+
+def report(top: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """One row per query: counts, risk, mean similarity of each axis, the axis that
-    fits best (of equals the first), and the summary text."""
+    fits best (of equals the first), the summary text and the matches
+    (case:score:verdict, best first). Parts are rounded to 3 digits before their
+    mean, and the axis is that of the unrounded mean. queries (query_id): those
+    without matches get the form for none."""
     n = F.count(F.lit(1))
+    thousandths = lambda c: F.sum(F.round(F.col(c) * 1000).cast("long"))
+    match = F.struct("rank", F.format_string("%d:%.3f:%s", "case_id", F.round("score", 3), "verdict").alias("m"))
     got = top.groupBy("query_id").agg(
         n.alias("n_similar"), F.count_if(F.col("verdict") == "abnormal").alias("n_abnormal"),
-        F.round(F.avg("s_distribution"), 3).alias("distribution"), F.round(F.avg("s_shape"), 3).alias("shape"), F.round(F.avg("s_size"), 3).alias("size"), F.first("q").alias("q"),
+        *(thousandths(f"s_{c}").alias(c) for c in AXES), F.first("q").alias("q"), F.array_join(F.transform(F.sort_array(F.collect_list(match)), lambda x: x["m"]), " ").alias("matches"),
     )
     ratio = F.col("n_abnormal") / F.col("n_similar")
     axis = F.when((F.col("distribution") >= F.col("shape")) & (F.col("distribution") >= F.col("size")), "distribution").when(F.col("shape") >= F.col("size"), "shape").otherwise("size")
     got = got.withColumns({"risk": F.when(ratio >= 0.6, "높음").when(ratio >= 0.3, "보통").otherwise("낮음"), "best_axis": axis})
+    got = got.withColumns({c: F.round(F.col(c) / F.col("n_similar") / 1000, 3) for c in AXES})
     main = P.main_size(F.col("q.small"), F.col("q.medium"), F.col("q.large"))
     name = F.when(F.col("best_axis") == "distribution", AXES["distribution"]).when(F.col("best_axis") == "shape", AXES["shape"]).otherwise(AXES["size"])
     mostly = F.when(F.col("q.n_instances") > 0, F.format_string(SUMMARY_SIZE, main)).otherwise("")
     text = F.format_string(SUMMARY, "n_similar", "n_abnormal", "risk", name, F.col("q.n_instances"), F.col("q.distribution"), mostly)
-    return got.select("query_id", "n_similar", "n_abnormal", "risk", "distribution", "shape", "size", "best_axis", text.alias("summary"))
+    out = got.select("query_id", "n_similar", "n_abnormal", "risk", *AXES, "best_axis", text.alias("summary"), "matches")
+    if queries is None:
+        return out
+    none = {"n_similar": F.lit(0), "n_abnormal": F.lit(0), "risk": F.lit("해당없음"), "summary": F.lit(NO_MATCH), "matches": F.lit("")}
+    return queries.select("query_id").join(out, "query_id", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
 
 
 def screen_similarity(morphology: Column, size: Column, distribution: Column, location: Column) -> Column:

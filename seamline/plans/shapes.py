@@ -122,8 +122,9 @@ v_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(scor
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Images whose id is divisible by 100 against all, the case base."""
-    cases = case_table(spark, sf)
+    """Images whose id is divisible by 100 against all, the case base. Profiles are kept, so
+    they are made once for both sides and all passes."""
+    cases = case_table(spark, sf).persist()
     base = cases.withColumn("verdict", F.when(F.col("image") % 5 < 2, "abnormal").otherwise("normal"))
     return S.scored(cases.where("image % 100 = 0"), base)
 
@@ -138,9 +139,19 @@ def similar_mmr(spark, sf):
     return S.diverse(scored(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {V_SIMILAR}, g AS (SELECT query_id, count(*) AS n_similar, count(*) FILTER (case_id % 5 < 2) AS n_abnormal, round(avg(s_distribution), 3) AS distribution, round(avg(s_shape), 3) AS shape, round(avg(s_size), 3) AS size, any_value(qn) AS qn, any_value(qd) AS qd, any_value(qs) AS qs, any_value(qm) AS qm, any_value(ql) AS ql FROM v_top GROUP BY query_id),
-r AS (SELECT *, CASE WHEN n_abnormal / n_similar::DOUBLE >= 0.6 THEN '높음' WHEN n_abnormal / n_similar::DOUBLE >= 0.3 THEN '보통' ELSE '낮음' END AS risk, CASE WHEN distribution >= shape AND distribution >= size THEN 'distribution' WHEN shape >= size THEN 'shape' ELSE 'size' END AS best_axis FROM g)
-SELECT query_id, n_similar, n_abnormal, risk, distribution, shape, size, best_axis, printf('{S.SUMMARY}', n_similar, n_abnormal, risk, CASE best_axis WHEN 'distribution' THEN '{S.AXES["distribution"]}' WHEN 'shape' THEN '{S.AXES["shape"]}' ELSE '{S.AXES["size"]}' END, qn, qd,
-printf('{S.SUMMARY_SIZE}', CASE WHEN qs >= qm AND qs >= ql THEN '소' WHEN qm >= ql THEN '중' ELSE '대' END)) AS summary FROM r""".replace("'%s'", "''%s''"))
+#: Matches of the report have this score or more, so some queries have none.
+ALIKE = 0.97
+
+
+@query(f"""WITH {V_SIMILAR}, m AS (SELECT *, round(s_distribution, 3) AS d3, round(s_shape, 3) AS s3, round(s_size, 3) AS z3 FROM v_top WHERE score >= {ALIKE}),
+g AS (SELECT query_id, count(*) AS n_similar, count(*) FILTER (case_id % 5 < 2) AS n_abnormal, sum(round(d3 * 1000)::BIGINT) AS d, sum(round(s3 * 1000)::BIGINT) AS s, sum(round(z3 * 1000)::BIGINT) AS z, any_value(qn) AS qn, any_value(qd) AS qd, any_value(qs) AS qs, any_value(qm) AS qm, any_value(ql) AS ql,
+  string_agg(printf('%d:%.3f:', case_id, round(score, 3)) || CASE WHEN case_id % 5 < 2 THEN 'abnormal' ELSE 'normal' END, ' ' ORDER BY rank) AS matches FROM m GROUP BY query_id),
+r AS (SELECT *, CASE WHEN n_abnormal / n_similar::DOUBLE >= 0.6 THEN '높음' WHEN n_abnormal / n_similar::DOUBLE >= 0.3 THEN '보통' ELSE '낮음' END AS risk, CASE WHEN d >= s AND d >= z THEN 'distribution' WHEN s >= z THEN 'shape' ELSE 'size' END AS best_axis FROM g),
+t AS (SELECT query_id, n_similar, n_abnormal, risk, round(d / n_similar / 1000::DOUBLE, 3) AS distribution, round(s / n_similar / 1000::DOUBLE, 3) AS shape, round(z / n_similar / 1000::DOUBLE, 3) AS size, best_axis, matches, printf('{S.SUMMARY}', n_similar, n_abnormal, risk, CASE best_axis WHEN 'distribution' THEN '{S.AXES["distribution"]}' WHEN 'shape' THEN '{S.AXES["shape"]}' ELSE '{S.AXES["size"]}' END, qn, qd,
+printf('{S.SUMMARY_SIZE}', CASE WHEN qs >= qm AND qs >= ql THEN '소' WHEN qm >= ql THEN '중' ELSE '대' END)) AS summary FROM r)
+SELECT p.image AS query_id, coalesce(n_similar, 0) AS n_similar, coalesce(n_abnormal, 0) AS n_abnormal, coalesce(risk, '해당없음') AS risk, distribution, shape, size, best_axis, coalesce(summary, '{S.NO_MATCH}') AS summary, coalesce(matches, '') AS matches
+FROM v_profile p LEFT JOIN t ON t.query_id = p.image WHERE p.image % 100 = 0""".replace("'%s'", "''%s''"))
 def similar_report(spark, sf):
-    return S.report(S.ranked(scored(spark, sf), 5))
+    top = S.ranked(scored(spark, sf), 5).where(F.col("score") >= ALIKE)
+    queries = table(spark, sf, "lineitem").where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("query_id")).distinct()
+    return S.report(top, queries)

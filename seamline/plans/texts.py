@@ -35,9 +35,9 @@ def char_ngrams(spark, sf):
     return rows.select("doc_id", F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
 
 
-#: Queries of the searches: the benchmark texts whose id is divisible by 100.
+#: Queries of the searches: the documents whose id is divisible by 100, against all.
 def questions(spark, sf):
-    return table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return table(spark, sf, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
 def lexical(spark, sf):
@@ -48,7 +48,7 @@ def lexical(spark, sf):
 V_BM25 = f"""v_t AS (SELECT doc_id AS chunk_no, unnest({GRAMS}) AS term FROM (SELECT doc_id, {NORM} AS t FROM documents)),
 v_post AS (SELECT chunk_no, term, count(*) AS tf FROM v_t GROUP BY ALL), v_len AS (SELECT chunk_no, sum(tf) AS dl FROM v_post GROUP BY chunk_no),
 v_n AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(dl) FROM v_len) AS terms),
-v_q AS (SELECT query_id, unnest({GRAMS}) AS term FROM (SELECT item_id AS query_id, {NORM} AS t FROM benchmark WHERE item_id % 100 = 0)), v_qt AS (SELECT query_id, term, count(*) AS qtf FROM v_q GROUP BY ALL),
+v_q AS (SELECT query_id, unnest({GRAMS}) AS term FROM (SELECT doc_id AS query_id, {NORM} AS t FROM documents WHERE doc_id % 100 = 0)), v_qt AS (SELECT query_id, term, count(*) AS qtf FROM v_q GROUP BY ALL),
 v_df AS (SELECT term, count(*) AS df FROM v_post GROUP BY term),
 v_bm AS (SELECT query_id, chunk_no, sum(qtf * ln((docs + 1) / df::DOUBLE) * (tf * 2.5::DOUBLE / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (terms / docs::DOUBLE)) + tf))) AS bm FROM v_post JOIN v_qt USING (term) JOIN v_df USING (term) JOIN v_len USING (chunk_no), v_n GROUP BY ALL)"""
 
@@ -58,6 +58,12 @@ def bm25_search(spark, sf):
     return top(lexical(spark, sf)[1], "bm")
 
 
+@query(f"WITH {V_BM25.replace('* (tf * 2.5', '* (1.0::DOUBLE + tf * 2.5')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm, 6) DESC, chunk_no) AS rank FROM v_bm QUALIFY rank <= 5) SELECT query_id, chunk_no, rank::INT AS rank, round(bm, 4) AS bm FROM r")
+def bm25_present_terms(spark, sf):
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_no"), "text")
+    return top(R.bm25(R.postings(chunks), chunks, questions(spark, sf), present_only=True), "bm")
+
+
 def top(scores, value: str, k: int = 5, digits: int = 6, shown: int = 4):
     from pyspark.sql import Window as W
 
@@ -83,13 +89,16 @@ def dense_search(spark, sf):
 
 
 def fused(spark, sf):
+    """All documents, with or without a vector, against the queries with their own vectors."""
     chunks, bm = lexical(spark, sf)
     meta = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_no"), "doc_id", F.col("source").alias("doc_type"), F.array("lang").alias("topics"), "text")
-    return R.hybrid(meta.join(vectors(spark, sf), "chunk_no"), bm, asked(spark, sf))
+    queries = questions(spark, sf).join(asked(spark, sf), "query_id", "left")
+    return R.hybrid(meta.join(vectors(spark, sf), "chunk_no", "left"), bm, queries)
 
 
-V_FUSED = f"""{V_BM25}, {V_DENSE}, v_pair AS (SELECT d.query_id, d.chunk_no, dense, coalesce(bm, 0.0::DOUBLE) AS bm, lang, source FROM v_dense d JOIN documents o ON o.doc_id = d.chunk_no LEFT JOIN v_bm b ON b.query_id = d.query_id AND b.chunk_no = d.chunk_no),
-v_end AS (SELECT query_id, min(bm) AS lo, max(bm) AS hi FROM v_pair GROUP BY query_id), v_fused AS (SELECT *, 0.6::DOUBLE * dense + 0.4::DOUBLE * ((bm - lo) / (hi - lo + 1e-9)) AS score FROM v_pair JOIN v_end USING (query_id))"""
+V_FUSED = f"""{V_BM25}, v_pair AS (SELECT q.doc_id AS query_id, o.doc_id AS chunk_no, e.embedding IS NOT NULL AS asked, CASE WHEN e.embedding IS NULL OR c.embedding IS NULL THEN 0.0::DOUBLE ELSE list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) END AS dense, coalesce(bm, 0.0::DOUBLE) AS bm, o.lang, o.source
+  FROM (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) q CROSS JOIN documents o LEFT JOIN embeddings e ON e.vec_id = q.doc_id LEFT JOIN embeddings c ON c.vec_id = o.doc_id LEFT JOIN v_bm b ON b.query_id = q.doc_id AND b.chunk_no = o.doc_id),
+v_end AS (SELECT query_id, min(bm) AS lo, max(bm) AS hi FROM v_pair GROUP BY query_id), v_fused AS (SELECT *, CASE WHEN asked THEN 0.6::DOUBLE * dense + 0.4::DOUBLE * ((bm - lo) / (hi - lo + 1e-9)) ELSE (bm - lo) / (hi - lo + 1e-9) END AS score FROM v_pair JOIN v_end USING (query_id))"""
 
 
 def ranked_sql(score: str) -> str:
