@@ -149,7 +149,7 @@ g AS (SELECT query_id, count(*) AS n_similar, count(*) FILTER (case_id % 5 < 2)
 r AS (SELECT *, CASE WHEN n_abnormal / n_similar::DOUBLE >= 0.6 THEN '높음' WHEN n_abnormal / n_similar::DOUBLE >= 0.3 THEN '보통' ELSE '낮음' END AS risk, CASE WHEN d >= s AND d >= z THEN 'distribution' WHEN s >= z THEN 'shape' ELSE 'size' END AS best_axis FROM g),
 t AS (SELECT query_id, n_similar, n_abnormal, risk, round(d / n_similar / 1000::DOUBLE, 3) AS distribution, round(s / n_similar / 1000::DOUBLE, 3) AS shape, round(z / n_similar / 1000::DOUBLE, 3) AS size, best_axis, matches, printf('{S.SUMMARY}', n_similar, n_abnormal, risk, CASE best_axis WHEN 'distribution' THEN '{S.AXES["distribution"]}' WHEN 'shape' THEN '{S.AXES["shape"]}' ELSE '{S.AXES["size"]}' END, qn, qd,
 printf('{S.SUMMARY_SIZE}', CASE WHEN qs >= qm AND qs >= ql THEN '소' WHEN qm >= ql THEN '중' ELSE '대' END)) AS summary FROM r)
-SELECT p.image AS query_id, coalesce(n_similar, 0) AS n_similar, coalesce(n_abnormal, 0) AS n_abnormal, coalesce(risk, '해당없음') AS risk, distribution, shape, size, best_axis, coalesce(summary, '{S.NO_MATCH}') AS summary, coalesce(matches, '') AS matches
+SELECT p.image AS query_id, coalesce(n_similar, 0) AS n_similar, coalesce(n_abnormal, 0) AS n_abnormal, coalesce(risk, '해당없음') AS risk, t.distribution, t.shape, t.size, best_axis, coalesce(summary, '{S.NO_MATCH}') AS summary, coalesce(matches, '') AS matches
 FROM v_profile p LEFT JOIN t ON t.query_id = p.image WHERE p.image % 100 = 0""".replace("'%s'", "''%s''"))
 def similar_report(spark, sf):
     top = S.ranked(scored(spark, sf), 5).where(F.col("score") >= ALIKE)
