@@ -135,6 +135,8 @@ class TreeCodec:
         ranks = self.ranks
         if (whole := ranks.get(b)) is not None:
             return [whole]
+        if n <= 64:
+            return self.merged_short(b)
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(b[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -156,6 +158,20 @@ class TreeCodec:
             i = ends[i]
         return out
 
+    def merged_short(self, b: bytes) -> list[int]:
+        """merged() by looking for the least rank again after each merge."""
+        get, none = self.ranks.get, len(self.tokens)
+        at = list(range(len(b) + 1))
+        ranks = [get(b[i : i + 2], none) for i in range(len(b) - 1)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            del at[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(b[at[i] : at[i + 2]], none)
+            if i:
+                ranks[i - 1] = get(b[at[i - 1] : at[i + 1]], none)
+        return [self.ranks[b[x:y]] for x, y in zip(at, at[1:])]
+
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf:
             return b"".join([self.tokens[i] for i in ids])
