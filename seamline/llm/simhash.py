@@ -299,6 +299,8 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     each block each fingerprint keeps its nearest one on either side of it in the
     trie's order, so rows do not grow with the square of a group. All links
     are verified by the exact similarity of the shingle multisets before they count.
+    The four blocks of the first fingerprint go first; then all blocks, where
+    only fingerprints of other classes than the own one so far count as near ones.
 
     Equal multisets are one node from the start; documents without words are one class.
     """
@@ -321,21 +323,20 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sketched = written(texts.mapInArrow(sketch, f"doc_id {kind.simpleString()}, node long, w array<long>, members array<int>"), "sketches")
     nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("w").alias("w")), "nodes")
     each = [F.struct(F.lit(4 * k + b).alias("turn"), F.shiftrightunsigned(F.col("w")[k], 48 - 16 * b).bitwiseAND(65535).cast("int").alias("block"), F.col("w")[k].alias("fp"), F.col("w")[(k + 1) % prints].alias("more")) for k in range(prints) for b in range(4)]
-    keyed = nodes.select("node", F.explode(F.array(*each)).alias("k")).select(F.expr("k.turn * 65536L + k.block").alias("key"), "k.fp", "k.more", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def near(rows: list[np.ndarray]) -> pa.RecordBatch:
-            key, fp, more, node = rows
+            key, fp, more, node, own = rows
             spun = fp.copy()
             for b in range(4):
                 of = (key >> 16) % 4 == b
                 spun[of] = turned(fp[of], [(16 * b, 16 * b + 16)])
             order = np.lexsort((spun, key))
-            key, fp, more, node, spun = key[order], fp[order], more[order], node[order], spun[order]
+            key, fp, more, node, own, spun = key[order], fp[order], more[order], node[order], own[order], spun[order]
             best = np.full((2, len(key)), np.iinfo(np.int64).max)  # of those before and those behind: distance, and which
             for i, j in trie_pairs(key, np.full(len(key), 2, np.int8), spun, errors):
                 d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
-                ok = (d <= 2 * errors - 5) & (node[i] != node[j])
+                ok = (d <= 2 * errors - 5) & (own[i] != own[j])
                 i, j, d = i[ok], j[ok], d[ok]
                 i, j = np.minimum(i, j), np.maximum(i, j)
                 np.minimum.at(best[0], j, d << 40 | i)
@@ -349,8 +350,8 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
         held: list[np.ndarray] = []
         for batch in batches:
-            key, fp, more, node = (np.asarray(batch.column(k)).astype(np.int64) for k in range(4))
-            rows = [key, fp.view(np.uint64), more.view(np.uint64), node]
+            key, fp, more, node, own = (np.asarray(batch.column(k)).astype(np.int64) for k in range(5))
+            rows = [key, fp.view(np.uint64), more.view(np.uint64), node, own]
             held = [np.concatenate([h, r]) for h, r in zip(held, rows)] if held else rows
             cut = int(np.searchsorted(held[0], held[0][-1], side="left")) if len(held[0]) else 0
             if cut > 60_000:
@@ -359,11 +360,6 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if held and len(held[0]):
             yield near(held)
 
-    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct(), "candidates")
-    asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    sets = written(sketched.select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
-    both = salted_join(salted_join(found, sets.select(F.col("node").alias("a"), F.col("members").alias("x")), ["a"]), sets.select(F.col("node").alias("b"), F.col("members").alias("y")), ["b"], found)
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
@@ -375,8 +371,19 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    edges = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    grouped = components(edges)
+    def similar(rows: DataFrame, turns: list) -> DataFrame:
+        """Verified links of rows (node, w, own), those of equal own left out."""
+        keyed = rows.select("node", "own", F.explode(F.array(*turns)).alias("k")).select(F.expr("k.turn * 65536L + k.block").alias("key"), "k.fp", "k.more", "node", "own")
+        found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct(), "candidates")
+        asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        sets = written(sketched.select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+        both = salted_join(salted_join(found, sets.select(F.col("node").alias("a"), F.col("members").alias("x")), ["a"]), sets.select(F.col("node").alias("b"), F.col("members").alias("y")), ["b"], found)
+        return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+    first_links = written(similar(nodes.withColumn("own", F.col("node")), each[:4]), "first-links")
+    root = components(first_links).select("node", F.col("root").alias("own"))
+    known = written(nodes.join(root, "node", "left").select("node", "w", F.coalesce("own", "node").alias("own")), "known")
+    grouped = components(first_links.union(similar(known, each)))
     member = written(nodes.select("node", "least").join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "members")
     first = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = written(salted_join(member, first, ["root"]).select("node", "component_id"), "classes")
