@@ -161,3 +161,55 @@ def response(margin: Column, turn: Column, steepness: Column) -> Column:
     """Logistic chance to reject, the exponent held within 30."""
     x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), steepness * (margin - turn)))
     return 1 / (1 + F.exp(-x))
+
+
+# Number of clauses in all; base range and goal of each target.
+CLAUSES = 244
+TARGETS = (("sec", "판독 소요시간", "분", 30, 60, 5), ("dis", "판정 불일치율", "%", 15, 20, 5), ("rsec", "보고서 작성", "분", 20, 30, 5))
+
+
+def figures(history: DataFrame) -> DataFrame:
+    """All key figures of the whole history in one row: rates, reasons, times (seconds),
+    shares of cases with AI class, crop and scale, false alarms, coverage of clauses."""
+    n = F.count(F.lit(1))
+    share = lambda test, name: rate(F.count_if(test), n, 4).alias(name)
+    return history.agg(
+        n.alias("cases"), share(F.col("human") == F.col("rule"), "agreement"), share(F.col("human") != F.col("rule"), "disagreement"), share(F.col("reason").isNotNull(), "escalation"),
+        *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS),
+        F.round(F.avg("seconds"), 4).alias("mean_seconds"), F.round(F.avg("report_seconds"), 4).alias("mean_report_seconds"),
+        share(F.col("ai"), "ai_share"), share(F.col("cropped"), "cropped_share"), share(F.col("scaled"), "scale_share"),
+        F.count_if("false_alarm").alias("false_alarms"), rate(F.count_distinct("clause"), F.lit(CLAUSES), 4).alias("coverage"),
+    )
+
+
+def region_review(regions: DataFrame) -> DataFrame:
+    """Regions by outcome (0 confirmed, 1 wrong, 2 to inspect again), with percentages."""
+    n, of = F.count(F.lit(1)), {"confirmed": 0, "wrong": 1, "again": 2}
+    counts = [F.count_if(F.col("outcome") == v).alias(k) for k, v in of.items()]
+    return regions.agg(n.alias("regions"), *counts).select("*", *(F.round(F.try_divide(100.0 * F.col(k), F.col("regions")), 1).alias(f"{k}_percent") for k in of))
+
+
+def report_review(history: DataFrame) -> DataFrame:
+    """Cases and mean time of each outcome of the report's review."""
+    return history.groupBy("report").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("report_seconds"), 4).alias("mean_seconds"))
+
+
+def against_targets(history: DataFrame) -> DataFrame:
+    """The three figures beside their base range and goal (minutes, percent)."""
+    value = {"sec": F.avg("seconds") / 60, "dis": 100 * F.avg((F.col("human") != F.col("rule")).cast("int")), "rsec": F.avg("report_seconds") / 60}
+    row = history.agg(*(v.alias(k) for k, v in value.items()))
+    lines = [F.struct(F.lit(k).alias("key"), F.lit(label).alias("label"), F.lit(unit).alias("unit"), F.lit(lo).alias("base_lo"), F.lit(hi).alias("base_hi"), F.lit(goal).alias("goal"), F.round(k, 4).alias("value"), (F.col(k) <= goal).alias("reached")) for k, label, unit, lo, hi, goal in TARGETS]
+    return row.select(F.inline(F.array(*lines)))
+
+
+def described(rows: DataFrame, column: str) -> DataFrame:
+    """Count, mean, deviation, least, quartiles (exact, interpolated) and greatest of a column."""
+    c = F.col(column)
+    quarter = lambda q: F.round(F.percentile(c, F.lit(q)), 4)
+    return rows.agg(F.count(c).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev(c), 4).alias("std"), F.min(c).alias("least"), quarter(0.25).alias("q1"), quarter(0.5).alias("median"), quarter(0.75).alias("q3"), F.max(c).alias("greatest"))
+
+
+def parse_quality(files: DataFrame) -> DataFrame:
+    """Share of files where nothing was found, and where another number than expected was."""
+    part = lambda test: F.round(F.avg(test.cast("int")), 6)
+    return files.agg(F.count(F.lit(1)).alias("files"), part(F.col("got") == 0).alias("empty"), part(F.col("got") != F.col("expected")).alias("unequal"))
