@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from seamline.llm import byte_bpe, chat, decontaminate, passages, quality_rules, secrets, shards, simhash, token_counts, warc
+from seamline.llm import byte_bpe, chat, decontaminate, passages, quality_rules, resampling, secrets, shards, simhash, token_counts, warc
 
-MODULES = (simhash, token_counts, warc, byte_bpe, quality_rules, secrets, decontaminate, shards, warc, passages, chat)
+MODULES = (simhash, token_counts, decontaminate, shards, chat, warc, byte_bpe, passages, quality_rules, secrets, resampling)
 
 
 def queries() -> dict:
