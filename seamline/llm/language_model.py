@@ -198,13 +198,20 @@ class Model:
     def log10(self, ids: np.ndarray, before: np.ndarray, batch: int = 4096) -> np.ndarray:
         """Normalised log10 probability of each output after its two before it, by matrix
         products over batches of distinct contexts."""
-        keys, of = np.unique(before[:, 0].astype(np.int64) * len(self.R) + before[:, 1], return_inverse=True)
+        n = len(self.R)
+        key = before[:, 0] * n + before[:, 1]
+        there = np.zeros(n * n, bool)
+        there[key] = True
+        keys = np.flatnonzero(there)
+        place = np.empty(n * n, np.int32)
+        place[keys] = np.arange(len(keys))
+        of = place[key]
         order = np.argsort(of, kind="stable")
         upto = np.searchsorted(of[order], np.arange(len(keys) + 1))
         out = np.empty(len(ids), np.float32)
         for a in range(0, len(keys), batch):
             k = keys[a : a + batch]
-            scores = (self.R[k // len(self.R)] * self.C[0] + self.R[k % len(self.R)] * self.C[1]) @ self.Q.T + self.b
+            scores = (self.R[k // n] * self.C[0] + self.R[k % n] * self.C[1]) @ self.Q.T + self.b
             top = scores.max(axis=1)
             norm = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
             at = order[upto[a] : upto[min(a + batch, len(keys))]]
@@ -345,7 +352,7 @@ def model_scores(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = []
-            for ids in tokens_in_parts([batch]):
+            for ids in tokens_in_parts([batch], 1 << 21):
                 flat, before = contexts(ids, len(model.Q))
                 upto = np.append(0, np.cumsum(model.log10(flat, before).astype(float)))
                 ends = np.append(0, np.cumsum([len(x) for x in ids]))
