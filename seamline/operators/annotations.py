@@ -61,13 +61,18 @@ def extracted(files: DataFrame, w: str = "w", h: str = "h", text: str = "text",
     nodes without a label count as porosity."""
     rows = nodes(files, text, levels)
     rest = [c for c in rows.columns if c != "e"]
-    labelled = rows.select(*rest, "e", J.label(F.col("e")).alias("label"))
-    wanted = F.coalesce(F.col("label").isin(*J.POROSITY), F.lit(default)) & ~F.coalesce(F.col("label").isin(*J.NORMAL), F.lit(False))
-    drawn = labelled.select(*rest, "label", wanted.alias("_wanted"), F.when(wanted, J.polygon(F.col("e"))).alias("_drawn"))
-    sized = F.when((F.col(w) > 0) & (F.col(h) > 0), G.normalised(F.col("_drawn"), F.col(w), F.col(h), most, least_area))
-    out = drawn.withColumn("points", F.when(F.col("_drawn").isNotNull(), sized))
-    outcome = F.when(F.col("path").isNull(), "error").when(~F.col("_wanted"), "skipped_label").when(F.col("_drawn").isNull(), "skipped_geom").when(F.col("points").isNull(), "skipped_invalid").otherwise("matched")
-    return out.withColumn("outcome", outcome).drop("_wanted", "_drawn")
+    e, no_points = F.col("e"), F.lit(None).cast(G.POINTS)
+
+    def judged(label: Column) -> Column:
+        wanted = F.coalesce(label.isin(*J.POROSITY), F.lit(default)) & ~F.coalesce(label.isin(*J.NORMAL), F.lit(False))
+        return G.named(F.when(wanted, J.polygon(e)), lambda drawn: G.named(F.when((F.col(w) > 0) & (F.col(h) > 0) & drawn.isNotNull(), G.normalised(drawn, F.col(w), F.col(h), most, least_area)), lambda points: told(label, wanted, drawn, points)))
+
+    def told(label: Column, wanted: Column, drawn: Column, points: Column) -> Column:
+        outcome = F.when(F.col("path").isNull(), "error").when(~wanted, "skipped_label").when(drawn.isNull(), "skipped_geom").when(points.isNull(), "skipped_invalid").otherwise("matched")
+        return F.struct(label.alias("label"), outcome.alias("outcome"), F.coalesce(points, no_points).alias("points"))
+
+    # through an explode, so that no later filter or projection computes the polygon again
+    return rows.select(*rest, F.explode(F.array(G.named(J.label(e), judged))).alias("_x")).select(*rest, "_x.*")
 
 
 def counters(rows: DataFrame, *by: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seamline.operators.order import running
+
 
 def image_scores(images: DataFrame, instances: DataFrame) -> DataFrame:
     """Per image the largest confidence (0 without instances), count, largest area
@@ -59,8 +61,7 @@ def auc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve by rank sums, and average precision. Rows are counted
     by distinct score first, then summed over the scores in order."""
     by = scores.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    above = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    run = by.select("score", "p", "n", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"))
+    run = running(by, F.desc("score"), tp="p", fp="n")
     # pairs won: positives above each negative, ties half
     got = run.agg(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("won"), F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return got.select("pos", "neg", F.round(F.try_divide("won", F.col("pos") * F.col("neg")), 6).alias("roc_auc"), F.round(F.try_divide(F.col("ap"), F.col("pos")), 6).alias("average_precision"))

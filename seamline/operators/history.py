@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seamline.operators.order import numbered, quantiles
+
 
 def rate(part: Column, whole: Column, digits: int = 6) -> Column:
     """part / whole rounded; null over nothing."""
@@ -100,9 +102,8 @@ def weak_retrieval(history: DataFrame, below: float = 0.45, size: int = 16) -> D
 def citations(uses: DataFrame, clauses: DataFrame) -> DataFrame:
     """Clauses by number of uses (ties by first use, then clause), numbered from 0, with their group."""
     counted = uses.groupBy("clause").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seen"))
-    joined = counted.join(clauses, "clause")
-    # a row per clause: the rank needs one task over the clause list, not over the uses
-    return joined.withColumn("idx", F.row_number().over(W.orderBy(F.desc("n"), "first_seen", "clause")) - 1)
+    placed = numbered(counted.join(clauses, "clause"), F.desc("n"), F.asc("first_seen"), F.asc("clause"), name="idx")
+    return placed.withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def coverage(uses: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -205,8 +206,8 @@ def against_targets(history: DataFrame) -> DataFrame:
 def described(rows: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation, least, quartiles (exact, interpolated) and greatest of a column."""
     c = F.col(column)
-    quarter = lambda q: F.round(F.percentile(c, F.lit(q)), 4)
-    return rows.agg(F.count(c).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev(c), 4).alias("std"), F.min(c).alias("least"), quarter(0.25).alias("q1"), quarter(0.5).alias("median"), quarter(0.75).alias("q3"), F.max(c).alias("greatest"))
+    quarters = (F.round(F.lit(q).cast("double"), 4).alias(k) for k, q in zip(("q1", "median", "q3"), quantiles(rows, column, [0.25, 0.5, 0.75])))
+    return rows.agg(F.count(c).alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev(c), 4).alias("std"), F.min(c).alias("least"), F.max(c).alias("greatest")).select("n", "mean", "std", "least", *quarters, "greatest")
 
 
 def parse_quality(files: DataFrame) -> DataFrame:

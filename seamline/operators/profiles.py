@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions import geometry as G
+from seamline.operators.order import quantiles
 
 # Fixed values of the distribution classes.
 CLUSTER_EXTENT = 0.05
@@ -15,8 +16,8 @@ LINEAR_SHARE = 0.90
 
 def size_thresholds(sizes: DataFrame, d: str = "d") -> DataFrame:
     """lo, hi: exact 33rd and 67th percentiles of the non-zero sizes (0, 0 without any)."""
-    q = F.percentile(F.when(F.col(d) > 0, F.col(d)), F.lit([0.33, 0.67]))
-    return sizes.agg(q.alias("q")).select(F.coalesce(F.get("q", F.lit(0)), F.lit(0.0)).alias("lo"), F.coalesce(F.get("q", F.lit(1)), F.lit(0.0)).alias("hi"))
+    lo, hi = (q or 0.0 for q in quantiles(sizes.where(F.col(d) > 0), d, [0.33, 0.67]))
+    return sizes.sparkSession.createDataFrame([(lo, hi)], "lo double, hi double")
 
 
 def size_category(d: Column, lo: Column, hi: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seamline.operators.order import numbered
+
 # The table left out of exports (visual inspection).
 VISUAL_TABLE = "표12"
 
@@ -60,8 +61,11 @@ def article_counts(chunks: DataFrame, *by: str, order: str = "chunk_no") -> Data
 def candidates(clauses: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
     """Clauses (clause, topics) to cite for each class of wanted (its topics): those that
     share a topic, or all where none does; with the weight 1 / place ** 0.75 in the
-    order of clauses. Classes are settings; a window is the clause list of one class."""
+    order of clauses. Classes are settings; places come from one numbering over all."""
     classes = F.array(*(F.struct(F.lit(k).alias("cls"), F.array(*map(F.lit, v)).alias("wanted")) for k, v in wanted.items()))
     rows = clauses.select("clause", "topics", F.explode(classes).alias("c")).select("clause", "c.cls", F.coalesce(F.arrays_overlap("topics", "c.wanted"), F.lit(False)).alias("hit"))
     rows = rows.join(rows.groupBy("cls").agg(F.bool_or("hit").alias("any")), "cls").where("hit or not any")
-    return rows.select("cls", "clause", F.row_number().over(W.partitionBy("cls").orderBy("clause")).alias("place")).withColumn("weight", F.round(F.pow("place", F.lit(-0.75)), 6))
+    placed = numbered(rows.select("cls", "clause"), F.asc("cls"), F.asc("clause"))
+    first = placed.groupBy("cls").agg((F.min("place") - 1).alias("before"))
+    placed = placed.join(F.broadcast(first), "cls").select("cls", "clause", (F.col("place") - F.col("before")).cast("int").alias("place"))
+    return placed.withColumn("weight", F.round(F.pow("place", F.lit(-0.75)), 6))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from seamline.plans import detection, judging, shapes, texts
+from seamline.plans import detection, judging, labels, shapes, texts
 
-MODULES = (judging, shapes, texts, detection)
+MODULES = (judging, shapes, texts, detection, labels)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
