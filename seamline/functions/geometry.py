@@ -1,7 +1,7 @@
 """Polygon geometry as array expressions (points: array of struct x, y).
 
-Closed forms and higher-order functions only; pairwise distances are meant for
-polygons and images of up to some hundred points.
+Closed forms and higher-order functions; distances of all pairs only up to PAIRS points,
+beyond that hull and grid (many_points).
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seamline.functions import many_points
+
+PAIRS = 256
 POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -47,14 +50,19 @@ def distance(p: Column, q: Column) -> Column:
 
 def major_diameter(points: Column) -> Column:
     """Largest distance of two vertices; 0 for fewer than two."""
-    far = F.array_max(F.transform(points, lambda p: F.array_max(F.transform(points, lambda q: distance(p, q)))))
-    return F.when(F.size(points) < 2, 0.0).otherwise(far)
+    n = F.size(points)
+    few = F.when(n <= PAIRS, points)
+    far = F.array_max(F.transform(few, lambda p: F.array_max(F.transform(few, lambda q: distance(p, q)))))
+    return F.when(n < 2, 0.0).when(n <= PAIRS, far).otherwise(many_points.farthest_distance(F.when(n > PAIRS, points)))
 
 
 def nearest_mean(points: Column) -> Column:
     """Mean distance of each point to its nearest other one."""
-    near = F.transform(points, lambda p, i: F.array_min(F.filter(F.transform(points, lambda q, j: F.when(i != j, distance(p, q))), lambda d: d.isNotNull())))
-    return F.aggregate(near, F.lit(0.0), lambda acc, d: acc + d) / F.size(points)
+    n = F.size(points)
+    few = F.when(n <= PAIRS, points)
+    near = F.transform(few, lambda p, i: F.array_min(F.filter(F.transform(few, lambda q, j: F.when(i != j, distance(p, q))), lambda d: d.isNotNull())))
+    mean = F.aggregate(near, F.lit(0.0), lambda acc, d: acc + d) / F.nullif(n, F.lit(0))
+    return F.when(n <= PAIRS, mean).otherwise(many_points.nearest_mean(F.when(n > PAIRS, points)))
 
 
 def centroid(points: Column) -> Column:

@@ -40,15 +40,20 @@ def bm25(index: DataFrame, chunks: DataFrame, queries: DataFrame, k1: float = 1.
     chunk has, as in the paper. A query's repeated terms count
     repeatedly. queries: query_id, text; broadcast after a check of their number.
     """
-    stats = chunks.agg(F.count(F.lit(1)).alias("docs"))
-    lengths = index.groupBy(id_column).agg(F.sum("tf").alias("dl"))
-    mean = lengths.agg(F.sum("dl").alias("terms"))
+    lengths = chunks.select(id_column, F.size(ngrams(F.col("text"))).cast("bigint").alias("dl"))
     wanted = queries.select("query_id", F.explode(ngrams(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return bm25_scores(index, lengths, wanted, k1, b, delta, present_only, id_column)
+
+
+def bm25_scores(index: DataFrame, lengths: DataFrame, wanted: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, present_only: bool = False, id_column: str = "chunk_no") -> DataFrame:
+    """bm25() from postings (id, term, tf), chunk lengths (id, dl) and counted query terms
+    (query_id, term, qtf)."""
+    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("terms"))
     n = wanted.count()
     small = F.broadcast(wanted) if n <= 200_000 else wanted
     hits = index.join(small, "term")
     df = index.join(F.broadcast(wanted.select("term").distinct()) if n <= 200_000 else wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(df, "term").join(lengths, id_column).join(F.broadcast(stats)).join(F.broadcast(mean))
+    rows = hits.join(df, "term").join(lengths, id_column).join(F.broadcast(stats))
     idf = F.log((F.col("docs") + 1) / F.col("df"))
     norm = k1 * (1 - b + b * F.col("dl") / (F.col("terms") / F.col("docs")))
     part = F.col("qtf") * idf * ((delta if present_only else 0.0) + F.col("tf") * (k1 + 1) / (norm + F.col("tf")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.operators import profiles as P
 from seamline.operators.blocks import against
+from seamline.sources.tables import kept
 
 # Similarities of different distribution classes (either way round).
 CLOSE = {("산재", "군집"): 0.5, ("산재", "선상"): 0.3, ("군집", "선상"): 0.3, ("단독", "산재"): 0.2, ("단독", "군집"): 0.2}
@@ -80,11 +81,70 @@ def ranked(pairs: DataFrame, k: int, digits: int = 9, buckets: int = 256) -> Dat
     return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), F.asc("case_id")))).where(F.col("rank") <= k)
 
 
-def diverse(pairs: DataFrame, k: int = 5, pool: int = 50, trade: float = 0.5) -> DataFrame:
-    """k cases of each query by maximal marginal relevance out of the `pool` best: the
+NUMBERS = ("n_instances", "extent_ratio", "mean_nn_norm", "small", "medium", "large", "elongated", "mean_d")
+
+
+def cells(cases: DataFrame) -> DataFrame:
+    """cases with cell, a number: profiles of one class, with about the same count, sizes,
+    shapes and extent, and with the same numbers missing. A matter of speed, not of the result."""
+    quarter = lambda c: (F.round(F.coalesce(c, F.lit(0.0)) * 4).cast("int"), 8)
+    extent = F.coalesce(F.greatest(F.least(F.floor(F.col("extent_ratio") * 10), F.lit(14)), F.lit(0)), F.lit(15))
+    parts = [(class_number(F.col("distribution")), 8), (F.floor(F.log2(F.col("n_instances") + 1.0) * 6), 512), (extent, 16), (F.col("mean_nn_norm").isNull().cast("int"), 2), *(quarter(F.col(c)) for c in ("small", "medium", "elongated"))]
+    number = F.lit(0).cast("bigint")
+    for part, size in parts:
+        number = number * size + F.coalesce(part, F.lit(size - 1)).cast("bigint")
+    return cases.withColumn("cell", number)
+
+
+def nearest(queries: DataFrame, cases: DataFrame, k: int, digits: int = 9, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """ranked(scored(queries, cases), k) without scoring every pair.
+
+    Equal profiles stand for each other, so of each only the k smallest ids take part.
+    Cases are gathered into cells; a query's numbers, moved to the nearest ends of a
+    cell's ranges, give a bound no case of the cell exceeds. The best k cells of a query give its k-th
+    score so far at least; then only cells whose bound reaches it are scored."""
+    from pyspark.sql import Window as W
+
+    kind = class_number(F.col("distribution"))
+    verdict = ["verdict"] if "verdict" in cases.columns else []
+    same = W.partitionBy("distribution", *NUMBERS).orderBy("image")
+    few = cells(cases).select("image", "distribution", *NUMBERS, *verdict, "cell", F.row_number().over(same).alias("_same")).where(F.col("_same") <= k)
+    c = kept(few.withColumn("kind", kind).select(F.col("image").alias("case_id"), F.struct(*FIELDS).alias("c"), *verdict, "cell"), "cases-in-cells")
+    q = kept(queries.withColumn("kind", kind).select(F.col("image").alias("query_id"), F.struct(*FIELDS).alias("q")), "similar-queries")
+    ends = [x for f in NUMBERS for x in (F.min(f"c.{f}").alias(f"lo_{f}"), F.max(f"c.{f}").alias(f"hi_{f}"))]
+    ranges = kept(c.groupBy("cell").agg(F.first("c.kind").alias("kind"), F.first("c.distribution").alias("distribution"), *ends), "cells")
+
+    def within(f: str) -> Column:
+        # a missing number stays missing on either side
+        lo, hi = F.col(f"lo_{f}"), F.col(f"hi_{f}")
+        return F.when(lo.isNotNull(), F.greatest(lo, F.least(hi, F.coalesce(F.col(f"q.{f}"), lo)))).alias(f)
+
+    fields = {f: within(f) for f in NUMBERS} | {f: F.col(f) for f in ("distribution", "kind")}
+    # few rows, but each meets every query: one task would do it all
+    met = against(ranges.repartition(ranges.sparkSession.sparkContext.defaultParallelism * 2), q, "query_id").select("query_id", "q", "cell", F.struct(*(fields[f].alias(f) for f in FIELDS)).alias("c"))
+    bounds = met.select("query_id", "cell", (compared("q", "c")["score"] + 1e-8).alias("bound"))
+
+    def pairs(chosen: DataFrame) -> DataFrame:
+        n = chosen.count()
+        both = chosen.join(F.broadcast(q) if n <= broadcast_rows else q, "query_id")
+        both = c.join(F.broadcast(both) if n <= broadcast_rows // 10 else both, "cell")
+        return both.select("query_id", "case_id", "q", "c", *verdict, *(v.alias(name) for name, v in compared("q", "c").items()))
+
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound")))
+    promising = kept(bounds.withColumn("_n", best).where(F.col("_n") <= k).select("query_id", "cell"), "promising-cells")
+    first = pairs(promising).select("query_id", "case_id", "score")
+    least = ranked(first, k, digits).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    near = kept(bounds.join(F.broadcast(least) if q.count() <= broadcast_rows else least, "query_id").where(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).select("query_id", "cell"), "near-cells")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), F.asc("case_id")))
+    return pairs(near).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def diverse(top: DataFrame, k: int = 5, trade: float = 0.5) -> DataFrame:
+    """k cases of each query by maximal marginal relevance out of its pool (top: the best,
+    ranked): the
     best first, then k - 1 rounds that add trade * score less (1 - trade) * the
     largest similarity to those chosen. A round is one aggregation by query."""
-    top = ranked(pairs, pool).select("query_id", "case_id", "c", "score", "rank")
+    top = top.select("query_id", "case_id", "c", "score", "rank")
     members = top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "case_id", "score", "c"))).alias("pool"))
     other = top.select("query_id", F.col("rank").alias("rank2"), F.col("c").alias("c2"))
     near = top.join(other, "query_id").select("query_id", "rank", "rank2", compared("c", "c2")["score"].alias("near"))

@@ -9,6 +9,7 @@ from seamline.functions import geometry as G
 from seamline.operators import profiles as P
 from seamline.operators import similarity as S
 from seamline.plans.proxies import table
+from seamline.sources.tables import kept
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,22 +122,21 @@ v_scored AS (SELECT *, (s_distribution * 3 + s_shape * 2 + s_size) / 6 * 0.88::D
 v_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, case_id) AS rank FROM v_scored QUALIFY rank <= 5)"""
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Images whose id is divisible by 100 against all, the case base. Profiles are kept, so
-    they are made once for both sides and all passes."""
-    cases = case_table(spark, sf).persist()
+def nearest(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Images whose id is divisible by 100 against all, the case base; profiles are made once."""
+    cases = kept(case_table(spark, sf), "profiles")
     base = cases.withColumn("verdict", F.when(F.col("image") % 5 < 2, "abnormal").otherwise("normal"))
-    return S.scored(cases.where("image % 100 = 0"), base)
+    return S.nearest(cases.where("image % 100 = 0"), base, k)
 
 
 @query(f"WITH {V_SIMILAR} SELECT query_id, case_id, rank::INT AS rank, round(score, 6) AS score, round(s_distribution, 3) AS s_distribution, round(s_shape, 3) AS s_shape, round(s_size, 3) AS s_size FROM v_top")
 def similar_topk(spark, sf):
-    return S.ranked(scored(spark, sf), 5).select("query_id", "case_id", "rank", F.round("score", 6).alias("score"), *(F.round(c, 3).alias(c) for c in ("s_distribution", "s_shape", "s_size")))
+    return nearest(spark, sf, 5).select("query_id", "case_id", "rank", F.round("score", 6).alias("score"), *(F.round(c, 3).alias(c) for c in ("s_distribution", "s_shape", "s_size")))
 
 
 @query()
 def similar_mmr(spark, sf):
-    return S.diverse(scored(spark, sf)).withColumn("score", F.round("score", 6))
+    return S.diverse(nearest(spark, sf, 50)).withColumn("score", F.round("score", 6))
 
 
 #: Matches of the report have this score or more, so some queries have none.
@@ -152,6 +152,6 @@ printf('{S.SUMMARY_SIZE}', CASE WHEN qs >= qm AND qs >= ql THEN '소' WHEN qm >=
 SELECT p.image AS query_id, coalesce(n_similar, 0) AS n_similar, coalesce(n_abnormal, 0) AS n_abnormal, coalesce(risk, '해당없음') AS risk, t.distribution, t.shape, t.size, best_axis, coalesce(summary, '{S.NO_MATCH}') AS summary, coalesce(matches, '') AS matches
 FROM v_profile p LEFT JOIN t ON t.query_id = p.image WHERE p.image % 100 = 0""".replace("'%s'", "''%s''"))
 def similar_report(spark, sf):
-    top = S.ranked(scored(spark, sf), 5).where(F.col("score") >= ALIKE)
+    top = nearest(spark, sf, 5).where(F.col("score") >= ALIKE)
     queries = table(spark, sf, "lineitem").where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("query_id")).distinct()
     return S.report(top, queries)

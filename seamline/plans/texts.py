@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seamline.operators import chunking as C
 from seamline.operators import dataset as D
 from seamline.operators import retrieval as R
+from seamline.operators import stored_index as X
 from seamline.operators.blocks import against
 from seamline.sources import files as S
 from seamline.plans.proxies import table
+from seamline.sources.tables import work_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,6 +68,19 @@ def bm25_present_terms(spark, sf):
     return top(R.bm25(R.postings(chunks), chunks, questions(spark, sf), present_only=True), "bm")
 
 
+@query(ORACLE_SQL["bm25_search"])
+def stored_bm25_search(spark, sf):
+    """bm25_search from an index on disk: built from half of the documents, with an edition
+    that replaces some, adds the others, and removes those that were never meant."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_no"), "text")
+    path = f"{work_folder(spark)}/seamline-index-{uuid.uuid4().hex}"
+    first = docs.where("chunk_no % 2 = 0").withColumn("text", F.when(F.col("chunk_no") % 10 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")))
+    never = docs.where("chunk_no % 50 = 7").select((-F.col("chunk_no") - 1).alias("chunk_no"), "text")
+    X.build(path, first.unionByName(never))
+    X.update(path, docs.where("chunk_no % 2 = 1 or chunk_no % 10 = 0"), never)
+    return top(X.bm25(spark, path, questions(spark, sf)), "bm")
+
+
 def top(scores, value: str, k: int = 5, digits: int = 6, shown: int = 4):
     from pyspark.sql import Window as W
 

@@ -57,7 +57,7 @@ def test_scores_and_diverse_choice(spark):
     assert all(math.isclose(s[i, i], 1.0) for i in range(1, 8))
     top = {r.rank: r.case_id for r in S.ranked(pairs.where("query_id = 1"), 3).collect()}
     assert top == {1: 1, 2: 2, 3: 3}
-    chosen = [r.case_id for r in S.diverse(pairs.where("query_id = 1"), k=3).orderBy("rank").collect()]
+    chosen = [r.case_id for r in S.diverse(S.ranked(pairs.where("query_id = 1"), 50), k=3).orderBy("rank").collect()]
     # by hand: the best first, then the largest half score less half similarity to the chosen
     pool, want = sorted((c for q, c in s if q == 1), key=lambda c: -s[1, c]), []
     while len(want) < 3:
