@@ -72,12 +72,13 @@ def false_positives(scores: DataFrame, threshold: float, by: str = "source") ->
     return scores.where("label = 0").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= threshold).alias("fp")).withColumn("fpr", F.round(F.col("fp") / F.col("n"), 6))
 
 
-def tiles(images: DataFrame, tile: int = 640, overlap: float = 0.2) -> DataFrame:
-    """Origins of overlapping tiles; the last of each axis is snapped to the edge."""
-    stride = int(tile * (1 - overlap))
+def tiles(images: DataFrame, tile: tuple[int, int] = (1280, 720), overlap: float = 0.2) -> DataFrame:
+    """Origins of overlapping tiles (width and height); the last of each axis is snapped to
+    the edge, and an image smaller than a tile has one, padded to `padded_w`, `padded_h`."""
 
-    def origins(side: Column) -> Column:
-        last = F.greatest(side - tile, F.lit(0))
-        return F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))
+    def origins(side: Column, length: int) -> Column:
+        last = F.greatest(side - length, F.lit(0))
+        return F.array_union(F.sequence(F.lit(0), last, F.lit(max(1, int(length * (1 - overlap))))), F.array(last))
 
-    return images.select("*", F.explode(origins(F.col("height"))).alias("y")).select("*", F.explode(origins(F.col("width"))).alias("x"))
+    rows = images.withColumns({"padded_w": F.greatest("width", F.lit(tile[0])), "padded_h": F.greatest("height", F.lit(tile[1]))})
+    return rows.select("*", F.explode(origins(F.col("height"), tile[1])).alias("y")).select("*", F.explode(origins(F.col("width"), tile[0])).alias("x"))

@@ -32,9 +32,10 @@ def instance_table(raw: DataFrame, decision_conf: float = 0.25) -> DataFrame:
     )
     rows = rows.withColumns({"d": G.equivalent_diameter(F.col("area")), "centre": G.centroid(F.col("polygon"))})
     return rows.select(
-        "image", (F.row_number().over(W.partitionBy("image").orderBy("no")) - 1).alias("id"), "conf", "origin", "box", "polygon",
+        "image", (F.row_number().over(W.partitionBy("image").orderBy("no")) - 1).alias("id"), "conf", "origin",
+        F.transform("box", lambda v: F.round(v, 2)).alias("box"), F.transform("polygon", lambda p: F.struct(F.round(p["x"], 2).alias("x"), F.round(p["y"], 2).alias("y"))).alias("polygon"),
         F.round("area", 2).alias("area_px"), F.round(F.try_divide("area", F.col("w") * F.col("h")), 8).alias("area_ratio"),
-        F.round("d", 3).alias("diameter_px"), F.round(F.col("d") * F.col("spacing"), 4).alias("diameter_mm"),
+        F.round("d", 3).alias("diameter_px"), F.round(F.col("d") * F.nullif("spacing", F.lit(0.0)), 4).alias("diameter_mm"),
         F.round("centre.x", 2).alias("cx"), F.round("centre.y", 2).alias("cy"), "w", "h",
     )
 
@@ -65,5 +66,14 @@ def merged_tiles(found: DataFrame, images: DataFrame) -> DataFrame:
         "cx": F.col("cx") + x0, "cy": F.col("cy") + y0,
     })
     number = F.row_number().over(W.partitionBy("image").orderBy("y0", "x0", "id")) - 1
-    rows = shifted.withColumn("id", number).drop("w", "h", "area_ratio").join(images.select("image", "w", "h"), "image")
-    return rows.withColumn("area_ratio", F.round(F.try_divide("area_px", F.col("w") * F.col("h")), 10))
+    rows = shifted.withColumn("id", number).drop("w", "h", "area_ratio").join(images.select("image", "w", "h"), "image", "left")
+    return rows.withColumn("area_ratio", F.coalesce(F.round(F.try_divide("area_px", F.col("w") * F.col("h")), 10), F.lit(0.0)))
+
+
+def merged_verdicts(merged: DataFrame, images: DataFrame, min_instances: int = 1) -> DataFrame:
+    """image_verdicts() of merged tiles: the score is that of the instances that count."""
+    guarded(0.0, 0.0, min_instances)
+    found = merged.groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.sum("area_px").alias("total"), F.max("conf").alias("best"))
+    n, total = F.coalesce("n", F.lit(0)), F.coalesce("total", F.lit(0.0))
+    share = F.coalesce(F.round(F.try_divide(total, F.col("w") * F.col("h")), 10), F.lit(0.0))
+    return images.join(found, "image", "left").select("image", F.when(n >= min_instances, "abnormal").otherwise("normal").alias("verdict"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("score"), n.alias("n_instances"), F.round(total, 2).alias("total_area"), share.alias("total_ratio"))

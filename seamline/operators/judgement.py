@@ -11,7 +11,8 @@ from seamline.functions import acceptance as A
 def porosity_margin(defects: DataFrame, by=("image", "t"), d: str = "d") -> DataFrame:
     """Per image the number of counting defects, point sum, largest size, and the
     margin: the larger of points and size over their limits (0 without counting
-    defects). One shuffle by image, partially aggregated; no window."""
+    defects), as raw and rounded to 4; rules go by raw. One shuffle by image, partially
+    aggregated; no window."""
     t, size = F.col("t"), F.col(d)
     counts = size > A.ignored_up_to(t)
     got = defects.groupBy(*by).agg(
@@ -20,7 +21,18 @@ def porosity_margin(defects: DataFrame, by=("image", "t"), d: str = "d") -> Data
         F.coalesce(F.max(F.when(counts, size)), F.lit(0.0)).alias("max_d"),
     )
     margin = F.greatest(F.col("points") / A.point_limit(t), F.col("max_d") / A.size_limit(t))
-    return got.withColumn("margin", F.when(F.col("n") == 0, 0.0).otherwise(F.round(margin, 4)))
+    raw = F.when(F.col("n") == 0, 0.0).otherwise(margin)
+    return got.withColumn("raw", raw).withColumn("margin", F.round("raw", 4))
+
+
+#: Fixed value: the margin of an image with a crack, which never passes.
+CRACK_MARGIN = 3.0
+
+
+def with_cracks(images: DataFrame, crack: Column) -> DataFrame:
+    """images with raw and margin of those with a crack set to theirs, and rule (1: fails) by raw."""
+    of = lambda c: F.when(crack, CRACK_MARGIN).otherwise(F.col(c))
+    return images.withColumns({"raw": of("raw"), "margin": of("margin")}).withColumn("rule", (F.col("raw") > 1).cast("int"))
 
 
 def elongated_margin(defects: DataFrame, by=("image", "t"), length: str = "d") -> DataFrame:

@@ -38,17 +38,24 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 V_RAW = """v_point AS (SELECT vec_id, i, (embedding[2 * i + 1]::DOUBLE + 0.5) * 1280 AS x, (embedding[2 * i + 2]::DOUBLE + 0.5) * 720 AS y FROM embeddings, range(0, 32) r(i)),
-v_mask AS (SELECT a.vec_id, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area, avg(a.x) AS cx, avg(a.y) AS cy FROM v_point a JOIN v_point b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 32 GROUP BY a.vec_id),
+v_mask AS (SELECT a.vec_id, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area, avg(a.x) AS cx, avg(a.y) AS cy, sum(round(a.x, 2)) AS px, sum(round(a.y, 2)) AS py FROM v_point a JOIN v_point b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 32 GROUP BY a.vec_id),
 v_raw AS (SELECT vec_id // 10 AS image, vec_id % 10 AS no, vec_id * 37 % 100 / 100.0::DOUBLE AS conf, CASE WHEN vec_id % 5 = 0 THEN 'box' ELSE 'mask' END AS origin,
   CASE WHEN vec_id % 5 = 0 THEN ((vec_id % 90) * (vec_id % 40))::DOUBLE ELSE area END AS area, CASE WHEN vec_id % 5 = 0 THEN vec_id % 700 + (vec_id % 90) / 2.0::DOUBLE ELSE cx END AS cx,
-  CASE WHEN vec_id % 5 = 0 THEN (vec_id % 700) / 2.0::DOUBLE + (vec_id % 40) / 2.0::DOUBLE ELSE cy END AS cy, CASE WHEN vec_id % 3 <> 0 THEN 0.1::DOUBLE END AS spacing FROM v_mask),
+  CASE WHEN vec_id % 5 = 0 THEN (vec_id % 700) / 2.0::DOUBLE + (vec_id % 40) / 2.0::DOUBLE ELSE cy END AS cy, CASE WHEN vec_id % 3 <> 0 THEN 0.1::DOUBLE END AS spacing, (vec_id % 700)::DOUBLE AS x1, (vec_id % 700) / 2.0::DOUBLE AS y1, (vec_id % 700 + vec_id % 90)::DOUBLE AS x2, (vec_id % 700) / 2.0::DOUBLE + vec_id % 40 AS y2,
+  CASE WHEN vec_id % 5 = 0 THEN 4 ELSE 32 END AS np, CASE WHEN vec_id % 5 = 0 THEN 4.0::DOUBLE * (vec_id % 700) + 2 * (vec_id % 90) ELSE px END AS px, CASE WHEN vec_id % 5 = 0 THEN 2.0::DOUBLE * (vec_id % 700) + 2 * (vec_id % 40) ELSE py END AS py FROM v_mask),
 v_inst AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY no) - 1 AS id, conf, origin, round(area, 2) AS area_px, round(area / (1280 * 720), 8) AS area_ratio,
-  round(2 * sqrt(area / pi()), 3) AS diameter_px, round(2 * sqrt(area / pi()) * spacing, 4) AS diameter_mm, round(cx, 2) AS cx, round(cy, 2) AS cy FROM v_raw WHERE conf >= 0.25)"""
+  round(2 * sqrt(area / pi()), 3) AS diameter_px, round(2 * sqrt(area / pi()) * spacing, 4) AS diameter_mm, round(cx, 2) AS cx, round(cy, 2) AS cy, [x1, y1, x2, y2] AS box, np AS n_points, round(px, 2) AS sum_x, round(py, 2) AS sum_y FROM v_raw WHERE conf >= 0.25)"""
 
 
 @query(f"WITH {V_RAW} SELECT * FROM v_inst")
 def instance_table(spark, sf):
-    return I.instance_table(raw(spark, sf)).drop("box", "polygon", "w", "h")
+    return drawn(I.instance_table(raw(spark, sf))).drop("polygon", "w", "h")
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """Polygons as their number of points and sums of coordinates."""
+    total = lambda c: F.round(G.total(F.col("polygon"), lambda p: p[c]), 2)
+    return rows.withColumns({"n_points": F.size("polygon"), "sum_x": total("x"), "sum_y": total("y")})
 
 
 @query(f"""WITH {V_RAW}, n AS (SELECT image, count(*) AS n, sum(area_px) AS total FROM v_inst GROUP BY image), b AS (SELECT image, max(conf) AS score FROM v_raw GROUP BY image)
@@ -59,13 +66,22 @@ def image_verdicts(spark, sf):
     return I.image_verdicts(raw(spark, sf), images, min_instances=5)
 
 
-@query(f"""WITH {V_RAW}, t AS (SELECT image // 4 AS image, (image % 2) * 640 AS x0, (image // 2 % 2) * 360 AS y0, id, area_px, cx, cy FROM v_inst)
-SELECT image, x0, y0, row_number() OVER (PARTITION BY image ORDER BY y0, x0, id) - 1 AS id, area_px, round(cx + x0, 2) AS cx, round(cy + y0, 2) AS cy, round(area_px / (1920 * 1080), 10) AS area_ratio FROM t""")
+@query(f"""WITH {V_RAW}, t AS (SELECT image // 4 AS image, (image % 2) * 640 AS x0, (image // 2 % 2) * 360 AS y0, id, conf, area_px, cx, cy, box, n_points, sum_x, sum_y FROM v_inst)
+SELECT image, x0, y0, [box[1] + x0, box[2] + y0, box[3] + x0, box[4] + y0] AS box, n_points, round(sum_x + n_points * x0, 2) AS sum_x, round(sum_y + n_points * y0, 2) AS sum_y, row_number() OVER (PARTITION BY image ORDER BY y0, x0, id) - 1 AS id, area_px, round(cx + x0, 2) AS cx, round(cy + y0, 2) AS cy, round(area_px / (1920 * 1080), 10) AS area_ratio FROM t""")
 def merged_tiles(spark, sf):
     k = F.col("image")
     found = I.instance_table(raw(spark, sf)).withColumns({"x0": (k % 2) * 640, "y0": (F.floor(k / 2) % 2) * 360, "image": F.floor(k / 4)})
     images = found.select("image").distinct().withColumns({"w": F.lit(1920), "h": F.lit(1080)})
-    return I.merged_tiles(found, images).select("image", "x0", "y0", "id", "area_px", F.round("cx", 2).alias("cx"), F.round("cy", 2).alias("cy"), "area_ratio")
+    return drawn(I.merged_tiles(found, images)).select("image", "x0", "y0", "box", "n_points", "sum_x", "sum_y", "id", "area_px", F.round("cx", 2).alias("cx"), F.round("cy", 2).alias("cy"), "area_ratio")
+
+
+@query(f"""WITH {V_RAW}, t AS (SELECT image // 4 AS image, count(*) AS n, sum(area_px) AS total, max(conf) AS score FROM v_inst GROUP BY ALL)
+SELECT p_partkey AS image, CASE WHEN coalesce(n, 0) >= 20 THEN 'abnormal' ELSE 'normal' END AS verdict, round(coalesce(score, 0.0::DOUBLE), 6) AS score, coalesce(n, 0) AS n_instances, round(coalesce(total, 0.0::DOUBLE), 2) AS total_area, round(coalesce(total, 0.0::DOUBLE) / (1920 * 1080), 10) AS total_ratio FROM part LEFT JOIN t ON image = p_partkey""")
+def merged_tile_verdicts(spark, sf):
+    k = F.col("image")
+    found = I.instance_table(raw(spark, sf)).withColumns({"x0": (k % 2) * 640, "y0": (F.floor(k / 2) % 2) * 360, "image": F.floor(k / 4)})
+    images = table(spark, sf, "part").select(F.col("p_partkey").alias("image"), F.lit(1920).alias("w"), F.lit(1080).alias("h"))
+    return I.merged_verdicts(I.merged_tiles(found, images), images, min_instances=20)
 
 
 @query("""WITH v AS (SELECT vec_id, [x::DOUBLE * 100 for x in embedding] AS v FROM embeddings), m AS (SELECT *, list_min(v) AS low, list_min(v) + greatest(list_max(v) - list_min(v), 1.0::DOUBLE) / 2 AS half FROM v),

@@ -32,9 +32,15 @@ def rule_points(spark, sf):
 
 
 @query(f"""SELECT t, CASE WHEN t <= 25 THEN '10x10' ELSE '10x20' END AS field, {SIZE_LIMIT} AS size_limit, {POINT_LIMIT} AS point_limit, {LENGTH_LIMIT} AS length_limit, {IGNORED} AS ignored_up_to
-FROM (SELECT i::DOUBLE AS t FROM range(1, 121) r(i))""")
+FROM (SELECT DISTINCT p_size::DOUBLE AS t FROM part)""")
 def rule_limits(spark, sf):
-    return J.limits(spark.range(1, 121), "id")
+    return J.limits(table(spark, sf, "part").select("p_size").distinct(), "p_size")
+
+
+@query(f"""WITH {V_DEFECT}, m AS ({margin_sql('v_defect')}), c AS (SELECT image, n, CASE WHEN image % 9 = 0 THEN 3.0::DOUBLE ELSE raw END AS raw, CASE WHEN image % 9 = 0 THEN 3.0::DOUBLE ELSE margin END AS margin FROM m) SELECT image, n, margin, (raw > 1)::INT AS rule FROM c""")
+def crack_margin(spark, sf):
+    """Every ninth image has a crack."""
+    return J.with_cracks(J.porosity_margin(defects(spark, sf)), F.col("image") % 9 == 0).select("image", "n", "margin", "rule")
 
 
 @query(f"WITH {V_DEFECT}, m AS ({margin_sql('v_defect')}) SELECT *, {GRADE.format('margin')} AS grade FROM m")
@@ -238,7 +244,7 @@ def fpr_by_source(spark, sf):
 
 
 @query("""WITH i AS (SELECT p_partkey AS image, p_size * 60 AS width, p_size * 40 + 200 AS height FROM part),
-y AS (SELECT *, unnest(list_distinct(list_append(range(0, greatest(height - 640, 0) + 1, 512), greatest(height - 640, 0)))) AS y FROM i),
-x AS (SELECT *, unnest(list_distinct(list_append(range(0, greatest(width - 640, 0) + 1, 512), greatest(width - 640, 0)))) AS x FROM y) SELECT image, width, height, y::INT AS y, x::INT AS x FROM x""")
+y AS (SELECT *, unnest(list_distinct(list_append(range(0, greatest(height - 720, 0) + 1, 576), greatest(height - 720, 0)))) AS y FROM i),
+x AS (SELECT *, unnest(list_distinct(list_append(range(0, greatest(width - 1280, 0) + 1, 1024), greatest(width - 1280, 0)))) AS x FROM y) SELECT image, width, height, greatest(width, 1280) AS padded_w, greatest(height, 720) AS padded_h, y::INT AS y, x::INT AS x FROM x""")
 def tile_grid(spark, sf):
     return E.tiles(table(spark, sf, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 60).alias("width"), (F.col("p_size") * 40 + 200).alias("height")))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.functions import geometry as G
 from seamline.operators import annotations as A
+from seamline.operators import case_table as T
 from seamline.operators import dataset as D
+from seamline.operators import similarity as S
 from seamline.plans.proxies import table
+from seamline.sources.tables import work_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +132,30 @@ def crop_origins(spark, sf):
 @query(f"WITH {V_FILE} SELECT verdict, count(*) AS n, sum(label_id)::BIGINT AS ids, count(*) FILTER (NOT is_tile) AS other_sizes FROM (SELECT *, CASE WHEN cls = 'porosity' AND NOT is_crowd THEN 'abnormal' WHEN cls = 'normal' AND is_tile THEN 'normal' END AS verdict FROM v_catalogue WHERE image_exists) WHERE verdict IS NOT NULL GROUP BY verdict")
 def case_images(spark, sf):
     return D.case_rows(catalogue(spark, sf)).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("label_id").alias("ids"), F.count_if(~F.col("is_tile")).alias("other_sizes"))
+
+
+@query(f"""WITH {V_FILE}, v_image AS (SELECT *, CASE WHEN cls = 'porosity' AND NOT is_crowd THEN 'abnormal' WHEN cls = 'normal' AND is_tile THEN 'normal' END AS verdict FROM v_catalogue WHERE image_exists),
+v_found AS (SELECT label_id, n.w, n.h, shape, count(*)::INT AS n, any_value(CASE shape WHEN 'square' THEN 2 * sqrt(side * side / 6400.0::DOUBLE * n.w * n.h / pi()) ELSE 2 * sqrt(12 * sin(pi() / 12) * n.w / 80 * n.w / 80 / pi()) END) AS d FROM v_node n JOIN v_image USING (label_id) WHERE verdict = 'abnormal' AND outcome = 'matched' GROUP BY ALL)
+SELECT label_id AS image, 'abnormal' AS verdict, CASE WHEN n = 1 THEN '단독' ELSE '군집' END AS distribution, n AS n_instances, CASE WHEN shape = 'square' AND w = 5120 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS elongated, round(d, 1) AS mean_d, 'img.' || label_id AS stem FROM v_found
+UNION ALL SELECT label_id, 'normal', '해당없음', 0, 0.0::DOUBLE, 0.0::DOUBLE, 'img.' || label_id FROM v_image WHERE verdict = 'normal'""")
+def case_table(spark, sf):
+    """The case table built, stored, read back, and through its JSON form."""
+    profiles, settings = stored_cases(spark, sf)
+    back = profiles.select(T.from_json(T.to_json()).alias("p")).select("p.*")
+    return back.select("image", "verdict", "distribution", "n_instances", "elongated", F.round("mean_d", 1).alias("mean_d"), F.col("meta")["stem"].alias("stem"))
+
+
+def stored_cases(spark, sf):
+    images = D.case_rows(catalogue(spark, sf).withColumn("image_path", F.concat(F.lit("images/"), "filename")))
+    path = f"{work_folder(spark)}/seamline-cases-{uuid.uuid4().hex}"
+    T.save(*T.built(images, label_files(spark, sf)), path, 1)
+    return T.load(spark, path)
+
+
+@query()
+def stored_case_search(spark, sf):
+    """Images of the stored table whose id is divisible by 100, against all of it; tests hold
+    the search against the ranking of all pairs."""
+    profiles, _ = stored_cases(spark, sf)
+    top = S.nearest(profiles.where("image % 100 = 0").drop("verdict"), profiles, 5)
+    return top.select("query_id", "case_id", "rank", "verdict", F.round("score", 6).alias("score"))

@@ -37,7 +37,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((key * 37 % 100) / 100.0).alias("sim"), ((key * 53 % 100) / 100.0).alias("conf"),
         (key % 50 != 0).alias("supported"), (key % 40 != 0).alias("scaled"), (key % 60 != 0).alias("complete"),
     )
-    out = judged.join(o, "image").withColumns({"rule": (F.col("margin") > 1).cast("int"), "grade": A.grade(F.col("margin")), "inspector": (F.col("o_custkey") % 13).cast("int"), "seconds": F.col("o_custkey") % 300 + 60})
+    out = judged.join(o, "image").withColumns({"rule": (F.col("raw") > 1).cast("int"), "grade": A.grade(F.col("margin")), "inspector": (F.col("o_custkey") % 13).cast("int"), "seconds": F.col("o_custkey") % 300 + 60})
     out = out.withColumn("human", (F.col("margin") > 0.8 + 0.4 * (F.col("o_custkey") % 2)).cast("int"))
     c = F.col
     out = out.withColumn("reason", H.escalation(c("human"), c("rule"), c("cls") != "5-LOW", c("conf"), c("supported"), c("scaled"), c("grade"), c("sim"), c("complete"), c("margin")))
@@ -55,8 +55,8 @@ GRADE = "CASE WHEN {0} <= 0.5 THEN 1 WHEN {0} <= 1 THEN 2 WHEN {0} <= 2 THEN 3 E
 def margin_sql(source: str, by: str = "image, t", d: str = "d") -> str:
     """DuckDB: n, points, max_d and margin of each group of defects."""
     p = POINTS.format(d)
-    return f"""SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round(greatest(points / ({POINT_LIMIT})::DOUBLE, max_d / ({SIZE_LIMIT})), 4) END AS margin FROM (
-SELECT {by}, count(*) FILTER ({d} > {IGNORED}) AS n, coalesce(sum({p}) FILTER ({d} > {IGNORED}), 0)::BIGINT AS points, coalesce(max({d}) FILTER ({d} > {IGNORED}), 0.0::DOUBLE) AS max_d FROM {source} GROUP BY {by})"""
+    return f"""SELECT *, round(raw, 4) AS margin FROM (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE greatest(points / ({POINT_LIMIT})::DOUBLE, max_d / ({SIZE_LIMIT})) END AS raw FROM (
+SELECT {by}, count(*) FILTER ({d} > {IGNORED}) AS n, coalesce(sum({p}) FILTER ({d} > {IGNORED}), 0)::BIGINT AS points, coalesce(max({d}) FILTER ({d} > {IGNORED}), 0.0::DOUBLE) AS max_d FROM {source} GROUP BY {by}))"""
 
 
 V_DEFECT = "v_defect AS (SELECT l_orderkey AS image, l_linenumber AS line, l_partkey, p_type, l_quantity * 0.2::DOUBLE AS d, (max(p_size) OVER (PARTITION BY l_orderkey))::DOUBLE AS t FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -65,7 +65,7 @@ v_margin AS ({margin_sql('v_defect')}),
 v_part AS (SELECT image, max_by(p_type, l_partkey) AS part FROM v_defect GROUP BY image),
 v_order AS (SELECT o_orderkey AS image, o_custkey, o_orderpriority AS cls, (date_diff('day', DATE '1995-01-01', o_orderdate::DATE) % 90)::INT AS day, (o_orderkey * 37 % 100) / 100.0::DOUBLE AS sim,
   (o_orderkey * 53 % 100) / 100.0::DOUBLE AS conf, o_orderkey % 50 <> 0 AS supported, o_orderkey % 40 <> 0 AS scaled, o_orderkey % 60 <> 0 AS complete FROM orders),
-v_judged AS (SELECT *, (margin > 1)::INT AS rule, {GRADE.format('margin')} AS grade, (o_custkey % 13)::INT AS inspector, o_custkey % 300 + 60 AS seconds, (margin > 0.8::DOUBLE + 0.4::DOUBLE * (o_custkey % 2))::INT AS human
+v_judged AS (SELECT *, (raw > 1)::INT AS rule, {GRADE.format('margin')} AS grade, (o_custkey % 13)::INT AS inspector, o_custkey % 300 + 60 AS seconds, (margin > 0.8::DOUBLE + 0.4::DOUBLE * (o_custkey % 2))::INT AS human
   FROM v_margin JOIN v_part USING (image) JOIN v_order USING (image)),
 v_reason AS (SELECT *, CASE WHEN human <> rule THEN 'mismatch' WHEN cls <> '5-LOW' AND conf < 0.5 THEN 'low_confidence' WHEN NOT supported THEN 'unsupported' WHEN NOT scaled THEN 'scale_unknown' WHEN rule = 1 OR grade = 4 THEN 'rule_reject'
   WHEN sim < 0.46 THEN 'few_similar' WHEN NOT complete THEN 'input_missing' WHEN margin BETWEEN 0.85 AND 1.18 THEN 'grey_zone' END AS reason FROM v_judged),
