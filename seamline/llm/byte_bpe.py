@@ -4,9 +4,11 @@ Every text is halved down to leaves, and the encodings of neighbouring leaves ar
 joined pairwise up a tree. A join re-encodes a window around the border that grows
 until the tokens outside it are proven stable, and keeps these:
 
-* between pretokens: white space after a word character always starts a
-  pretoken, whatever stands before or after. The window doubles on either side
-  until it reaches such a place; tokens beyond it do not depend on the other side;
+* between pretokens: the left half's pretokens that end `margin` characters or more before the
+  border were found without looking beyond it, so they stand. From there on pretokens
+  are sought again, one by one, until one ends where one of the right half's ends; from there
+  on both go on alike. Where the border cuts one pretoken in two, its tokens come from
+  those of its two parts, as follows;
 * inside one pretoken: it is halved down to `small` bytes, which are merged by rank,
   lowest first. A token sequence is an encoding exactly if every two neighbours
   are, so the window of tokens around a border doubles until its re-encoding
@@ -26,8 +28,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,86 +38,103 @@ from pyspark.sql import functions as F
 
 from seamline.llm.shared import table
 
-#: Places where a pretoken surely starts: white space after a word character.
-BORDER = re.compile(r"(?<=\w)[ \n]")
-
-
 class TreeCodec:
     """Encodes by joins in a tree, over leaves of `leaf` characters and pretokens' leaves
-    of `small` bytes. joins and grown count the joins, and those whose window had to grow."""
+    of `small` bytes. joins and grown count the joins, and those whose window had to grow.
+    The pattern must match every character, and decide on a match by `margin` - 1 characters
+    after its end at most."""
 
     TABLE = 1 << 19
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 512, small: int = 12) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 512, small: int = 12, margin: int = 8) -> None:
         import regex
 
-        self.ranks, self.leaf, self.small = ranks, leaf, small
+        self.ranks, self.leaf, self.small, self.margin = ranks, leaf, small, margin
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.tokens[i] = b
         self.size = [len(b) for b in self.tokens]
-        self.pretokens = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.pretokens, self.matches = compiled.findall, compiled.finditer
         self.known: dict[str, list[int]] = {}
         self.joins = self.grown = 0
 
     def encode(self, text: str) -> list[int]:
         cuts = [*range(0, len(text), self.leaf), len(text)]
-        level = [(a, b, self.cut(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+        level = [self.cut(text, a, b) for a, b in zip(cuts, cuts[1:])]
         while len(level) > 1:
-            joined = [self.join(text, *level[i], *level[i + 1][1:]) for i in range(0, len(level) - 1, 2)]
+            joined = [self.join(text, level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
             level = joined + level[len(joined) * 2 :]
         return level[0][2] if level else []
 
-    def join(self, text: str, lo: int, mid: int, left: list[int], hi: int, right: list[int]) -> tuple[int, int, list[int]]:
-        """The encoding of text[lo:hi] from those of text[lo:mid] and text[mid:hi]."""
+    def join(self, text: str, left: tuple, right: tuple) -> tuple:
+        """The encoding of two neighbouring stretches: start, end, tokens, and the ends of
+        their pretokens with the numbers of their tokens."""
         self.joins += 1
-        p, q, reach = mid, mid, 16
-        if not BORDER.match(text, mid):
-            p, q = lo, hi
-            while mid - lo > reach // 2:
-                if found := [m.start() for m in BORDER.finditer(text, max(lo + 1, mid - reach), mid)]:
-                    p = found[-1]
-                    break
-                reach *= 2
-                self.grown += 1
-            # a border right of mid needs its word character right of mid too
-            reach = 16
-            while hi - mid > reach // 2:
-                if m := BORDER.search(text, mid + 1, min(mid + reach, hi)):
-                    q = m.start()
-                    break
-                reach *= 2
-                self.grown += 1
-        keep, n = len(left), len(text[p:mid].encode("utf-8", "surrogatepass"))
-        while n > 0:
+        lo, mid, ids, ends, sizes = left
+        _, hi, more, more_ends, more_sizes = right
+        keep, n = len(ends), len(ids)
+        while keep and ends[keep - 1] > mid - self.margin:
             keep -= 1
-            n -= self.size[left[keep]]
-        skip, n = 0, len(text[mid:q].encode("utf-8", "surrogatepass"))
-        while n > 0:
-            n -= self.size[right[skip]]
-            skip += 1
-        return lo, hi, left[:keep] + self.cut(text[p:q]) + right[skip:]
-
-    def cut(self, text: str) -> list[int]:
-        """The pretokens of a piece of text, one after another."""
-        out: list[int] = []
+            n -= sizes[keep]
+        start = ends[keep - 1] if keep else lo
+        new, new_ends, new_sizes, skip, m = [], [], [], 0, 0
+        for match in self.matches(text, start, hi):
+            end = match.end()
+            while skip < len(more_ends) and more_ends[skip] < end:
+                m += more_sizes[skip]
+                skip += 1
+            there = skip < len(more_ends) and more_ends[skip] == end
+            if there and skip == 0 and len(ends) and match.start() == (ends[-2] if len(ends) > 1 else lo) and match.start() < mid:
+                # the last pretoken on the left and the first one on the right are one
+                self.grown += 1
+                tokens = self.joined(ids[len(ids) - sizes[-1] :], more[: more_sizes[0]])
+            else:
+                tokens = self.pretoken(match[0])
+            new += tokens
+            new_ends.append(end)
+            new_sizes.append(len(tokens))
+            if there:
+                m += more_sizes[skip]
+                skip += 1
+            if end == mid or there:
+                break
+        return lo, hi, ids[:n] + new + more[m:], ends[:keep] + new_ends + more_ends[skip:], sizes[:keep] + new_sizes + more_sizes[skip:]
+
+    def cut(self, text: str, a: int, b: int) -> tuple:
+        """A stretch of text by its pretokens, one after another."""
+        found = self.pretokens(text, a, b)
+        ids: list[int] = []
+        sizes = []
         known = self.known
-        for x in self.pretokens(text):
-            ids = known.get(x)
-            if ids is None:
-                ids = self.piece(x.encode("utf-8", "surrogatepass"))
-                if len(x) <= 64:
-                    if len(known) >= self.TABLE:
-                        known.clear()
-                    known[x] = ids
-            out += ids
-        return out
+        for x in found:
+            one = known.get(x)
+            if one is None:
+                one = self.pretoken(x)
+            ids += one
+            sizes.append(len(one))
+        ends = list(accumulate(map(len, found), initial=a))[1:]
+        return a, b, ids, ends, sizes
+
+    def pretoken(self, x: str) -> list[int]:
+        """A pretoken's tokens, out of the table if it is short and was seen before."""
+        ids = self.known.get(x)
+        if ids is None:
+            ids = self.piece(x.encode("utf-8", "surrogatepass"))
+            if len(x) <= 64:
+                if len(self.known) >= self.TABLE:
+                    self.known.clear()
+                self.known[x] = ids
+        return ids
 
     def piece(self, b: bytes) -> list[int]:
         """One pretoken, in halves."""
         if len(b) <= self.small:
             return self.merged(b)
-        left, right = self.piece(b[: len(b) // 2]), self.piece(b[len(b) // 2 :])
+        return self.joined(self.piece(b[: len(b) // 2]), self.piece(b[len(b) // 2 :]))
+
+    def joined(self, left: list[int], right: list[int]) -> list[int]:
+        """The tokens of two parts of a pretoken put together."""
         self.joins += 1
         w = 1
         while True:

@@ -47,3 +47,16 @@ def test_query_with_odd_rows(spark, library):
         ids = library.encode_ordinary(text)
         assert got[doc, len(ids)] == (sha(" ".join(map(str, ids)).encode()), sha(text.encode()))
     assert len(got) == 4
+
+
+def test_texts_without_blanks_take_time_in_proportion(library):
+    import base64
+    import time
+
+    rng = random.Random(3)
+    texts = ["漢" * 300_000, "a" * 300_000, base64.b64encode(rng.randbytes(200_000)).decode(), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60_000)), " " * 200_000 + "x"]
+    c = byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    start = time.time()
+    got = [c.encode(t) for t in texts]
+    assert time.time() - start < 30
+    assert [x for x, t in zip(got, texts) if x != library.encode_ordinary(t)] == []
