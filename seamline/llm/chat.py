@@ -59,15 +59,26 @@ def canonical(x: object) -> str:
 TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def equal(a: object, b: object) -> bool:
+    """Equality of JSON values: true is not 1, 1.0 is."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(equal(a[k], b[k]) for k in a)
+    return a == b
+
+
 def problems(value: object, schema: dict, at: str = "$") -> list[str]:
     """What of a value does not fit the schema."""
-    kind = schema.get("type")
+    kinds = schema.get("type")
+    kinds = kinds if isinstance(kinds, list) else [kinds]
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     whole = number and (isinstance(value, int) or value.is_integer())
-    fits = {"integer": whole, "number": number}.get(kind, isinstance(value, TYPES[kind]) if kind in TYPES else True)
-    if not fits:
-        return [f"{at}: not {kind}"]
-    out = [f"{at}: not one of the values"] if "enum" in schema and value not in schema["enum"] else []
+    if not any({"integer": whole, "number": number}.get(k, isinstance(value, TYPES[k]) if k in TYPES else True) for k in kinds):
+        return [f"{at}: not {' or '.join(map(str, kinds))}"]
+    out = [f"{at}: not one of the values"] if "enum" in schema and not any(equal(value, x) for x in schema["enum"]) else []
     if isinstance(value, str) and len(value) < schema.get("minLength", 0):
         out.append(f"{at}: too short")
     if isinstance(value, dict):
@@ -102,15 +113,19 @@ def depth_of(x: object) -> int:
     return deep
 
 
-def parsed(text: str | None) -> dict:
-    """The object that a text is, if it is strict JSON."""
+def strict(text: str | None) -> dict | None:
+    """The object that a text is, if it is strict JSON; else None."""
     if not text or not text.lstrip().startswith("{"):
-        return {}
+        return None
     try:
         got = json.loads(text, parse_float=number, parse_constant=refused)
-        return got if isinstance(got, dict) and depth_of(got) <= DEEPEST else {}
+        return got if isinstance(got, dict) and depth_of(got) <= DEEPEST else None
     except (ValueError, RecursionError):
-        return {}
+        return None
+
+
+def parsed(text: str | None) -> dict:
+    return strict(text) or {}
 
 
 CALL = "msg long, conv_id {0}, turn long, no int, call_id string, name string, arguments string, after array<string>, valid boolean, problem string"
@@ -138,9 +153,11 @@ def tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                         continue
                     name, args, call_id = call.get("name"), call.get("arguments", {}), call.get("id")
                     name = valid_utf8(name) if isinstance(name, str) else ""
+                    wrong = []
                     if isinstance(args, str):
-                        args = parsed(args) if args.strip() else {}
-                    wrong = problems(args, sent[name]) if name in sent else ["no such tool"]
+                        read = strict(args) if args.strip() else {}
+                        args, wrong = (args, ["$: no JSON object"]) if read is None else (read, [])
+                    wrong = wrong or (problems(args, sent[name]) if name in sent else ["no such tool"])
                     after = call.get("after")
                     after = [valid_utf8(x) for x in after if isinstance(x, str)] if isinstance(after, list) else []
                     call_id = valid_utf8(call_id) if isinstance(call_id, str) else None
@@ -153,8 +170,18 @@ def tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
-    """All results in tool messages."""
-    got = messages.where("role = 'tool'").select("conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("call_id"), F.get_json_object("text", "$.content").alias("content"))
+    """All results in tool messages, read as calls are: identifiers are strings. Content that
+    is no string is given as canonical JSON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [parsed(t) for t in batch.column("text").to_pylist()]
+            ids = [valid_utf8(x) if isinstance(x := g.get("tool_call_id"), str) else None for g in got]
+            content = [None if (x := g.get("content")) is None else valid_utf8(x) if isinstance(x, str) else canonical(x) for g in got]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(ids, pa.string()), pa.array(content, pa.string())], ["conv_id", "turn", "call_id", "content"])
+
+    kind = messages.schema["conv_id"].dataType.simpleString()
+    got = messages.where("role = 'tool'").select("conv_id", "turn", "text").mapInArrow(run, f"conv_id {kind}, turn long, call_id string, content string")
     return got.where("call_id is not null")
 
 

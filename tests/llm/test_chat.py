@@ -134,3 +134,27 @@ def test_random_conversations_match_brute_force(spark):
     assert max(d for _, d in got.values() if d is not None) == 69
     line = next(r for r in c.chat(docs, SCHEMA).collect() if r.conv_id == 9)
     assert line.call_order == ",".join("c%d" % i for i in range(70)) and line.depth == 69
+
+
+def test_arguments_that_are_no_json_and_ids_that_are_no_strings(spark):
+    j = json.dumps
+    calls = [call("1", args="not json"), call("2", args=" "), call("3", args="[1]"), call("4", args='{"a": 1}')]
+    rows = [(1, 0, "assistant", j({"tool_calls": calls})), (1, 1, "tool", '{"tool_call_id": 4, "content": "a number"}'), (1, 2, "tool", j({"tool_call_id": "4", "content": {"b": 1, "a": None}})), (1, 3, "tool", "{broken"), (1, 4, "tool", None)]
+    m = c.numbered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.call_id: (r.status, r.arguments, r.problem, r.result) for r in c.linked(c.tool_calls(m, SCHEMA), c.tool_results(m)).collect()}
+    assert got == {"1": ("invalid", '"not json"', "$: no JSON object", None), "2": ("invalid", "{}", "$.a: missing", None), "3": ("invalid", '"[1]"', "$: no JSON object", None), "4": ("ok", '{"a":1}', None, '{"a":null,"b":1}')}
+
+
+def test_types_in_a_list_and_values_of_an_enum():
+    either = {"type": ["string", "null"]}
+    assert c.problems(None, either) == [] and c.problems("x", either) == [] and c.problems(1, either) == ["$: not string or null"]
+    ones = {"enum": [1, "a", [0], {"k": False}]}
+    assert c.problems(1, ones) == [] and c.problems(1.0, ones) == [] and c.problems([0], ones) == [] and c.problems({"k": False}, ones) == []
+    assert all(c.problems(x, ones) for x in (True, "1", [False], {"k": 0}, {}))
+
+
+def test_very_long_messages(spark):
+    long = "wort " * 200_000
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": [call("a", args={"a": 1, "unit": long})]})), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": long}))]
+    out = {r.turn: json.loads(r.json) for r in c.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMA).collect()}
+    assert out[0]["tool_calls"][0]["result"] == long and out[0]["tool_calls"][0]["status"] == "invalid"
