@@ -47,7 +47,7 @@ RUN = r"[A-Za-z0-9+/_.=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SPAN = "array<struct<start:int,kind_no:int,kind:string,stop:int>>"
 VALUED = "array<struct<start:int,kind_no:int,kind:string,stop:int,value:string>>"
-#: Matches that are gathered before they are moved to the whole.
+#: Matches, characters or parts that are gathered before they are moved to the whole.
 CHUNK = 512
 
 
@@ -57,18 +57,32 @@ def spans(text: Column, pattern: str, group: int, least: int, kind: str, number:
     size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     length = F.transform(found, lambda x: F.length(x))
-    rows = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), length.alias("length"), size.alias("size"), found.alias("value"))
-    none = F.array().cast(VALUED)
+    steps = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), length.alias("length"))
+    rows = F.arrays_zip(bound(steps, starts).alias("start"), length.alias("length"), size.alias("size"), found.alias("value"))
+    one = lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), (x["start"] + x["length"]).alias("stop"), x["value"].alias("value"))
+    return F.transform(F.filter(rows, lambda x: x["size"] >= least), one)
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once: an array of one element binds it to a name."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), (start + x["length"]).alias("stop"), x["value"].alias("value"))
-        full = F.size(acc["new"]) >= CHUNK
-        new = F.when(full, none).otherwise(acc["new"])
-        return F.struct((start + x["length"]).alias("at"), F.when(x["size"] >= least, F.concat(new, F.array(one))).otherwise(new).alias("new"), F.when(full, F.concat(acc["out"], F.array(acc["new"]))).otherwise(acc["out"]).alias("out"))
+def starts(steps: Column) -> Column:
+    """Where each match starts, from gaps and lengths. What an aggregation carries along is
+    copied at every step, so sums run over pieces of CHUNK matches, and then over the pieces."""
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("new"), F.array().cast(f"array<{VALUED}>").alias("out"))
-    return F.aggregate(rows, start, step, lambda acc: F.flatten(F.concat(acc["out"], F.array(acc["new"]))))
+    def within(piece: Column) -> Column:
+        return F.aggregate(piece, zero, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["length"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out")))
+
+    def over(pieces: Column) -> Column:
+        before = F.aggregate(pieces, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(pieces, before, lambda x, far: F.transform(x["out"], lambda at: at + far)))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda k: within(F.slice(steps, k * CHUNK + 1, F.lit(CHUNK))))
+    return F.when(F.size(steps) > 0, bound(pieces, over)).otherwise(none)
 
 
 def without_values(x: Column) -> Column:
@@ -169,8 +183,15 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def substituted(text: Column, every: Column, by) -> Column:
     """The text with each span replaced by by(span, how much of it is not yet replaced)."""
 
+    n = F.length(text)
+
     def replaced(c: Column) -> Column:
-        part = lambda a, b: F.array_join(F.slice(c, a + 1, F.greatest(b - a, F.lit(0))), "")
+        # c: the text in pieces of CHUNK code points, as taking a part of a long text or array costs its whole length
+        def part(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+            head = F.substring(F.get(c, first), a % CHUNK + 1, F.least(b - a, F.lit(CHUNK)))
+            between = F.when(last > first + 1, F.array_join(F.slice(c, first + 2, F.greatest(last - first - 1, F.lit(0))), "")).otherwise("")
+            return F.when(b <= a, "").when(first == last, head).otherwise(F.concat(head, between, F.substring(F.get(c, last), F.lit(1), (b - 1) % CHUNK + 1)))
 
         def step(acc: Column, s: Column) -> Column:
             full = F.size(acc["new"]) >= CHUNK
@@ -181,10 +202,11 @@ def substituted(text: Column, every: Column, by) -> Column:
 
         none = F.array().cast("array<string>")
         start = F.struct(F.lit(0).alias("at"), none.alias("new"), none.alias("out"))
-        return F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.array_join(acc["new"], ""), part(acc["at"], F.size(c))))
+        return F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.array_join(acc["new"], ""), part(acc["at"], n)))
 
-    # array of one element: binds the characters to a name
-    return F.when(F.size(every) > 0, F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), replaced), F.lit(0))).otherwise(text)
+    # array of one element: binds the pieces to a name
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+    return F.when(F.size(every) > 0, F.get(F.transform(F.array(pieces), replaced), F.lit(0))).otherwise(text)
 
 
 def redacted(text: Column, every: Column) -> Column:
