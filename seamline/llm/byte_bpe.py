@@ -46,7 +46,7 @@ class TreeCodec:
 
     TABLE = 1 << 19
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 512, small: int = 12, margin: int = 8) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 1024, small: int = 32, margin: int = 8) -> None:
         import regex
 
         self.ranks, self.leaf, self.small, self.margin = ranks, leaf, small, margin
@@ -201,7 +201,7 @@ class TreeCodec:
 _codecs: dict[tuple, TreeCodec] = {}
 
 
-def codec(path: str, pattern: str, leaf: int = 512) -> TreeCodec:
+def codec(path: str, pattern: str, leaf: int = 1024) -> TreeCodec:
     """The process's codec for a rank file."""
     if (path, pattern, leaf) not in _codecs:
         with open(path, "rb") as f:
@@ -210,7 +210,7 @@ def codec(path: str, pattern: str, leaf: int = 512) -> TreeCodec:
     return _codecs[path, pattern, leaf]
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", leaf: int = 512, rows: int = 512) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", leaf: int = 1024, rows: int = 512) -> DataFrame:
     """One row per document: id, ids array<int>, decoded binary (of these ids).
 
     rows: documents in one batch that goes back to Spark.
@@ -239,7 +239,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def digests(docs: DataFrame, ranks: str, pattern: str, leaf: int = 512) -> DataFrame:
+def digests(docs: DataFrame, ranks: str, pattern: str, leaf: int = 1024) -> DataFrame:
     """Per document the number of tokens and SHA-256 of ids and of decoded bytes."""
     return encode_decode(docs, ranks, pattern, leaf=leaf).select(
         "doc_id",
