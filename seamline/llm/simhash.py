@@ -285,6 +285,16 @@ def wide_fingerprint(members: np.ndarray, prints: int) -> np.ndarray:
     return np.packbits(2 * ones > len(members), bitorder="little").view(np.int64)
 
 
+def nearest_partners(lists: list[list[np.ndarray]], partners: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of lists (place, other, distance) the `partners` nearest of each place, and the places that had more."""
+    place, other, d = (np.concatenate(x) for x in zip(*lists))
+    order = np.lexsort((other, d, place))
+    place, other, d = place[order], other[order], d[order]
+    rank = np.arange(len(place)) - np.searchsorted(place, place, side="left")
+    keep = rank < partners
+    return [place[keep], other[keep], d[keep]], np.unique(place[~keep])
+
+
 def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 16, errors: int = 20) -> DataFrame:
     """doc_id, component_id (least id of the class): classes under links between texts whose
     shingles (words lower-cased A-Z) have a multiset Jaccard similarity of `similarity` or more.
@@ -296,11 +306,14 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     fingerprint must be within twice the budget together with it. With 16
     fingerprints a pair at 0.8 shares none of 64 blocks with chance 0.008 (by
     calculation, (1 - 0.85 ** 16) ** 64), one at 0.85 with 0.001, one at 0.9 with 1e-5. In
-    each block each fingerprint keeps its nearest one on either side of it in the
-    trie's order, so rows do not grow with the square of a group. All links
+    each block each fingerprint first keeps its nearest one on either side of it in the
+    trie's order, so rows do not grow with the square of a group of copies. All links
     are verified by the exact similarity of the shingle multisets before they count.
     The four blocks of the first fingerprint go first; then all blocks, where
     only fingerprints of other classes than the own one so far count as near ones.
+    Blocks where a fingerprint had more of those go again with eight times as many
+    partners, until no block has more: every pair of the tries is either within
+    one class or compared exactly.
 
     Equal multisets are one node from the start; documents without words are one class.
     """
@@ -324,7 +337,7 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("w").alias("w")), "nodes")
     each = [F.struct(F.lit(4 * k + b).alias("turn"), F.shiftrightunsigned(F.col("w")[k], 48 - 16 * b).bitwiseAND(65535).cast("int").alias("block"), F.col("w")[k].alias("fp"), F.col("w")[(k + 1) % prints].alias("more")) for k in range(prints) for b in range(4)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], partners: int) -> Iterator[pa.RecordBatch]:
         def near(rows: list[np.ndarray]) -> pa.RecordBatch:
             key, fp, more, node, own = rows
             spun = fp.copy()
@@ -333,20 +346,26 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 spun[of] = turned(fp[of], [(16 * b, 16 * b + 16)])
             order = np.lexsort((spun, key))
             key, fp, more, node, own, spun = key[order], fp[order], more[order], node[order], own[order], spun[order]
-            best = np.full((2, len(key)), np.iinfo(np.int64).max)  # of those before and those behind: distance, and which
+            # before and behind each fingerprint are places of their own: 2 * row + side
+            lists, waiting = [np.zeros(0, np.int64)] * 3, []
+            crowded = np.zeros(len(key), bool)
             for i, j in trie_pairs(key, np.full(len(key), 2, np.int8), spun, errors):
                 d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
                 ok = (d <= 2 * errors - 5) & (own[i] != own[j])
                 i, j, d = i[ok], j[ok], d[ok]
                 i, j = np.minimum(i, j), np.maximum(i, j)
-                np.minimum.at(best[0], j, d << 40 | i)
-                np.minimum.at(best[1], i, d << 40 | j)
-            out = []
-            for side in best:
-                at = np.flatnonzero(side != np.iinfo(np.int64).max)
-                out.append(np.stack([node[at], node[side[at] & (1 << 40) - 1]]))
-            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                waiting.append([np.concatenate([2 * j, 2 * i + 1]), np.concatenate([i, j]), np.concatenate([d, d])])
+                if sum(len(w[0]) for w in waiting) > 1 << 21:
+                    lists, full = nearest_partners([lists, *waiting], partners)
+                    crowded[full >> 1] = True
+                    waiting = []
+            lists, full = nearest_partners([lists, *waiting], partners)
+            crowded[full >> 1] = True
+            pairs = np.unique(np.sort(np.stack([node[lists[0] >> 1], node[lists[1]]]), axis=0), axis=1)
+            keys = np.unique(key[crowded])
+            none = lambda n: pa.nulls(n, pa.int64())
+            columns = [pa.concat_arrays([pa.array(x), none(len(keys))]) for x in pairs] + [pa.concat_arrays([none(pairs.shape[1]), pa.array(keys)])]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "crowded"])
 
         held: list[np.ndarray] = []
         for batch in batches:
@@ -371,19 +390,29 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    def similar(rows: DataFrame, turns: list) -> DataFrame:
-        """Verified links of rows (node, w, own), those of equal own left out."""
+    def similar(rows: DataFrame, turns: list, partners: int = 1, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Verified links of rows (node, w, own), those of equal own left out; and the blocks
+        where a fingerprint had more than `partners` near ones on a side."""
         keyed = rows.select("node", "own", F.explode(F.array(*turns)).alias("k")).select(F.expr("k.turn * 65536L + k.block").alias("key"), "k.fp", "k.more", "node", "own")
-        found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct(), "candidates")
+        keyed = keyed if only is None else keyed.join(only, "key", "left_semi")
+        near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: run(batches, partners), "a long, b long, crowded long")
+        every = written(near.distinct(), "candidates")
+        found = every.where("a is not null").select("a", "b")
         asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
         sets = written(sketched.select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
         both = salted_join(salted_join(found, sets.select(F.col("node").alias("a"), F.col("members").alias("x")), ["a"]), sets.select(F.col("node").alias("b"), F.col("members").alias("y")), ["b"], found)
-        return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-
-    first_links = written(similar(nodes.withColumn("own", F.col("node")), each[:4]), "first-links")
-    root = components(first_links).select("node", F.col("root").alias("own"))
-    known = written(nodes.join(root, "node", "left").select("node", "w", F.coalesce("own", "node").alias("own")), "known")
-    grouped = components(first_links.union(similar(known, each)))
+        return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar"), every.where("crowded is not null").select(F.col("crowded").alias("key"))
+
+    found, _ = similar(nodes.withColumn("own", F.col("node")), each[:4])
+    grouped = components(found)
+    partners, crowded = 1, None
+    while crowded is None or not crowded.isEmpty():
+        root = grouped.select("node", F.col("root").alias("own"))
+        known = written(nodes.join(root, "node", "left").select("node", "w", F.coalesce("own", "node").alias("own")), "known")
+        more, crowded = similar(known, each, partners, crowded)
+        found = found.union(more)
+        grouped = components(found)
+        partners *= 8
     member = written(nodes.select("node", "least").join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "members")
     first = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = written(salted_join(member, first, ["root"]).select("node", "component_id"), "classes")

@@ -143,3 +143,35 @@ def test_similar_classes_of_null_ids_repeated_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, text), (5, text), (5, "other words here"), (7, text + " end")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.component_id) for r in simhash.similar_classes(docs).collect()) == [("5", 5), ("5", 5), ("7", 5), ("None", 5)]
     assert simhash.similar_classes(docs.limit(0)).count() == 0
+
+
+def test_a_near_text_behind_nearer_unlike_ones_is_still_joined(spark):
+    """Groups of texts around one base, most pairs just below 0.8: no link is lost beside the nearest."""
+    import random
+
+    rng = random.Random(23)
+    docs = {}
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for n in range(60):
+            w = list(base)
+            for at in rng.sample(range(0, 120, 5), 2):
+                w[at] = f"x{g}.{n}.{at}"
+            docs[len(docs)] = w
+    root = {i: i for i in docs}
+    pairs = [(a, b) for a in docs for b in range(a) if a // 60 == b // 60 and jaccard(docs[a], docs[b]) >= 0.8]
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = {i: x if r == y else r for i, r in root.items()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()}
+    assert all(root[c] == root[i] for i, c in got.items())
+    lost = [(a, b) for a, b in pairs if got[a] != got[b]]
+    print("pairs", len(pairs), "lost", len(lost), "classes", len(set(root.values())))
+    assert len(lost) <= len(pairs) // 100
+
+
+def test_nearest_partners():
+    import numpy as np
+
+    kept, full = simhash.nearest_partners([[np.array([4, 4, 7]), np.array([1, 2, 3]), np.array([9, 8, 5])], [np.array([4]), np.array([0]), np.array([8])]], 2)
+    assert [x.tolist() for x in kept] == [[4, 4, 7], [0, 2, 3], [8, 8, 5]] and full.tolist() == [4]
