@@ -43,6 +43,17 @@ def queue(history: DataFrame, from_day: int = 86, size: int = 14) -> DataFrame:
     return rows.orderBy("priority", F.desc("margin"), "image").limit(size).select("image", "day", "reason", "priority", "margin")
 
 
+def managed(history: DataFrame, days: tuple[int, int] | None = None, **only) -> DataFrame:
+    """The part of a history that all of a manager's figures share: days from and to
+    (both included) and columns held to one value or one of a list; None holds none."""
+    for column, wanted in ({"day": days} | only).items():
+        if wanted is not None and column == "day" and days is not None:
+            history = history.where(F.col("day").between(*days))
+        elif wanted is not None:
+            history = history.where(F.col(column).isin(*wanted) if isinstance(wanted, (list, tuple, set)) else F.col(column) == wanted)
+    return history
+
+
 def overview(history: DataFrame) -> DataFrame:
     """All key figures in one aggregation of one row."""
     n = F.count(F.lit(1))

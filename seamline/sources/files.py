@@ -5,45 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamline.operators.dataset import with_shape
+
 CATALOGUE = "label_id BIGINT, filename STRING, image_path STRING, label_path STRING, type STRING, material STRING, class STRING, width INT, height INT, is_crowd INT, annotation_case STRING, num_annotations INT, split STRING, image_exists BOOLEAN"
-LABEL = "info STRUCT<id: BIGINT, type: STRING, material: STRING>, image_data STRUCT<file_name: STRING, format: STRING, width: INT, height: INT>, meta STRUCT<is_crowd: INT, annotation_case: ARRAY<STRING>>, annotations ARRAY<STRUCT<tool: STRING, coordinate: STRUCT<x: ARRAY<DOUBLE>, y: ARRAY<DOUBLE>>, class: STRING, `case`: STRING>>"
+LABEL = "info STRUCT<id: BIGINT, type: STRING, material: STRING>, image_data STRUCT<file_name: STRING, format: STRING, width: INT, height: INT, information: STRING>, meta STRUCT<is_crowd: INT, annotation_case: ARRAY<STRING>>, annotations ARRAY<STRUCT<tool: STRING, coordinate: STRUCT<x: ARRAY<DOUBLE>, y: ARRAY<DOUBLE>>, class: STRING, `case`: STRING>>"
+
+
+REQUIRED = ("label_id", "filename", "width", "height", "is_crowd", "annotation_case", "split", "image_exists")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """The image catalogue; repeated ids are an error."""
-    df = spark.read.schema(CATALOGUE).csv(path, header=True)
-    if not df.groupBy("label_id").count().where("count > 1").isEmpty():
-        raise ValueError("label_id is not unique")
-    return df
+    """The image catalogue with is_tile, croppable and aspect. Columns are found by name,
+    without blanks or a byte order mark around them; missing ones that selections
+    need and repeated ids are errors. Other known columns are null where absent."""
+    raw = spark.read.csv(path, header=True)
+    raw = raw.toDF(*(c.lstrip("\ufeff").strip() for c in raw.columns))
+    if missing := [c for c in REQUIRED if c not in raw.columns]:
+        raise ValueError(f"columns missing from the catalogue: {missing}")
+    kinds = [c.split(" ") for c in CATALOGUE.split(", ")]
+    df = raw.select(*((F.col(f"`{c}`") if c in raw.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))
+    repeated = df.groupBy("label_id").count().where("count > 1").count()
+    if repeated:
+        raise ValueError(f"label_id is not unique: {repeated} repeated")
+    return with_shape(df).withColumn("aspect", F.col("width") / F.col("height"))
 
 
 def write_catalogue(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """CSV files, each with a byte order mark and a header."""
+    first, *rest = df.columns
+    df.select(F.col(f"`{first}`").alias(f"\ufeff{first}"), *(f"`{c}`" for c in rest)).write.mode("overwrite").csv(path, header=True)
 
 
 def read_label_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and text of every JSON file below a folder."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """path and text of every JSON file below a folder; text is null where it is no UTF-8.
+    Spark's readers pass over files of no bytes, so these are not reported."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.json").load(path)
+    return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def parsed_labels(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels, errors): files in the known form, and those that do not parse."""
-    rows = files.withColumn("doc", F.from_json("text", LABEL, {"mode": "PERMISSIVE"})).withColumn("ok", F.col("doc.info.id").isNotNull())
-    return rows.where("ok").select("path", "doc.*"), rows.where("not ok").select("path")
+    """(labels, errors) of files (path, text): those in the known form, and path and reason
+    of those that are no JSON or lack a part that a catalogue row needs."""
+    rows = files.withColumn("doc", F.from_json("text", LABEL, {"mode": "PERMISSIVE"}))
+    needed = {"info": "info", "image_data": "image_data", "meta": "meta", "file_name": "image_data.file_name", "format": "image_data.format"}
+    lacks = F.concat_ws(", ", *(F.when(F.col(f"doc.{at}").isNull(), name) for name, at in needed.items()))
+    reason = F.when(F.try_parse_json("text").isNull(), "no JSON").when(lacks != "", F.concat(F.lit("without "), lacks))
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason is null").select("path", "doc.*"), rows.where("reason is not null").select("path", "reason")
 
 
 def catalogue_rows(labels: DataFrame, images: DataFrame, split: str) -> DataFrame:
-    """Catalogue rows from labels; images (file_name) tells which images exist."""
+    """Catalogue rows from labels; images (file_name, with its ending) tells which images exist."""
     known = images.select(F.col("file_name").alias("known")).distinct()
-    name = F.col("image_data.file_name")
-    rows = labels.join(known, name == F.col("known"), "left")
+    rows = labels.withColumn("name", F.concat_ws(".", "image_data.file_name", "image_data.format")).join(known, F.col("name") == F.col("known"), "left")
     return rows.select(
-        F.col("info.id").alias("label_id"), name.alias("filename"), name.alias("image_path"), F.col("path").alias("label_path"), F.col("info.type").alias("type"), F.col("info.material").alias("material"),
-        F.coalesce(F.get("annotations", F.lit(0))["class"], F.lit("")).alias("class"), F.col("image_data.width").alias("width"), F.col("image_data.height").alias("height"), F.col("meta.is_crowd").alias("is_crowd"),
-        F.array_join("meta.annotation_case", ",").alias("annotation_case"), F.size("annotations").alias("num_annotations"), F.lit(split).alias("split"), F.col("known").isNotNull().alias("image_exists"),
+        F.col("info.id").alias("label_id"), F.col("name").alias("filename"), F.concat(F.lit(f"images/{split}/"), "name").alias("image_path"), F.concat(F.lit(f"labels/{split}/"), F.substring_index("path", "/", -1)).alias("label_path"),
+        F.col("info.type").alias("type"), F.col("info.material").alias("material"), F.col("image_data.information").alias("class"), F.col("image_data.width").alias("width"), F.col("image_data.height").alias("height"), F.col("meta.is_crowd").alias("is_crowd"),
+        F.coalesce(F.array_join("meta.annotation_case", ","), F.lit("")).alias("annotation_case"), F.coalesce(F.size("annotations"), F.lit(0)).alias("num_annotations"), F.lit(split).alias("split"), F.col("known").isNotNull().alias("image_exists"),
     )
 
 
+def catalogued(files: DataFrame, images: DataFrame, split: str) -> tuple[DataFrame, DataFrame]:
+    """(catalogue rows, errors): errors (label_path, reason) are the unreadable label files,
+    which have no row, and the missing images, whose rows stay."""
+    labels, errors = parsed_labels(files)
+    rows = catalogue_rows(labels, images, split)
+    path = F.concat(F.lit(f"labels/{split}/"), F.substring_index("path", "/", -1)).alias("label_path")
+    absent = rows.where("not image_exists").select("label_path", F.concat(F.lit("no image "), "filename").alias("reason"))
+    return rows, errors.select(path, "reason").unionByName(absent)
+
+
 def polygons(labels: DataFrame) -> DataFrame:
     """One row per annotation: path, no, class and points."""
     a = labels.select("path", F.posexplode_outer("annotations").alias("no", "a")).where("a is not null")
@@ -71,10 +102,3 @@ def read_chunks(spark: SparkSession, path: str, schema) -> DataFrame:
 def manifest(chunks: DataFrame, settings: dict[str, int]) -> DataFrame:
     """One row: number of chunks, the sorted (document, edition) pairs, settings."""
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.sort_array(F.collect_set(F.struct("doc_id", "edition"))).alias("documents")).withColumns({k: F.lit(v) for k, v in settings.items()})
-
-
-def payload(records: DataFrame, source: str) -> DataFrame:
-    """One compact JSON document of judged images: rows [method, class, sizes ...].
-    Sizes are whole tenths of a millimetre; a row per part file, joined by readers."""
-    row = F.concat(F.array(F.col("method").cast("int"), F.col("cls").cast("int")), F.transform("sizes", lambda d: F.round(d * 10).cast("int")))
-    return records.select(F.to_json(F.struct(F.lit(source).alias("source"), F.col("image"), row.alias("row"))).alias("json"))
