@@ -45,6 +45,8 @@ from seamline.llm.shared import salted_join, table, written
 
 BITS = 64
 SEED = 42
+#: Sets of fewer shingles get a wider limit of differing bits.
+SMALL = 64
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -295,15 +297,27 @@ def nearest_partners(lists: list[list[np.ndarray]], partners: int) -> tuple[list
     return [place[keep], other[keep], d[keep]], np.unique(place[~keep])
 
 
-def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 16, errors: int = 20) -> DataFrame:
+def most_differing(similarity: float, bits: int, small: bool) -> int:
+    """Differing bits that two shingle sets of this similarity pass with chance below 3e-4.
+
+    Sets of a Jaccard similarity s have a cosine of 2s / (1 + s) or more, so a bit differs
+    with chance arccos(that) / pi at most. In small sets ties of the majority add to it: at
+    0.8 four shingles of five differ in 3 of 16 bits, the most of any sizes; other
+    similarities keep the same ratio."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi * (1.25 if small else 1.0)
+    return int(bits * p + 3.5 * np.sqrt(bits * p * (1 - p)))
+
+
+def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 16, errors: int = 20, seen: int = 8) -> DataFrame:
     """doc_id, component_id (least id of the class): classes under links between texts whose
     shingles (words lower-cased A-Z) have a multiset Jaccard similarity of `similarity` or more.
 
     At 0.8 two SimHashes differ in 15 % of their bits, about 10 of 64, more than a
     trie over one fingerprint can be joined for. So each document has `prints`
     independent fingerprints of four blocks of 16 bits. Tries are joined below each
-    equal block with a budget of `errors` for the fingerprint; the next
-    fingerprint must be within twice the budget together with it. With 16
+    equal block with a budget of `errors` for the fingerprint. A pair must also have
+    sizes that allow the similarity, and may differ over `seen` fingerprints together in
+    no more bits than all but 3e-4 of the pairs at `similarity` do. With 16
     fingerprints a pair at 0.8 shares none of 64 blocks with chance 0.008 (by
     calculation, (1 - 0.85 ** 16) ** 64), one at 0.85 with 0.001, one at 0.9 with 1e-5. In
     each block each fingerprint first keeps its nearest one on either side of it in the
@@ -311,9 +325,9 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     are verified by the exact similarity of the shingle multisets before they count.
     The four blocks of the first fingerprint go first; then all blocks, where
     only fingerprints of other classes than the own one so far count as near ones.
-    Blocks where a fingerprint had more of those go again with eight times as many
-    partners, until no block has more: every pair of the tries is either within
-    one class or compared exactly.
+    Blocks where a fingerprint had more of those go once more with all of them, held
+    against each other over all `prints` fingerprints: every pair of the tries is either
+    within one class or compared exactly.
 
     Equal multisets are one node from the start; documents without words are one class.
     """
@@ -327,57 +341,70 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 part = batch.slice(k, 512)
                 sets = [shingle_set(t.as_py(), size) for t in part.column("text")]
                 node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                w = np.concatenate([wide_fingerprint(x, prints) for x in sets]) if sets else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * prints).astype(np.int32)), pa.array(w))
+                w = pa.array([wide_fingerprint(x, prints).tobytes() for x in sets], pa.binary())
                 members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int32) if sets else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), lists, members], ["doc_id", "node", "w", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), w, members], ["doc_id", "node", "w", "members"])
 
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    sketched = written(texts.mapInArrow(sketch, f"doc_id {kind.simpleString()}, node long, w array<long>, members array<int>"), "sketches")
-    nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("w").alias("w")), "nodes")
-    each = [F.struct(F.lit(4 * k + b).alias("turn"), F.shiftrightunsigned(F.col("w")[k], 48 - 16 * b).bitwiseAND(65535).cast("int").alias("block"), F.col("w")[k].alias("fp"), F.col("w")[(k + 1) % prints].alias("more")) for k in range(prints) for b in range(4)]
+    sketched = written(texts.mapInArrow(sketch, f"doc_id {kind.simpleString()}, node long, w binary, members array<int>"), "sketches")
+    nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("w").alias("w"), F.min(F.size("members")).alias("n")), "nodes")
 
-    def run(batches: Iterator[pa.RecordBatch], partners: int) -> Iterator[pa.RecordBatch]:
-        def near(rows: list[np.ndarray]) -> pa.RecordBatch:
-            key, fp, more, node, own = rows
-            spun = fp.copy()
+    def run(batches: Iterator[pa.RecordBatch], held_prints: int, partners: int | None) -> Iterator[pa.RecordBatch]:
+        limits = np.array([most_differing(similarity, held_prints * BITS, small) for small in (False, True)])
+
+        def table_of(pairs: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+            none = lambda n: pa.nulls(n, pa.int64())
+            pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+            columns = [pa.concat_arrays([pa.array(x), none(len(crowded))]) for x in pairs] + [pa.concat_arrays([none(pairs.shape[1]), pa.array(crowded)])]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "crowded"])
+
+        def near(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, wide, n, node, own = rows
+            fp = wide[:, 0].copy()
             for b in range(4):
                 of = (key >> 16) % 4 == b
-                spun[of] = turned(fp[of], [(16 * b, 16 * b + 16)])
-            order = np.lexsort((spun, key))
-            key, fp, more, node, own, spun = key[order], fp[order], more[order], node[order], own[order], spun[order]
+                fp[of] = turned(fp[of], [(16 * b, 16 * b + 16)])
+            order = np.lexsort((fp, key))
+            key, wide, n, node, own, fp = key[order], wide[order], n[order], node[order], own[order], fp[order]
             # before and behind each fingerprint are places of their own: 2 * row + side
-            lists, waiting = [np.zeros(0, np.int64)] * 3, []
+            lists, waiting, count = [np.zeros(0, np.int64)] * 3, [], 0
             crowded = np.zeros(len(key), bool)
-            for i, j in trie_pairs(key, np.full(len(key), 2, np.int8), spun, errors):
-                d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
-                ok = (d <= 2 * errors - 5) & (own[i] != own[j])
+            for i, j in trie_pairs(key, np.full(len(key), 2, np.int8), fp, errors):
+                ok = (own[i] != own[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                i, j = np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
+                d = np.zeros(len(i), np.int64)
+                for k in range(held_prints):
+                    d += np.bitwise_count(wide[i, k] ^ wide[j, k])
+                ok = d <= limits[(np.minimum(n[i], n[j]) < SMALL).astype(int)]
                 i, j, d = i[ok], j[ok], d[ok]
-                i, j = np.minimum(i, j), np.maximum(i, j)
-                waiting.append([np.concatenate([2 * j, 2 * i + 1]), np.concatenate([i, j]), np.concatenate([d, d])])
-                if sum(len(w[0]) for w in waiting) > 1 << 21:
-                    lists, full = nearest_partners([lists, *waiting], partners)
-                    crowded[full >> 1] = True
-                    waiting = []
+                count += len(i)
+                waiting.append([i, j, d] if partners is None else [np.concatenate([2 * j, 2 * i + 1]), np.concatenate([i, j]), np.concatenate([d, d])])
+                if count > 1 << 20:
+                    if partners is None:
+                        yield table_of(np.concatenate([np.stack([node[p], node[q]]) for p, q, _ in waiting], axis=1), key[:0])
+                    else:
+                        lists, full = nearest_partners([lists, *waiting], partners)
+                        crowded[full >> 1] = True
+                    waiting, count = [], 0
+            if partners is None:
+                yield table_of(np.concatenate([np.zeros((2, 0), np.int64), *(np.stack([node[p], node[q]]) for p, q, _ in waiting)], axis=1), key[:0])
+                return
             lists, full = nearest_partners([lists, *waiting], partners)
             crowded[full >> 1] = True
-            pairs = np.unique(np.sort(np.stack([node[lists[0] >> 1], node[lists[1]]]), axis=0), axis=1)
-            keys = np.unique(key[crowded])
-            none = lambda n: pa.nulls(n, pa.int64())
-            columns = [pa.concat_arrays([pa.array(x), none(len(keys))]) for x in pairs] + [pa.concat_arrays([none(pairs.shape[1]), pa.array(keys)])]
-            return pa.RecordBatch.from_arrays(columns, ["a", "b", "crowded"])
+            yield table_of(np.stack([node[lists[0] >> 1], node[lists[1]]]), np.unique(key[crowded]))
 
         held: list[np.ndarray] = []
         for batch in batches:
-            key, fp, more, node, own = (np.asarray(batch.column(k)).astype(np.int64) for k in range(5))
-            rows = [key, fp.view(np.uint64), more.view(np.uint64), node, own]
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<u8").reshape(-1, held_prints)
+            key, n, node, own = (np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "n", "node", "own"))
+            rows = [key, wide, n, node, own]
             held = [np.concatenate([h, r]) for h, r in zip(held, rows)] if held else rows
             cut = int(np.searchsorted(held[0], held[0][-1], side="left")) if len(held[0]) else 0
             if cut > 60_000:
-                yield near([r[:cut] for r in held])
+                yield from near([r[:cut] for r in held])
                 held = [r[cut:] for r in held]
         if held and len(held[0]):
-            yield near(held)
+            yield from near(held)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,12 +417,15 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    def similar(rows: DataFrame, turns: list, partners: int = 1, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Verified links of rows (node, w, own), those of equal own left out; and the blocks
-        where a fingerprint had more than `partners` near ones on a side."""
-        keyed = rows.select("node", "own", F.explode(F.array(*turns)).alias("k")).select(F.expr("k.turn * 65536L + k.block").alias("key"), "k.fp", "k.more", "node", "own")
+    def similar(rows: DataFrame, turns: int, held_prints: int, partners: int | None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Verified links of rows (node, w, n, own) by the first `turns` blocks, those of equal own
+        left out; and the blocks where a fingerprint had more than `partners` near ones on a side."""
+        # fingerprints are little-endian, so a block's two bytes stand in reverse
+        block = F.conv(F.hex(F.expr("substring(w, 8 * shiftright(turn, 2) + 7 - 2 * (turn % 4), 2)")), 16, 10).cast("long")
+        spread = rows.select("node", "own", "n", "w", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+        keyed = spread.select((F.col("turn") * F.lit(65536).cast("long") + block).alias("key"), F.expr(f"substring(concat(w, w), 8 * shiftright(turn, 2) + 1, {8 * held_prints})").alias("wide"), "n", "node", "own")
         keyed = keyed if only is None else keyed.join(only, "key", "left_semi")
-        near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: run(batches, partners), "a long, b long, crowded long")
+        near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: run(batches, held_prints, partners), "a long, b long, crowded long")
         every = written(near.distinct(), "candidates")
         found = every.where("a is not null").select("a", "b")
         asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
@@ -403,16 +433,16 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
         both = salted_join(salted_join(found, sets.select(F.col("node").alias("a"), F.col("members").alias("x")), ["a"]), sets.select(F.col("node").alias("b"), F.col("members").alias("y")), ["b"], found)
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar"), every.where("crowded is not null").select(F.col("crowded").alias("key"))
 
-    found, _ = similar(nodes.withColumn("own", F.col("node")), each[:4])
-    grouped = components(found)
-    partners, crowded = 1, None
-    while crowded is None or not crowded.isEmpty():
-        root = grouped.select("node", F.col("root").alias("own"))
-        known = written(nodes.join(root, "node", "left").select("node", "w", F.coalesce("own", "node").alias("own")), "known")
-        more, crowded = similar(known, each, partners, crowded)
-        found = found.union(more)
+    found, _ = similar(nodes.withColumn("own", F.col("node")), 4, seen, 1)
+    crowded = None
+    for held_prints, partners in ((seen, 1), (prints, None)):
         grouped = components(found)
-        partners *= 8
+        if crowded is None or not crowded.isEmpty():
+            root = grouped.select("node", F.col("root").alias("own"))
+            known = written(nodes.join(root, "node", "left").select("node", "w", "n", F.coalesce("own", "node").alias("own")), "known")
+            more, crowded = similar(known, 4 * prints, held_prints, partners, crowded)
+            found = found.union(more)
+    grouped = components(found)
     member = written(nodes.select("node", "least").join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "members")
     first = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = written(salted_join(member, first, ["root"]).select("node", "component_id"), "classes")
