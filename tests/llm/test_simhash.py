@@ -175,3 +175,17 @@ def test_nearest_partners():
 
     kept, full = simhash.nearest_partners([[np.array([4, 4, 7]), np.array([1, 2, 3]), np.array([9, 8, 5])], [np.array([4]), np.array([0]), np.array([8])]], 2)
     assert [x.tolist() for x in kept] == [[4, 4, 7], [0, 2, 3], [8, 8, 5]] and full.tolist() == [4]
+
+
+def test_pairs_at_the_similarity_stay_within_the_limits_of_differing_bits():
+    rng = np.random.default_rng(3)
+    for shared, left, right in [(4, 0, 1), (4, 1, 0), (8, 1, 1), (8, 0, 2), (12, 1, 2), (60, 7, 8), (80, 10, 10), (400, 0, 100), (400, 50, 50), (1600, 200, 200)]:
+        small = shared + min(left, right) < simhash.SMALL
+        for prints in (8, 16):
+            over = 0
+            for _ in range(200):
+                x = np.unique(rng.integers(0, 1 << 32, shared + left + right, dtype=np.uint32))
+                a, b = x[: shared + left], np.append(x[:shared], x[shared + left :])
+                d = np.bitwise_count((simhash.wide_fingerprint(a, prints) ^ simhash.wide_fingerprint(b, prints)).view(np.uint64)).sum()
+                over += d > simhash.most_differing(0.8, prints * simhash.BITS, small)
+            assert over <= 1, (shared, left, right, prints, over)
