@@ -199,3 +199,41 @@ def verdict_codes(label: Column, normal=("normal", "ok", "정상"), default: str
     aliases give null, a missing label the default."""
     n = F.translate(F.lower(F.trim(label)), "- ", "_")
     return F.when(label.isNull(), default).when(n.isin(*normal), None).otherwise(n)
+
+
+#: What may exceed [0, 1] by rounding.
+SLACK = 1e-6
+
+
+def text_faults(text: Column) -> Column:
+    """(lines, bad_lines, bad_coords) of a label file. A bad line has fewer than three pairs,
+    half a pair or no number; a good one with values outside [0, 1] has bad coordinates."""
+    lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    parts = lambda line: F.filter(F.split(line, r"\s+"), lambda x: x != "")
+    rows = F.transform(lines, lambda line: F.transform(F.slice(parts(line), 2, F.greatest(F.size(parts(line)) - 1, F.lit(0))), lambda x: x.try_cast("double")))
+    bad = lambda v: (F.size(v) < 6) | (F.size(v) % 2 != 0) | F.exists(v, lambda x: x.isNull())
+    out = lambda v: ~bad(v) & F.exists(v, lambda x: (x < -SLACK) | (x > 1 + SLACK))
+    return F.struct(F.size(rows).alias("lines"), F.size(F.filter(rows, bad)).alias("bad_lines"), F.size(F.filter(rows, out)).alias("bad_coords"))
+
+
+def split_report(images: DataFrame, labels: DataFrame, tile: tuple[int, int] = (TILE_W, TILE_H)) -> DataFrame:
+    """One row per split of images (split, stem, width, height) and label files (split, stem,
+    text): counts, those without a partner, empty files, faults of lines, images of a
+    wrong or unknown size. Every image is held against the size. A label file without
+    text counts as empty; repeated stems of a split count once, and with the worst size.
+    """
+    fits = F.col("width").eqNullSafe(tile[0]) & F.col("height").eqNullSafe(tile[1])
+    a = images.groupBy("split", "stem").agg(F.every(fits).alias("fits"))
+    b = labels.groupBy("split", "stem").agg(text_faults(F.coalesce(F.max("text"), F.lit(""))).alias("f"))
+    met = a.withColumn("a", F.lit(True)).join(b.withColumn("b", F.lit(True)), ["split", "stem"], "full")
+    count = lambda c, name: F.count_if(c).alias(name)
+    image, label = F.col("a").isNotNull(), F.col("b").isNotNull()
+    return met.groupBy("split").agg(
+        count(image, "n_images"), count(label, "n_labels"), count(image & ~label, "image_without_label"), count(label & ~image, "label_without_image"), count(label & (F.col("f.lines") == 0), "empty_labels"),
+        F.coalesce(F.sum("f.bad_lines"), F.lit(0)).alias("bad_lines"), F.coalesce(F.sum("f.bad_coords"), F.lit(0)).alias("bad_coords"), count(image & ~F.col("fits"), "wrong_size"), count(image, "size_checked"),
+    )
+
+
+def label_places(found: DataFrame, catalogue: DataFrame, key: str = "label_id") -> DataFrame:
+    """found with label_path, width and height of its label in the catalogue, null where it is not listed."""
+    return found.join(catalogue.select(key, "label_path", "width", "height"), key, "left")

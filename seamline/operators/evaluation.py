@@ -82,3 +82,19 @@ def tiles(images: DataFrame, tile: tuple[int, int] = (1280, 720), overlap: float
 
     rows = images.withColumns({"padded_w": F.greatest("width", F.lit(tile[0])), "padded_h": F.greatest("height", F.lit(tile[1]))})
     return rows.select("*", F.explode(origins(F.col("height"), tile[1])).alias("y")).select("*", F.explode(origins(F.col("width"), tile[0])).alias("x"))
+
+
+# Version and inference settings of the threshold contract.
+SCHEMA_VERSION = "1.0"
+INFERENCE = {"imgsz": 1280, "conf": 0.15, "iou": 0.50, "max_det": 300}
+
+
+def contract(point: DataFrame, held_out: DataFrame, least: int = 1, inference: dict = INFERENCE) -> DataFrame:
+    """One row that verdicts are bound to: the threshold of `point` (one row with thr), how many
+    instances it asks for, the settings it holds for, and the rates of the held-out fold at it
+    (a row of the sweep over held_out; null if its grid lacks the threshold)."""
+    swept = sweep(held_out, least=least)
+    metrics = F.broadcast(swept.select("thr", F.struct(*swept.columns).alias("metrics_on_heldout")))
+    return point.select("thr").join(metrics, "thr", "left").select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("thr").alias("decision_conf"), F.lit(least).alias("min_instances"), F.struct(*(F.lit(v).alias(k) for k, v in inference.items())).alias("infer"), "metrics_on_heldout"
+    )

@@ -102,3 +102,45 @@ def read_chunks(spark: SparkSession, path: str, schema) -> DataFrame:
 def manifest(chunks: DataFrame, settings: dict[str, int]) -> DataFrame:
     """One row: number of chunks, the sorted (document, edition) pairs, settings."""
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.sort_array(F.collect_set(F.struct("doc_id", "edition"))).alias("documents")).withColumns({k: F.lit(v) for k, v in settings.items()})
+
+
+CONTRACT = "schema_version STRING, decision_conf DOUBLE, min_instances INT, infer STRUCT<imgsz: INT, conf: DOUBLE, iou: DOUBLE, max_det: INT>, metrics_on_heldout STRUCT<thr: DOUBLE, tp: BIGINT, fp: BIGINT, fn: BIGINT, tn: BIGINT, precision: DOUBLE, recall: DOUBLE, specificity: DOUBLE, fpr: DOUBLE, f1: DOUBLE, accuracy: DOUBLE, balanced: DOUBLE>"
+
+
+def write_contract(contract: DataFrame, path: str) -> None:
+    contract.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_contract(spark: SparkSession, path: str, version: str = "1.0") -> DataFrame:
+    """The one row of a threshold contract; another version, no threshold or several rows are errors."""
+    rows = spark.read.schema(CONTRACT).json(path)
+    found = rows.select("schema_version", "decision_conf").limit(2).collect()
+    if len(found) != 1 or found[0]["schema_version"] != version or found[0]["decision_conf"] is None:
+        raise ValueError(f"no threshold contract of version {version} in {path}")
+    return rows
+
+
+SOURCE = "doc_id STRING, short STRING, title STRING, publisher STRING, edition STRING, effective_date STRING, source_url STRING, url STRING, path STRING, license STRING, doc_type STRING, guidance_doc_id STRING, part STRING, part_title STRING, chapters ARRAY<STRING>, doc_types ARRAY<STRING>, tables_json STRING, skip BOOLEAN, note STRING"
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """The registry of sources, a YAML file with a list `sources`, in its order (`no`). A registry
+    is a setting of a few entries, so the driver reads it. Unknown keys are left out, absent
+    ones null, and skip false; entries without or with a repeated doc_id are errors."""
+    import yaml
+
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    entries = (yaml.safe_load(text) or {}).get("sources") or []
+    ids = [e.get("doc_id") for e in entries]
+    if None in ids or len(set(ids)) < len(ids):
+        raise ValueError(f"sources without or with a repeated doc_id in {path}")
+    kinds = [f.split(" ") for f in SOURCE.split(", ")]
+
+    def value(x, kind: str):
+        if kind == "BOOLEAN":
+            return bool(x)
+        if x is None or kind == "STRING":
+            return None if x is None else str(x)
+        return [str(v) for v in (x if isinstance(x, list) else [x])]
+
+    return spark.createDataFrame([(no, *(value(e.get(k), kind) for k, kind in kinds)) for no, e in enumerate(entries)], f"no INT, {SOURCE}")
