@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import geometry as G
 from seamline.functions import signals
+from seamline.operators import chunking as C
 from seamline.operators import history as H
 from seamline.operators import instances as I
 from seamline.operators import regulation as R
@@ -133,12 +134,16 @@ def form_feed_pages(spark, sf):
     return R.pages(docs).select("doc_id", "page", F.length("text").cast("long").alias("chars"))
 
 
-@query("""WITH o AS (SELECT DISTINCT md5(text) AS chunk_id FROM documents), n AS (SELECT DISTINCT md5(CASE WHEN doc_id % 10 = 0 THEN text || '+' ELSE text END) AS chunk_id FROM documents)
-SELECT chunk_id, 'removed' AS change FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT chunk_id, 'added' FROM n WHERE chunk_id NOT IN (SELECT chunk_id FROM o)""")
+@query("""WITH c AS (SELECT source, lang, doc_id, unnest(string_split(text, '. ')) AS chunk, generate_subscripts(string_split(text, '. '), 1) - 1 AS no FROM documents),
+o AS (SELECT DISTINCT substr(sha1(concat_ws('|', source, lang, doc_id::VARCHAR, no::VARCHAR, substr(chunk, 1, 64))), 1, 16) AS chunk_id FROM c), n AS (SELECT DISTINCT substr(sha1(concat_ws('|', source, lang, doc_id::VARCHAR, no::VARCHAR, substr(CASE WHEN doc_id % 10 = 0 AND no % 3 = 1 THEN '+' || chunk ELSE chunk END, 1, 64))), 1, 16) AS chunk_id FROM c WHERE doc_id % 25 <> 0 OR no > 0)
+SELECT chunk_id, 'removed' AS change FROM o ANTI JOIN n USING (chunk_id) UNION ALL SELECT chunk_id, 'added' FROM n ANTI JOIN o USING (chunk_id)""")
 def edition_changes(spark, sf):
-    docs = table(spark, sf, "documents")
-    new = docs.select(F.md5(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("+"))).otherwise(F.col("text"))).alias("chunk_id"))
-    return R.edition_changes(docs.select(F.md5("text").alias("chunk_id")), new)
+    """Chunk ids of two editions: in the new one some chunks are changed and some first ones left out."""
+    rows = table(spark, sf, "documents").select("source", "lang", F.col("doc_id"), F.posexplode(F.split("text", r"\. ")).alias("no", "chunk"))
+    ids = lambda df: df.select(C.chunk_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"), F.col("no"), F.col("chunk")).alias("chunk_id"))
+    changed = (F.col("doc_id") % 10 == 0) & (F.col("no") % 3 == 1)
+    new = rows.where("doc_id % 25 <> 0 or no > 0").withColumn("chunk", F.when(changed, F.concat(F.lit("+"), "chunk")).otherwise(F.col("chunk")))
+    return R.edition_changes(ids(rows), ids(new))
 
 
 @query(r"SELECT doc_id, contains(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN upper(text) ELSE text END, '\s', '', 'g'), left(regexp_replace(substring(text, 1, 30), '\s', '', 'g'), 15)) AS found FROM documents WHERE text IS NOT NULL")

@@ -57,13 +57,17 @@ def polygon_elongation(spark, sf):
     return polygons(spark, sf).select("vec_id", F.round(G.elongation(F.col("p")), 6).alias("elongation"), G.shape(F.col("p")).alias("shape"))
 
 
-@query("""WITH p AS (SELECT vec_id, i, (embedding[2 * i + 1]::DOUBLE + 0.5) * 1280 AS x, (embedding[2 * i + 2]::DOUBLE + 0.5) * 720 AS y FROM embeddings, range(0, 32) r(i)),
-n AS (SELECT vec_id, i, greatest(0.0::DOUBLE, least(1.0::DOUBLE, x / 1280)) AS x, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y / 720)) AS y FROM p)
-SELECT vec_id, count(*)::INT AS points, round(sum(x), 1) AS sx, round(sum(y), 1) AS sy FROM n GROUP BY vec_id""")
+@query("""WITH p AS (SELECT vec_id, i, (embedding[2 * i + 1]::DOUBLE + 0.5) * 1280 AS x, CASE WHEN vec_id % 5 = 0 THEN 300.0::DOUBLE ELSE (embedding[2 * i + 2]::DOUBLE + 0.5) * 720 END AS y FROM embeddings, range(0, 32) r(i)),
+n AS (SELECT vec_id, k + 1 AS place, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, x / 1280)), 6) AS x, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, y / 720)), 6) AS y FROM range(0, 20) r(k) JOIN p ON i = k * 32 // 20)
+SELECT vec_id, CASE WHEN vec_id % 5 > 0 THEN count(*)::INT END AS points, CASE WHEN vec_id % 5 > 0 THEN round(sum(place * x), 3) END AS sx, CASE WHEN vec_id % 5 > 0 THEN round(sum(place * y), 3) END AS sy FROM n GROUP BY vec_id""")
 def normalize_polygon(spark, sf):
-    px = F.transform("p", lambda p: F.struct(((p["x"] + 0.5) * 1280).alias("x"), ((p["y"] + 0.5) * 720).alias("y")))
-    norm = polygons(spark, sf).select("vec_id", G.normalised(px, F.lit(1280.0), F.lit(720.0)).alias("n"))
-    return norm.select("vec_id", F.size("n").alias("points"), F.round(G.total(F.col("n"), lambda p: p["x"]), 1).alias("sx"), F.round(G.total(F.col("n"), lambda p: p["y"]), 1).alias("sy"))
+    """Closed polygons with every point twice, thinned from 32 points to 20; every fifth lies flat and has no area."""
+    y = lambda p: F.when(F.col("vec_id") % 5 == 0, 300.0).otherwise((p["y"] + 0.5) * 720)
+    px = F.transform("p", lambda p: F.struct(((p["x"] + 0.5) * 1280).alias("x"), y(p).alias("y")))
+    twice = F.flatten(F.transform(px, lambda p: F.array(p, p)))
+    norm = polygons(spark, sf).select("vec_id", F.concat(twice, F.slice(px, 1, 1)).alias("px")).select("vec_id", G.normalised(F.col("px"), F.lit(1280.0), F.lit(720.0), most=20).alias("n"))
+    placed = lambda c: F.round(F.aggregate(F.transform("n", lambda p, i: (i + 1) * p[c]), F.lit(0.0), lambda a, x: a + x), 3)
+    return norm.select("vec_id", F.when(F.col("n").isNotNull(), F.size("n")).alias("points"), placed("x").alias("sx"), placed("y").alias("sy"))
 
 
 @query("SELECT quantile_cont(value, 0.33) AS lo, quantile_cont(value, 0.67) AS hi FROM events WHERE value > 0")
