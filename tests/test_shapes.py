@@ -29,6 +29,11 @@ def test_measures_match_numpy(spark):
         assert math.isclose(got[i].n, d.min(axis=1).mean(), rel_tol=1e-12)
 
 
+def test_rounding_next_to_ties(spark):
+    values = spark.createDataFrame([(0.058499999999999996,), (9.929499999999999,), (0.0,), (7.0004,), (7.0005,)], "v double")
+    assert [r.v for r in values.select(G.rounded(F.col("v"), 3).alias("v")).collect()] == [0.059, 9.93, 0.0, 7.0, 7.001]
+
+
 def test_normalised_polygons(spark):
     square = [(0.0, 0.0), (0.0, 0.0), (640.0, 0.0), (640.0, 360.0), (2000.0, 360.0), (0.0, 360.0), (0.0, 0.0)]
     rows = [(0, square), (1, [(0.1, 0.1), (0.4, 0.1), (0.4, 0.4)]), (2, [(1.0, 1.0), (2.0, 2.0)]), (3, [(5.0, 5.0), (6.0, 6.0), (7.0, 7.0)]), (4, [])]
