@@ -60,3 +60,10 @@ def test_auc_handles_ties_and_one_class(spark):
     df = spark.createDataFrame([(0.9, 1), (0.5, 1), (0.5, 0), (0.1, 0)], "score double, label int")
     assert E.auc(df).first().roc_auc == 0.875
     assert E.auc(df.where("label = 1")).first().roc_auc is None
+
+
+def test_limits_of_all_thicknesses(spark, tmp_path):
+    from seamline.plans import judging
+
+    spark.createDataFrame([(7,), (7,), (200,)], "p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    assert sorted(r.t for r in judging.rule_limits(spark, str(tmp_path)).collect()) == [*map(float, range(1, 121)), 200.0]
