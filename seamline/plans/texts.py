@@ -36,8 +36,8 @@ GRAMS = f"list_concat([t[i:i + 1] for i in range(1, greatest(length(t), 1))], [t
 
 @query(f"SELECT doc_id, len(g) AS n_grams, len(list_distinct(g)) AS n_distinct FROM (SELECT doc_id, {GRAMS} AS g FROM (SELECT doc_id, {NORM} AS t FROM documents))")
 def char_ngrams(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", R.ngrams(F.col("text")).alias("g"))
-    return rows.select("doc_id", F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
+    rows = B.bags(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", F.col("dl").alias("n_grams"), F.size("keys").cast("long").alias("n_distinct"))
 
 
 #: Queries of the searches: the documents whose id is divisible by 100, against all.
