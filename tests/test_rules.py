@@ -67,3 +67,15 @@ def test_limits_of_all_thicknesses(spark, tmp_path):
 
     spark.createDataFrame([(7,), (7,), (200,)], "p_size int").write.parquet(str(tmp_path / "part.parquet"))
     assert sorted(r.t for r in judging.rule_limits(spark, str(tmp_path)).collect()) == [*map(float, range(1, 121)), 200.0]
+
+
+def test_sensitivity_counts_the_grid_at_once(spark):
+    rows = [(i % 40, 0.3 * (i % 29)) for i in range(400)] + [(99, 0.1), (100, None)]
+    defects = spark.createDataFrame(rows, "image int, d double")
+    got = J.sensitivity(defects, [20.0, 50.0], [0.5, 1.5])
+    for r in got.collect():
+        images = J.porosity_margin(defects.select("image", (F.col("d") * r.scale).alias("d"), F.lit(r.t).alias("t")))
+        assert (r.images, r.rejected) == (images.count(), images.where("margin > 1").count())
+    assert got.count() == 4 and J.sensitivity(defects.limit(0), [20.0], [1.0]).collect() == []
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # above it: defects are not multiplied
