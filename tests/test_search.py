@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import geometry as G
 from seamline.functions import many_points as M
+from seamline.operators import near_profiles as C
 from seamline.operators import retrieval as R
 from seamline.operators import similarity as S
 from seamline.operators import stored_index as X
@@ -45,6 +46,24 @@ def test_nearest_of_few_or_no_cases(spark):
     assert S.nearest(cases, cases.limit(0), 5).collect() == []
 
 
+def test_few_candidates_of_many_cases(spark):
+    rng = random.Random(5)
+    cases = spark.createDataFrame([profile(rng, i) for i in range(20_000)], PROFILE)
+    met, meant = [], C.candidates
+
+    def counted(*args):
+        out = meant(*args)
+        met.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(C, "candidates", counted)
+        top = S.nearest(cases.where("image % 100 = 0"), cases, 5)
+    assert top.count() == 1000
+    # 4,000,000 pairs and 200 queries; ties and cells of one profile included
+    assert met[0] < 200 * 5 * 20
+
+
 def sets(rng):
     yield rng.normal(size=(500, 2))
     yield np.round(rng.normal(size=(600, 2)) * 3)  # many equal points
