@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.operators.dataset import with_shape
@@ -43,21 +43,32 @@ def read_label_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def judged_labels(files: DataFrame) -> DataFrame:
+    """path, the parts of the label (null where they are not there) and reason: null for files
+    in the known form, else why a file is no label."""
+    needed = {"info": "info", "image_data": "image_data", "meta": "meta", "file_name": "image_data.file_name", "format": "image_data.format"}
+    read = F.struct(F.from_json("text", LABEL, {"mode": "PERMISSIVE"}).alias("doc"), F.try_parse_json("text").isNotNull().alias("json"))
+    # through an explode, so that no later filter or projection parses the text again
+    rows = files.select("path", F.explode(F.array(read)).alias("_x")).select("path", "_x.doc.*", F.col("_x.json").alias("json"))
+    lacks = F.concat_ws(", ", *(F.when(F.col(at).isNull(), name) for name, at in needed.items()))
+    return rows.withColumn("reason", F.when(~F.col("json"), "no JSON").when(lacks != "", F.concat(F.lit("without "), lacks))).drop("json")
+
+
 def parsed_labels(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels, errors) of files (path, text): those in the known form, and path and reason
     of those that are no JSON or lack a part that a catalogue row needs."""
-    rows = files.withColumn("doc", F.from_json("text", LABEL, {"mode": "PERMISSIVE"}))
-    needed = {"info": "info", "image_data": "image_data", "meta": "meta", "file_name": "image_data.file_name", "format": "image_data.format"}
-    lacks = F.concat_ws(", ", *(F.when(F.col(f"doc.{at}").isNull(), name) for name, at in needed.items()))
-    reason = F.when(F.try_parse_json("text").isNull(), "no JSON").when(lacks != "", F.concat(F.lit("without "), lacks))
-    rows = rows.withColumn("reason", reason)
-    return rows.where("reason is null").select("path", "doc.*"), rows.where("reason is not null").select("path", "reason")
+    rows = judged_labels(files)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("path", "reason")
+
+
+def image_name() -> Column:
+    return F.concat_ws(".", "image_data.file_name", "image_data.format")
 
 
 def catalogue_rows(labels: DataFrame, images: DataFrame, split: str) -> DataFrame:
     """Catalogue rows from labels; images (file_name, with its ending) tells which images exist."""
     known = images.select(F.col("file_name").alias("known")).distinct()
-    rows = labels.withColumn("name", F.concat_ws(".", "image_data.file_name", "image_data.format")).join(known, F.col("name") == F.col("known"), "left")
+    rows = labels.withColumn("name", image_name()).join(known, F.col("name") == F.col("known"), "left")
     return rows.select(
         F.col("info.id").alias("label_id"), F.col("name").alias("filename"), F.concat(F.lit(f"images/{split}/"), "name").alias("image_path"), F.concat(F.lit(f"labels/{split}/"), F.substring_index("path", "/", -1)).alias("label_path"),
         F.col("info.type").alias("type"), F.col("info.material").alias("material"), F.col("image_data.information").alias("class"), F.col("image_data.width").alias("width"), F.col("image_data.height").alias("height"), F.col("meta.is_crowd").alias("is_crowd"),
@@ -68,11 +79,14 @@ def catalogue_rows(labels: DataFrame, images: DataFrame, split: str) -> DataFram
 def catalogued(files: DataFrame, images: DataFrame, split: str) -> tuple[DataFrame, DataFrame]:
     """(catalogue rows, errors): errors (label_path, reason) are the unreadable label files,
     which have no row, and the missing images, whose rows stay."""
-    labels, errors = parsed_labels(files)
-    rows = catalogue_rows(labels, images, split)
+    rows = judged_labels(files)
     path = F.concat(F.lit(f"labels/{split}/"), F.substring_index("path", "/", -1)).alias("label_path")
-    absent = rows.where("not image_exists").select("label_path", F.concat(F.lit("no image "), "filename").alias("reason"))
-    return rows, errors.select(path, "reason").unionByName(absent)
+    known = images.select(F.col("file_name").alias("known")).distinct()
+    # all faults in one pass; unreadable files meet no image, and go by their path so that they are spread
+    named = rows.select(path, "reason", image_name().alias("name"), F.when(F.col("reason").isNull(), image_name()).otherwise(F.concat(F.lit("\0"), "path")).alias("key"))
+    met = named.join(known, F.col("key") == F.col("known"), "left")
+    reason = F.coalesce("reason", F.when(F.col("known").isNull(), F.concat(F.lit("no image "), "name")))
+    return catalogue_rows(rows.where("reason is null").drop("reason"), images, split), met.select("label_path", reason.alias("reason")).where("reason is not null")
 
 
 def polygons(labels: DataFrame) -> DataFrame:

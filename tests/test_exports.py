@@ -74,3 +74,10 @@ def test_sample_and_manager_filters(spark):
     h = spark.createDataFrame([(1, "a", 3), (2, "b", 3), (3, "a", None)], "day int, part string, level int")
     days = lambda **f: sorted(r["day"] for r in H.managed(h, **f).collect())
     assert days() == [1, 2, 3] and days(days=(2, 3)) == [2, 3] and days(part="a", level=3) == [1] and days(part=["a", "b"], level=None) == [1, 2, 3]
+
+
+def test_label_texts_are_parsed_once(spark):
+    files = spark.createDataFrame([("x/a.json", json.dumps(label())), ("x/b.json", "{")], "path string, text string").repartition(2)
+    for df in S.catalogued(files, spark.createDataFrame([("b.jpg",)], "file_name string"), "val"):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("from_json(") == 1, plan
