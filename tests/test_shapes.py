@@ -68,3 +68,11 @@ def test_scores_and_diverse_choice(spark):
     while len(want) < 3:
         want.append(max((c for c in pool if c not in want), key=lambda c: round(0.5 * s[1, c] - 0.5 * max((s[c, w] for w in want), default=0), 9)))
     assert sorted(chosen) == sorted(want)
+
+
+def test_measures_at_once_are_the_expressions(spark):
+    rng = random.Random(3)
+    rows = [(i, [(float(rng.randint(0, 30)), float(rng.randint(0, 9))) for _ in range(n)]) for i, n in enumerate((0, 1, 2, 2, 5, 7, 8, 9, 40, 256, 257))] + [(20, [(1.0, None), (2.0, 3.0), (4.0, 1.0)])]
+    df, (p, w) = P.measured(spark.createDataFrame(rows, SCHEMA), "p"), (F.col("p"), F.lit(100.0))
+    got = df.select("i", F.col("_m").isNotNull().alias("few"), P.distribution(p, w, w, F.col("_m")).alias("a"), P.distribution(p, w, w).alias("b")).collect()
+    assert [r.i for r in got if r.few] == list(range(2, 10)) and all(r.a == r.b for r in got)
