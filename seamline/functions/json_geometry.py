@@ -59,8 +59,10 @@ def first(values: Column) -> Column:
 
 
 def of_keys(e: Column, keys: tuple[str, ...], f) -> Column:
-    """f of the values of these keys, in their order; the first that is not null."""
-    return first(F.transform(F.lit(list(keys)), lambda k: G.named(lookup(e, k), f)))
+    """f of the values of these keys, in their order; the first that is not null. Only keys that
+    are there cost anything."""
+    there = F.filter(F.lit(list(keys)), lambda k: F.exists(e, lambda x: x["key"] == k))
+    return first(F.transform(there, lambda k: G.named(lookup(e, k), f)))
 
 
 def point(x: Column, y: Column) -> Column:
@@ -69,8 +71,8 @@ def point(x: Column, y: Column) -> Column:
 
 def whole(points: Column, least: int = 3) -> Column:
     """Points if there are enough and every one has both coordinates."""
-    good = F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    return F.when((F.size(points) >= least) & good, points)
+    good = lambda points: F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return G.named(points, lambda points: F.when((F.size(points) >= least) & good(points), points))
 
 
 def pairs(v: Column) -> Column:
@@ -89,7 +91,7 @@ def pairs(v: Column) -> Column:
         flat = as_type(ring, "array<double>")
         of_lists = F.transform(as_type(ring, "array<array<double>>"), lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
         of_objects = F.transform(as_type(ring, "array<map<string,variant>>"), lambda m: point(axis(m, X_KEYS), axis(m, Y_KEYS)))
-        of_numbers = F.when((F.size(flat) >= 6) & (F.size(flat) % 2 == 0), G.from_flat(flat))
+        of_numbers = G.named(flat, lambda flat: F.when((F.size(flat) >= 6) & (F.size(flat) % 2 == 0), G.from_flat(flat)))
         return whole(F.when(is_kind(start, "^ARRAY"), of_lists).when(is_kind(start, "^OBJECT"), of_objects).when(is_kind(start, NUMBER), of_numbers))
 
     inner = as_type(v, "array<variant>", "$[0]")
@@ -101,27 +103,31 @@ def pairs(v: Column) -> Column:
 def corners(v: Column) -> Column:
     """The two points of a list of two, as struct x1, y1, x2, y2."""
     p = F.transform(as_type(v, "array<array<double>>"), lambda q: point(F.get(q, F.lit(0)), F.get(q, F.lit(1))))
-    return F.when(F.size(whole(p, 2)) == 2, F.struct(p[0]["x"].alias("x1"), p[0]["y"].alias("y1"), p[1]["x"].alias("x2"), p[1]["y"].alias("y2")))
+    return G.named(p, lambda p: F.when(F.size(whole(p, 2)) == 2, F.struct(p[0]["x"].alias("x1"), p[0]["y"].alias("y1"), p[1]["x"].alias("x2"), p[1]["y"].alias("y2"))))
 
 
 def between(v: Column) -> Column:
     """The upright rectangle with two opposite corners; null without area."""
-    c = corners(v)
-    return G.rectangle(F.least(c["x1"], c["x2"]), F.least(c["y1"], c["y2"]), F.greatest(c["x1"], c["x2"]), F.greatest(c["y1"], c["y2"]))
+    return G.named(corners(v), lambda c: G.rectangle(F.least(c["x1"], c["x2"]), F.least(c["y1"], c["y2"]), F.greatest(c["x1"], c["x2"]), F.greatest(c["y1"], c["y2"])))
+
+
+def drawn(e: Column, keys, f) -> Column:
+    """f of the numbers of these keys, each read once."""
+    return G.named(F.struct(*(number(e, k).alias(k) for k in keys)), f)
 
 
 def box(v: Column) -> Column:
     """A box as a list of four, or an object of corners or of corner, width and height."""
 
     def named(e: Column) -> Column:
-        x, y = number(e, "x"), number(e, "y")
-        sides = G.rectangle(x, y, x + number(e, "w"), y + number(e, "h"))
+        sides = drawn(e, "xywh", lambda s: G.rectangle(s["x"], s["y"], s["x"] + s["w"], s["y"] + s["h"]))
         all_of = lambda names: F.forall(F.lit(list(names)), lambda k: F.exists(e, lambda x: x["key"] == k))
         first_form, other_form = BOX_CORNERS
-        return F.when(all_of(first_form), G.rectangle(*(number(e, k) for k in first_form))).when(all_of("xywh"), sides).when(all_of(other_form), G.rectangle(*(number(e, k) for k in other_form)))
+        by_corners = lambda form: drawn(e, form, lambda s: G.rectangle(*(s[k] for k in form)))
+        return F.when(all_of(first_form), by_corners(first_form)).when(all_of("xywh"), sides).when(all_of(other_form), by_corners(other_form))
 
-    four = as_type(v, "array<double>")
-    return F.when(is_kind(v, "^OBJECT"), G.named(entries(v), named)).when(F.size(four) == 4, G.box(four))
+    four = G.named(as_type(v, "array<double>"), lambda four: F.when(F.size(four) == 4, G.box(four)))
+    return F.when(is_kind(v, "^OBJECT"), G.named(entries(v), named)).otherwise(four)
 
 
 def circle(e: Column, n: int = 24) -> Column:
@@ -129,7 +135,9 @@ def circle(e: Column, n: int = 24) -> Column:
     centre = of_keys(e, CENTRE_KEYS, lambda v: F.when(F.size(as_type(v, "array<double>")) >= 2, as_type(v, "array<double>")))
     at = F.coalesce(centre, F.when(has(e, "cx") & has(e, "cy"), F.array(number(e, "cx"), number(e, "cy"))))
     radius = F.coalesce(*(F.when(has(e, k), F.array(number(e, k))) for k in RADIUS_KEYS))[0]
-    return F.when(radius > 0, whole(G.circle(at[0], at[1], radius, n)))
+    # a circle's numbers are read once, not at each of its points
+    numbers = G.named(at, lambda at: F.struct(at[0].alias("x"), at[1].alias("y"), radius.alias("r")))
+    return G.named(numbers, lambda c: F.when(c["r"] > 0, whole(G.circle(c["x"], c["y"], c["r"], n))))
 
 
 def label(e: Column) -> Column:
@@ -148,8 +156,11 @@ def normal_form(text: Column) -> Column:
 
 
 def has_geometry(e: Column) -> Column:
-    radius = has(e, *RADIUS_KEYS)
-    return F.coalesce(has(e, *POLYGON_KEYS, *BOX_KEYS) | (has(e, "cx") & has(e, "cy") & radius) | (has(e, *CENTRE_KEYS) & radius), F.lit(False))
+    def found(e: Column) -> Column:
+        radius = has(e, *RADIUS_KEYS)
+        return has(e, *POLYGON_KEYS, *BOX_KEYS) | (has(e, "cx") & has(e, "cy") & radius) | (has(e, *CENTRE_KEYS) & radius)
+
+    return F.coalesce(G.named(e, found), F.lit(False))
 
 
 def polygon(e: Column) -> Column:
@@ -157,15 +168,16 @@ def polygon(e: Column) -> Column:
     kind, drawn = normal_form(as_type(lookup(e, "shape_type"), "string")), lookup(e, "points")
 
     def around(v: Column) -> Column:
-        p = as_type(v, "array<array<double>>")
-        c, edge = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-        radius = F.sqrt(F.pow(F.get(edge, F.lit(0)) - F.get(c, F.lit(0)), 2) + F.pow(F.get(edge, F.lit(1)) - F.get(c, F.lit(1)), 2))
-        return F.when(radius > 0, G.circle(F.get(c, F.lit(0)), F.get(c, F.lit(1)), radius))
+        def numbers(p: Column) -> Column:
+            c, edge = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+            radius = F.sqrt(F.pow(F.get(edge, F.lit(0)) - F.get(c, F.lit(0)), 2) + F.pow(F.get(edge, F.lit(1)) - F.get(c, F.lit(1)), 2))
+            return F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"), radius.alias("r"))
+
+        return G.named(G.named(as_type(v, "array<array<double>>"), numbers), lambda c: F.when(c["r"] > 0, G.circle(c["x"], c["y"], c["r"])))
 
     def straight(v: Column) -> Column:
-        c = corners(v)
-        four = F.array(point(c["x1"], c["y1"]), point(c["x2"], c["y1"]), point(c["x2"], c["y2"]), point(c["x1"], c["y2"]))
-        return F.coalesce(pairs(v), F.when(c.isNotNull(), four))
+        four = lambda c: F.array(point(c["x1"], c["y1"]), point(c["x2"], c["y1"]), point(c["x2"], c["y2"]), point(c["x1"], c["y2"]))
+        return F.coalesce(pairs(v), G.named(corners(v), lambda c: F.when(c.isNotNull(), four(c))))
 
     return F.coalesce(
         F.when(kind == "circle", G.named(drawn, around)),

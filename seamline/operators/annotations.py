@@ -19,10 +19,16 @@ OUTCOMES = ("matched", "skipped_label", "skipped_geom", "skipped_invalid")
 STEP = "array<struct<path:string,node:variant,open:boolean>>"
 
 
-def nesting(text: Column) -> Column:
-    """Depth of brackets outside of strings."""
+def brackets(text: Column) -> Column:
+    """The brackets outside of strings, all as []; where one closes just before another opens
+    both are left out, which leaves the depth as it is."""
     bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"', "")
-    turns = F.split(F.regexp_replace(F.translate(bare, "{}", "[]"), r"[^\[\]]+", ""), "")
+    return F.regexp_replace(F.regexp_replace(F.translate(bare, "{}", "[]"), r"[^\[\]]+", ""), r"(\]\[)+", "")
+
+
+def nesting(brackets: Column) -> Column:
+    """Depth of brackets."""
+    turns = F.split(brackets, "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -39,7 +45,7 @@ def nodes(files: DataFrame, text: str = "text", levels: int | None = None) -> Da
     levels: the deepest nesting, if it is known."""
     rest = [c for c in files.columns if c != text]
     clean = F.regexp_replace(F.col(text), "^﻿", "")
-    depth = levels if levels is not None else files.agg(F.max(nesting(F.col(text)))).first()[0] or 0
+    depth = levels if levels is not None else files.select(brackets(F.col(text)).alias("_b")).distinct().agg(F.max(nesting(F.col("_b")))).first()[0] or 0
     rows = files.select(*rest, F.try_parse_json(clean).alias("node")).withColumns({"path": F.when(F.col("node").isNotNull(), "$"), "open": F.col("node").isNotNull()})
 
     def children(node: Column, path: Column) -> Column:
