@@ -16,11 +16,12 @@ similar from a multiset Jaccard similarity of `similarity` on.
 2. Windows with the same (function, min-hash) are a group. Windows of a group with
    equal content (all shingles that a passage around c could hold) are an exact
    repeat: each meets the first of them. The leads (one window for each content)
-   meet each other if there are at most `few` contents; else each meets the first
-   lead, the one before it, the first with the same shingles before c, and the
-   first with the same behind c, so rows do not grow with the square of a group. In such larger
-   groups, stretches of the leads are compared by hash besides, of a length that
-   any t in a row must hold and that makes two passages similar if equal.
+   meet each other if there are at most `few` contents. In larger groups rows must not
+   grow with the square of the group: each meets the first lead, the one before it, the
+   first with the same shingles before c, and the first with the same behind c. Besides,
+   the leads' shingles are fetched and held against each other by hash, in a task for
+   each group: leads that share enough shingles of t in a row around c are joined,
+   directly or through others (see alike()).
 3. Interval join. Windows that meet at offset d = c - c' give the interval where
    both lie; intervals of the same two documents and offset are merged.
 4. Verification. Exact repeats need none beyond their 64-bit content hashes. Of the
@@ -31,14 +32,17 @@ similar from a multiset Jaccard similarity of `similarity` on.
    the hull is not similar, what stands near the interval's offset; and equal
    runs of t or more count in any case.
 
-Every exact repeat of t shingles is found, and every similar one in groups of at
-most `few` contents. In larger groups a similar, unequal passage is lost only if
-all leads that it meets share less than it with it.
+Every exact repeat of t shingles is found, and every similar one in groups of at most
+`few` contents. In larger groups similar ones of t shingles that share enough are found as a
+row or as a chain of rows, so that their documents are in one class. Not certain there: passages whose
+other side has a longer break than t shingles may have (similar only as a whole), and those that repeat
+their own shingles, where a link of the chain may fail its verification.
 
 Hot keys: keys that hold over 1 / 4096 of the windows in a sample of documents
 (fewer than 4096 keys) are dealt into parts, and a group that is longer than
 `held` rows is cut into parts while it is read. Parts only change where work is
-done: the first windows of a key's parts meet, and their leads' stretches do.
+done: all leads of such keys are held against each other. Keys with more leads than a task
+should hold are dealt into parts of which each meets each other.
 
 Null, empty and short texts (fewer than `least` words) have no passages. Texts may
 be of any length. Ids must be integers (else TypeError); equal ids are one
@@ -303,14 +307,14 @@ def first_of(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-#: How two windows meet: by equal content, otherwise; and two that are not links: a lead whose stretches are to be compared, the first window of a part of a key
-EXACT, NEAR, LEAD, EDGE = range(4)
+#: How two windows meet: by equal content, otherwise; and what is no link: a lead whose shingles are to be held against those of the others of its key
+EXACT, NEAR, LEAD = range(3)
 LINK = "kind int, key long, doc_id long, spot long, other_id long, other_spot long"
 
 
 def linked(found: DataFrame, few: int = 6, held: int = 400_000) -> DataFrame:
-    """Who meets whom within each key and part (columns: see LINK; of LEAD and EDGE the
-    other side is the window itself)."""
+    """Who meets whom within each key and part (columns: see LINK; of LEAD the other side is
+    the window itself; other kinds' keys are 0)."""
 
     def links(rows: list[np.ndarray], whole: bool) -> pa.RecordBatch:
         """Links within rows of whole keys and parts (whole: the last one does not go on)."""
@@ -338,17 +342,16 @@ def linked(found: DataFrame, few: int = 6, held: int = 400_000) -> DataFrame:
             at_, g_ = at[large], g[at[large]]
             for to in (start[g_], at[large - 1], at_[first_of(g_, sides[at_] >> 16)], at_[first_of(g_, sides[at_] & 0xFFFF)]):
                 out.append((NEAR, at_, to))
-        out.append((LEAD, *[at[((contents > few) & several[at] & (rank > 0)) | broken[at]]] * 2))
-        out.append((EDGE, *[start[broken[start]]] * 2))
+        out.append((LEAD, *[at[((contents > few) & several[at]) | broken[at]]] * 2))
         kind = np.concatenate([np.full(len(i), k, np.int32) for k, i, _ in out])
         i, j = (np.concatenate([x[m] for x in out]) for m in (1, 2))
-        keep = (doc[i] != doc[j]) | (kind >= LEAD)
+        keep = (doc[i] != doc[j]) | (kind == LEAD)
         kind, i, j = kind[keep], i[keep], j[keep]
         # the source is the document with the smaller id
         i, j = np.where(doc[i] < doc[j], j, i), np.where(doc[i] < doc[j], i, j)
         one = np.unique(np.stack([kind, i, j]), axis=1)
         kind, i, j = one[0].astype(np.int32), one[1], one[2]
-        table = [kind, np.where(kind == EDGE, key[i], 0), doc[i], spot[i], doc[j], spot[j]]
+        table = [kind, np.where(kind == LEAD, key[i], 0), doc[i], spot[i], doc[j], spot[j]]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in table], [x.split()[0] for x in LINK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,12 +378,156 @@ def linked(found: DataFrame, few: int = 6, held: int = 400_000) -> DataFrame:
     return found.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(run, LINK)
 
 
-def bridged(links: DataFrame) -> DataFrame:
-    """Links between the first windows of a key's parts."""
-    edges = links.where(F.col("kind") == EDGE).select("key", "doc_id", "spot").distinct()
-    first = edges.groupBy("key").agg(F.min(F.struct("doc_id", "spot")).alias("f"))
-    both = edges.join(first, "key").where("doc_id > f.doc_id")
-    return both.select(F.lit(NEAR).alias("kind"), "key", "doc_id", "spot", F.col("f.doc_id").alias("other_id"), F.col("f.spot").alias("other_spot"))
+def alike(group: np.ndarray, doc: np.ndarray, h: np.ndarray, before: np.ndarray, behind: np.ndarray, t: int, span: int, run: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group that share `need` of t shingles in a row around c, such that all
+    those pairs are joined, directly or through others. h: the shingles of [c - t + span, c + t), of which `before` before c and
+    `behind` from c on are there.
+
+    Shingles that are not shared stand in a row of SIZE - 1 or more, so two such rows
+    have a run of `need` around c in common, or a run of `run` or more around c and, behind or before a
+    break of t - need at most, another; `need` together. These are compared by hash, for every
+    place of the runs; a longer first run is only tried where rows of different trees share the
+    shorter one. If t has room for two breaks, all pairs with a common run are taken."""
+    n, at = len(group), t - span
+    prefix = np.zeros((h.shape[1] + 1, n), np.uint64)
+    power = [pow(BASE, k, 2**64) for k in range(h.shape[1])]
+    for k, x in enumerate(power):
+        prefix[k + 1] = prefix[k] + (h[:, k].astype(np.uint64) + np.uint64(1)) * np.uint64(x)
+    group = mixed(group.view(np.uint64) ^ np.uint64(BASE))
+    root, out = np.arange(n), [np.zeros((2, 0), np.int64)]
+
+    def hashed(rows: np.ndarray, a: int, b: int) -> np.ndarray:
+        return mixed((prefix[b, rows] - prefix[a, rows]) * np.uint64(pow(INVERSE, a, 2**64)) + np.uint64(b - a))
+
+    def there(rows: np.ndarray, a: int, b: int) -> np.ndarray:
+        return rows[(before[rows] >= at - a) & (behind[rows] >= b - at)] if 0 <= a and b <= h.shape[1] else rows[:0]
+
+    def classes(key: np.ndarray, rows: np.ndarray, again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rows in order of their keys, where those of each key start, and which of them several trees and documents have."""
+        order = np.argsort(key, kind="stable")
+        key, rows = key[order], rows[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        several = np.ones(len(start), bool)
+        for x in (doc[rows],) if again else (root[rows], doc[rows]):
+            several &= np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start)
+        keep = np.repeat(several, np.diff(np.append(start, len(rows))))
+        return rows[keep], np.flatnonzero(np.append(True, key[keep][1:] != key[keep][:-1])) if keep.any() else start[:0], order[keep]
+
+    def join(key: np.ndarray, rows: np.ndarray, again: bool = False) -> None:
+        """Each row meets the first one of its key; rows of that one's document the first one of another.
+        again: also where both are in one tree."""
+        if not len(rows):
+            return
+        rows, start, _ = classes(key, rows, again)
+        if not len(rows):
+            return
+        size = np.diff(np.append(start, len(rows)))
+        first = np.repeat(start, size)
+        other = doc[rows] != doc[rows[first]]
+        second = np.repeat(np.minimum.reduceat(np.where(other, np.arange(len(rows)), len(rows)), start), size)
+        i, j = rows, rows[np.where(other, first, second)]
+        new = (i != j) & (again | (root[i] != root[j]))
+        x, y = i[new], j[new]
+        out.append(np.stack([x, y]))
+        while len(x):
+            a, b = root[x], root[y]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root[:] = up
+            live = root[x] != root[y]
+            x, y = x[live], y[live]
+
+    every = np.arange(n)
+    if t - need >= 2 * (SIZE - 1):
+        for x in range(run - span + 1):
+            rows = there(every, at - x, at - x + run)
+            if len(rows):
+                rows, start, _ = classes(hashed(rows, at - x, at - x + run) ^ group[rows], rows)
+                for a, b in zip(start, np.append(start[1:], len(rows))):
+                    out += [np.stack([np.full(b - k - 1, rows[k]), rows[k + 1 : b]]) for k in range(a, b - 1)]
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        return tuple(pairs[:, doc[pairs[0]] != doc[pairs[1]]])
+    for x in range(need - span + 1):
+        rows = there(every, at - x, at - x + need)
+        join(hashed(rows, at - x, at - x + need) ^ group[rows], rows, True)
+    for y in range(span, need):
+        rows = every
+        for x in range(max(0, run - y), need - y):
+            rows = there(rows, at - x, at + y)
+            if not len(rows):
+                break
+            key = hashed(rows, at - x, at + y) ^ group[rows]
+            rows, _, order = classes(key, rows)
+            if not len(rows):
+                break
+            rest, keys, spots = need - x - y, [], []
+            base = np.zeros(n, np.uint64)
+            base[rows] = key[order]
+            for gap in range(SIZE - 1, t - need + 1):
+                for a in (at + y + gap, at - x - gap - rest):
+                    some = there(rows, a, a + rest)
+                    keys.append(mixed(base[some] + hashed(some, a, a + rest)))
+                    spots.append(some)
+            join(np.concatenate(keys), np.concatenate(spots))
+    return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+
+
+def met(docs: DataFrame, leads: DataFrame, t: int, run: int, similarity: float, most: int = 16_384) -> DataFrame:
+    """Links (columns: see LINK) between leads (key, doc_id, spot) of equal keys, by alike()."""
+    need = int(np.ceil(2 * similarity * t / (1 + similarity) - 1e-9))
+    span = (run + 1) // 2
+    width = 2 * t - span
+    names = ["key", "doc_id", "spot", "h"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                h = (shingles(batch.column("text")[k].as_py()) >> np.uint64(32)).astype(np.uint32)
+                key, spot = (x.values.to_numpy() for x in (batch.column("keys")[k], batch.column("spots")[k]))
+                padded = np.concatenate([np.zeros(t - span, np.uint32), h, np.zeros(t, np.uint32)])
+                for m in range(0, len(key), 4096):
+                    c = spot[m : m + 4096] >> 32
+                    # two shorts in front: how many shingles are there before c and from c on
+                    ends_ = np.stack([np.minimum(c, t - span), np.minimum(len(h) - c, t)], axis=1).astype("<u2").view("<u4")
+                    rows = np.concatenate([ends_, padded[c[:, None] + np.arange(width)]], axis=1)
+                    h_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1] * 4), len(c), [None, pa.py_buffer(rows.astype("<u4").tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[m : m + 4096]), pa.array(np.full(len(c), batch.column("doc_id")[k].as_py(), np.int64)), pa.array(spot[m : m + 4096]), h_.cast(pa.binary())], names)
+
+    def links(rows: list) -> pa.RecordBatch:
+        key, part, doc, spot, h = rows
+        h = np.frombuffer(b"".join(h), "<u4").reshape(len(key), -1)
+        ends_ = np.ascontiguousarray(h[:, :1]).view("<u2").astype(np.int64)
+        i, j = alike(key ^ (part.astype(np.int64) * np.int64(0x5851F42D4C957F2D)), doc, h[:, 1:], ends_[:, 0], ends_[:, 1], t, span, run, need)
+        # the source is the document with the smaller id
+        i, j = np.where(doc[i] < doc[j], j, i), np.where(doc[i] < doc[j], i, j)
+        table = [np.full(len(i), NEAR, np.int32), np.zeros(len(i), np.int64), doc[i], spot[i], doc[j], spot[j]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in table], [x.split()[0] for x in LINK.split(", ")])
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            rows = [*(np.asarray(batch.column(c)) for c in ("key", "part", "doc_id", "spot")), batch.column("h").to_pylist()]
+            held = [np.concatenate([x, y]) for x, y in zip(held[:4], rows[:4])] + [held[4] + rows[4]] if held else rows
+            n = len(held[0])
+            if n < most:
+                continue
+            # the last group may go on
+            cut = n - int(((held[0] == held[0][-1]) & (held[1] == held[1][-1])).sum())
+            if cut >= most // 2:
+                yield links([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held and len(held[0]):
+            yield links(held)
+
+    of = leads.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("key").alias("keys"), F.collect_list("spot").alias("spots"))
+    read_ = docs.join(of, F.col("doc_id") == F.col("id")).select("doc_id", "text", "keys", "spots").mapInArrow(read, "key long, doc_id long, spot long, h binary")
+    # keys with more leads than a task should hold: each part of them meets each other one
+    large = leads.groupBy("key").count().where(F.col("count") > 2 * most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    dealt_ = read_.join(F.broadcast(large), "key", "left").withColumn("own", F.pmod(F.xxhash64("doc_id", "spot"), F.col("parts")).cast("int"))
+    other = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own")))
+    dealt_ = dealt_.withColumn("other", F.explode(other))
+    part = F.coalesce(F.least("own", "other") * F.col("parts") + F.greatest("own", "other"), F.lit(0)).alias("part")
+    return dealt_.select("key", part, "doc_id", "spot", "h").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run_, LINK)
 
 
 def ends(spot: str) -> tuple:
@@ -433,50 +580,23 @@ def on_grid(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", down("lo"), up("hi"), "other_id", down("other_lo"), up("other_hi"), "d")
 
 
-def on_lead(leads: DataFrame, t: int) -> DataFrame:
-    """leads with the slice that holds every t shingles with a stretch of them, and those of
-    stretches up to 32 further on; ends on the grid."""
-    c = F.col("c")
-    return leads.select("doc_id", "c", F.greatest(F.floor((c - t) / GRID) * GRID, F.lit(0)).cast("int").alias("lo"), (F.ceil((c + t + 32) / GRID) * GRID).cast("int").alias("hi"))
-
-
-def fetched(docs: DataFrame, asked: DataFrame, leads: DataFrame, t: int, run: int, similarity: float) -> DataFrame:
-    """In one pass over the texts: the shingle hashes h of the slices asked for, and the
-    stretches of the leads as windows whose key is their content (then h is null)."""
-    need = int(np.ceil(2 * similarity * t / (1 + similarity) - 1e-9))
-    span, step = (run + 1) // 2, max(t - need, 1)
-    names = [*NAMES, "h"]
+def fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, lo, hi, h: the shingle hashes of the slices asked for, in one pass over the texts."""
+    names = ["doc_id", "lo", "hi", "h"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                out, tail = [], []
-                for doc, text, spans, spots in zip(*(x.to_pylist() for x in batch.slice(k, 256).columns)):
+                out = []
+                for doc, text, spans in zip(*(x.to_pylist() for x in batch.slice(k, 256).columns)):
                     h = shingles(text).view(np.int64)
-                    for s in spans or ():
-                        out.append((doc, s["lo"], s["hi"], h[s["lo"] : s["hi"]]))
-                    if not spots:
-                        continue
-                    c, c_lo, c_hi = np.array([(s["c"], s["lo"], s["hi"]) for s in spots], np.int64).T
-                    # one stretch of `need` in every t in a row that hold the lead's span
-                    a, one = np.unique((c[:, None] - np.arange(0, t - span + 1, step)).ravel(), return_index=True)
-                    good = (a >= 0) & (a + need <= len(h))
-                    a, one = a[good], one[good] // len(range(0, t - span + 1, step))
-                    if len(a):
-                        tail.append((np.full(len(a), doc, np.int64), content(hashed_runs(h.view(np.uint64)), a, a + need).view(np.int64), a << 32 | a - np.minimum(c_lo[one], a) << 16 | np.maximum(c_hi[one], a) - a))
+                    out += [(doc, s["lo"], s["hi"], h[s["lo"] : s["hi"]]) for s in spans]
                 doc, lo, hi, h = zip(*out) if out else ((), (), (), ())
-                more = [np.concatenate(x) for x in zip(*tail)] if tail else [np.zeros(0, np.int64) for _ in range(3)]
-                n, m = len(out), len(more[0])
-                offsets = np.append(np.append(0, np.cumsum([len(x) for x in h])), np.full(m, sum(map(len, h)))).astype(np.int32)
-                slices = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(h) if h else np.zeros(0, np.int64)), mask=pa.array(np.arange(n + m) >= n))
-                zero = np.zeros(n + m, np.int32)
-                of = {"key": np.append(np.zeros(n, np.int64), more[1]), "part": zero - 1, "around": zero.astype(np.int64), "sides": zero}
-                of |= {"doc_id": np.append(np.array(doc, np.int64), more[0]), "spot": np.append(np.array(lo, np.int64) << 32 | np.array(hi, np.int64), more[2])}
-                yield pa.RecordBatch.from_arrays([*(pa.array(of[x]) for x in NAMES), slices], names)
+                slices = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in h])).astype(np.int32)), pa.array(np.concatenate(h) if h else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), slices], names)
 
-    spans = asked.select(F.col("doc_id").alias("id"), F.struct("lo", "hi").alias("s"), F.lit(None).cast("struct<c:int,lo:int,hi:int>").alias("c"))
-    wanted = spans.union(leads.select("doc_id", F.lit(None).cast("struct<lo:int,hi:int>"), F.struct("c", "lo", "hi"))).groupBy("id").agg(F.collect_set("s").alias("spans"), F.collect_set("c").alias("spots"))
-    return docs.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "spans", "spots").mapInArrow(read, WINDOW + ", h array<long>")
+    wanted = asked.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return docs.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "spans").mapInArrow(read, "doc_id long, lo int, hi int, h array<long>")
 
 
 PASSAGE = "doc_id long, start_word long, n_words long, source_id long, source_start_word long, source_words long, similarity double"
@@ -534,22 +654,13 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     same = written(merged(links.where(F.col("kind") == EXACT), 0), "exact")
     enough = F.col("hi") - F.col("lo") >= t
     wider = same.where(~enough).select("doc_id", "other_id", "d", (F.col("lo") - t).alias("lo"), (F.col("hi") + t).alias("hi"))
-    near = merged(links.where(F.col("kind") == NEAR).unionByName(bridged(links)), t)
+    leads = written(links.where(F.col("kind") == LEAD).select("key", "doc_id", "spot").distinct(), "leads")
+    more = written(met(texts, leads, t, run, similarity), "met")
+    near = merged(links.where(F.col("kind") == NEAR).unionByName(more), t)
     pairs = written(on_grid(clustered(near.unionByName(wider), t)), "intervals")
-    leads = written(on_lead(links.where(F.col("kind") == LEAD).select("doc_id", ends("spot")[0].alias("c")).distinct(), t), "leads")
-    asked = pairs.select("doc_id", "lo", "hi").union(pairs.select("other_id", "other_lo", "other_hi")).union(leads.select("doc_id", "lo", "hi")).distinct()
     erased(links)
-    texts_read = written(fetched(texts, asked, leads, t, run, similarity), "slices")
-    slices = texts_read.where("h is not null").select("doc_id", F.shiftright("spot", 32).cast("int").alias("lo"), F.col("spot").bitwiseAND(2**32 - 1).cast("int").alias("hi"), "h")
-    parts = texts_read.where("h is null").select(*NAMES)
-    equal = linked(dealt(parts, parts.select("key")), few)
-    equal = equal.where(F.col("kind").isin(EXACT, NEAR)).unionByName(bridged(equal))
-    (c, lo, hi), (other_c, other_lo, other_hi) = ends("spot"), ends("other_spot")
-    slice_of = F.struct(lo.alias("lo"), hi.alias("hi"), other_lo.alias("other_lo"), other_hi.alias("other_hi"))
-    # the first slice holds what the stretches of 32 places can reach
-    equal = equal.groupBy("doc_id", "other_id", (c - other_c).alias("off"), F.floor(c / 32).alias("block")).agg(F.min(slice_of).alias("s"))
-    equal = equal.groupBy("doc_id", "s.lo", "s.hi", "other_id", "s.other_lo", "s.other_hi").agg(F.sort_array(F.collect_set("off")).alias("d"))
-    pairs = written(pairs.unionByName(equal), "pairs")
+    asked = pairs.select("doc_id", "lo", "hi").union(pairs.select("other_id", "other_lo", "other_hi")).distinct()
+    slices = written(fetched(texts, asked), "slices")
     exact = same.where(enough).select("doc_id", F.col("lo").cast("long").alias("start_word"), (F.col("hi") - F.col("lo") + SIZE - 1).cast("long").alias("n_words"), F.col("other_id").alias("source_id"), (F.col("lo") - F.col("d")).cast("long").alias("source_start_word"), (F.col("hi") - F.col("lo") + SIZE - 1).cast("long").alias("source_words"), F.lit(1.0).alias("similarity"))
     hits = written(joined(verified(pairs, slices, t, similarity).unionByName(exact)), "passages")
     own = hits.select(F.col("source_id").alias("doc_id"), F.col("source_start_word").alias("start_word"), F.col("source_words").alias("n_words"), "source_id", "source_start_word", "source_words", F.lit(1.0).alias("similarity")).distinct()

@@ -213,3 +213,60 @@ def test_shortest_run_and_other_ids(spark):
     assert p.shortest_run(46, 0.8) == 21 and p.shortest_run(46, 1.0) == 46
     with pytest.raises(TypeError):
         p.repeated(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_rows_of_a_group_are_joined_as_by_comparing_all_pairs():
+    rng = np.random.default_rng(38)
+    draw = lambda n: rng.integers(0, 2**32, n).astype(np.uint32)
+    t, span, run, need, n = 46, 11, 21, 41, 240
+    at, line = t - span, draw(81)
+    h = np.stack([draw(81) for _ in range(n)])
+    group, doc = np.repeat(np.arange(4), n // 4), rng.integers(0, n // 2, n)
+    for k in range(n):
+        some = np.random.default_rng(k // 12)
+        a, b, own = at - some.integers(0, 12), at + span + some.integers(8, 20), some.integers(0, 2**32, 200).astype(np.uint32)
+        h[k, a:b] = line[a:b]  # a common line, of less than a passage
+        if k % 3:  # around it a passage that some others have too; in some a word is changed, put in or left out
+            cut, gap, on = b + 3, 4 + k % 2, 100 + rng.integers(-1, 2) * (k % 4 == 1)
+            h[k, a - 20 : a], h[k, b:cut] = own[:20], own[60:63]
+            if k % 2:
+                h[k, cut + gap :] = own[on : on + 81 - cut - gap]
+            else:
+                h[k, cut:] = own[95 : 95 + 81 - cut]
+    before, behind = np.minimum(rng.integers(25, 60, n), at), np.minimum(rng.integers(35, 80, n), t)
+
+    def windows(k):
+        return [set(h[k, a : a + t].tolist()) for a in range(at - before[k], at + 1) if at + span <= a + t <= at + behind[k]]
+
+    def common_run(i, j):
+        lo, hi = at - min(before[i], before[j]), at + min(behind[i], behind[j])
+        same = next((b - a for a, b in p.runs_of(h[i, lo:hi] == h[j, lo:hi]) if a + lo <= at and at + span <= b + lo), 0)
+        return same >= run
+
+    every = [windows(k) for k in range(n)]
+    want = [(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and doc[i] != doc[j] and common_run(i, j) and any(len(a & b) >= need for a in every[i] for b in every[j])]
+    found = list(zip(*p.alike(group, doc, h, before, behind, t, span, run, need)))
+
+    def trees(pairs):
+        root = list(range(n))
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    assert len(want) > 40 and {tuple(sorted(x, reverse=True)) for x in found} <= set(want)
+    assert trees(found) == trees(want) and len(set(trees(want))) > n // 3
+
+
+def test_pairs_in_a_large_group_are_found_where_leads_and_neighbours_are_unlike(spark):
+    rng = random.Random(39)
+    rows, want = [], set()
+    for k in range(10):
+        run, behind, edit = words(rng, 44), words(rng, 23), words(rng, 1)
+        # texts that have a part of the first run, and nothing else of the passage
+        near = [run[i : i + 29] for i in (0, 0, 0, 3, 6, 9, 12, 15, 15, 15) for _ in range(4)]
+        for n, w in enumerate((*near, run + words(rng, 1) + behind, run + edit + behind)):
+            rows.append((100 * k + n, " ".join(words(rng, 60) + w + words(rng, 60))))
+        want.add((100 * k + 40, 100 * k + 41))
+    found = {(r.source_id, r.doc_id) for r in p.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= found
