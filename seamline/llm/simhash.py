@@ -41,12 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm.passages import mixed, shingles
-from seamline.llm.shared import salted_join, table, written
+from seamline.llm.shared import erased, salted_join, table, written
 
 BITS = 64
 SEED = 42
 #: Sets of fewer shingles get a wider limit of differing bits.
 SMALL = 64
+#: Nodes that are broadcast at most, to pick their texts where these lie.
+BROADCAST = 2_000_000
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -308,7 +310,7 @@ def most_differing(similarity: float, bits: int, small: bool) -> int:
     return int(bits * p + 3.5 * np.sqrt(bits * p * (1 - p)))
 
 
-def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 16, errors: int = 20, seen: int = 8) -> DataFrame:
+def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8, prints: int = 16, errors: int = 20, seen: int = 8, again: int = 4) -> DataFrame:
     """doc_id, component_id (least id of the class): classes under links between texts whose
     shingles (words lower-cased A-Z) have a multiset Jaccard similarity of `similarity` or more.
 
@@ -324,7 +326,8 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     trie's order, so rows do not grow with the square of a group of copies. All links
     are verified by the exact similarity of the shingle multisets before they count.
     The four blocks of the first fingerprint go first; then all blocks, where
-    only fingerprints of other classes than the own one so far count as near ones.
+    only fingerprints of other classes than the own one so far count as near ones, and `again`
+    fingerprints are held against each other, as a row for each block carries them.
     Blocks where a fingerprint had more of those go once more with all of them, held
     against each other over all `prints` fingerprints: every pair of the tries is either
     within one class or compared exactly.
@@ -333,21 +336,31 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     kind = docs.schema[id_column].dataType
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def node_of(members: np.ndarray) -> int:
         import xxhash
 
+        return xxhash.xxh64_intdigest(members.tobytes())
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 sets = [shingle_set(t.as_py(), size) for t in part.column("text")]
-                node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                node = np.array([node_of(x) for x in sets], np.uint64).view(np.int64)
                 w = pa.array([wide_fingerprint(x, prints).tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), w, pa.array([len(x) for x in sets], pa.int32())], ["doc_id", "node", "w", "n"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                sets = [shingle_set(t.as_py(), size) for t in batch.column("text").slice(k, 512)]
+                node = np.array([node_of(x) for x in sets], np.uint64).view(np.int64)
                 members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int32) if sets else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), w, members], ["doc_id", "node", "w", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), members], ["node", "members"])
 
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    sketched = written(texts.mapInArrow(sketch, f"doc_id {kind.simpleString()}, node long, w binary, members array<int>"), "sketches")
-    nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("w").alias("w"), F.min(F.size("members")).alias("n")), "nodes")
+    sketched = written(texts.mapInArrow(sketch, f"doc_id {kind.simpleString()}, node long, w binary, n int"), "sketches")
+    nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("w").alias("w"), F.min("n").alias("n")), "nodes")
 
     def run(batches: Iterator[pa.RecordBatch], held_prints: int, partners: int | None) -> Iterator[pa.RecordBatch]:
         limits = np.array([most_differing(similarity, held_prints * BITS, small) for small in (False, True)])
@@ -424,29 +437,41 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
         block = F.conv(F.hex(F.expr("substring(w, 8 * shiftright(turn, 2) + 7 - 2 * (turn % 4), 2)")), 16, 10).cast("long")
         spread = rows.select("node", "own", "n", "w", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
         keyed = spread.select((F.col("turn") * F.lit(65536).cast("long") + block).alias("key"), F.expr(f"substring(concat(w, w), 8 * shiftright(turn, 2) + 1, {8 * held_prints})").alias("wide"), "n", "node", "own")
-        keyed = keyed if only is None else keyed.join(only, "key", "left_semi")
+        # there are 65,536 blocks a turn, so the crowded ones may be broadcast, and no other row is shuffled
+        keyed = keyed if only is None else keyed.join(F.broadcast(only), "key", "left_semi")
         near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: run(batches, held_prints, partners), "a long, b long, crowded long")
         every = written(near.distinct(), "candidates")
         found = every.where("a is not null").select("a", "b")
         asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-        sets = written(sketched.select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+        # sets are made anew from the texts that stand for the nodes, as they are larger than all else
+        small = (lambda x: F.broadcast(x)) if asked.count() <= BROADCAST else (lambda x: x)
+        ids = nodes.join(small(asked), "node", "left_semi").select(F.col("least").alias("id")).distinct()
+        picked = texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+        sets = picked.mapInArrow(shingled, "node long, members array<int>").join(small(asked), "node", "left_semi")
+        sets = written(sets.dropDuplicates(["node"]), "shingle-sets")
         both = salted_join(salted_join(found, sets.select(F.col("node").alias("a"), F.col("members").alias("x")), ["a"]), sets.select(F.col("node").alias("b"), F.col("members").alias("y")), ["b"], found)
-        return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar"), every.where("crowded is not null").select(F.col("crowded").alias("key"))
+        links = written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar")
+        erased(sets)
+        return links, every.where("crowded is not null").select(F.col("crowded").alias("key"))
 
     found, _ = similar(nodes.withColumn("own", F.col("node")), 4, seen, 1)
     crowded = None
-    for held_prints, partners in ((seen, 1), (prints, None)):
+    for held_prints, partners in ((again, 1), (prints, None)):
         grouped = components(found)
         if crowded is None or not crowded.isEmpty():
             root = grouped.select("node", F.col("root").alias("own"))
             known = written(nodes.join(root, "node", "left").select("node", "w", "n", F.coalesce("own", "node").alias("own")), "known")
             more, crowded = similar(known, 4 * prints, held_prints, partners, crowded)
             found = found.union(more)
+            erased(known)
     grouped = components(found)
     member = written(nodes.select("node", "least").join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "members")
     first = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = written(salted_join(member, first, ["root"]).select("node", "component_id"), "classes")
-    return salted_join(sketched.select("doc_id", "node"), of, ["node"]).select("doc_id", "component_id")
+    out = written(salted_join(sketched.select("doc_id", "node"), of, ["node"]).select("doc_id", "component_id"), "similar-classes")
+    for done in (sketched, nodes, member, of):
+        erased(done)
+    return out
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

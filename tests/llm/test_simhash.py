@@ -1,9 +1,11 @@
+import os
 import random
 
 import numpy as np
 import xxhash
 
 from seamline.llm import simhash
+from seamline.llm.shared import shared_folder
 
 
 def brute_fingerprint(text):
@@ -145,6 +147,19 @@ def test_similar_classes_of_null_ids_repeated_ids_and_empty_tables(spark):
     assert simhash.similar_classes(docs.limit(0)).count() == 0
 
 
+def test_similar_classes_leave_only_their_result_and_links_in_the_shared_folder(spark):
+    rng = random.Random(11)
+    base = ["w%d" % rng.randrange(5_000) for _ in range(60)]
+    docs = [(k, " ".join([*base[:k], "other%d" % k, *base[k + 1 :]])) for k in range(30)]
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    rows = simhash.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in rows} == {0}
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert "seamline-similar-classes" in left
+    assert not left & {"seamline-sketches", "seamline-nodes", "seamline-known", "seamline-shingle-sets", "seamline-members", "seamline-classes"}
+
+
 def test_a_near_text_behind_nearer_unlike_ones_is_still_joined(spark):
     """Groups of texts around one base, most pairs just below 0.8: no link is lost beside the nearest."""
     import random
