@@ -55,6 +55,7 @@ all. Repeats within one document are not reported.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,22 +102,33 @@ def sliding(x: np.ndarray, t: int, pick) -> np.ndarray:
 
 
 def compact_windows(h: np.ndarray, t: int) -> list[tuple[int, int, int]]:
-    """(c, l, r): c is the first minimum of every stretch in [l, r] that holds it;
+    """(c, l, r) of window_arrays()."""
+    return list(zip(*(x.tolist() for x in window_arrays(h, t))))
+
+
+def window_arrays(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays c, l, r: c is the first minimum of every stretch in [l, r] that holds it;
     all such with r - l + 1 >= t."""
     n = len(h)
     if n < t:
-        return []
+        return (np.zeros(0, np.int64),) * 3
     least = sliding(h, t, np.minimum)
     edge = np.zeros(t - 1, h.dtype)
-    at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), t, np.maximum) == h).tolist()
-    values = h[at].tolist()
-    left, right, stack = [0] * len(at), [n - 1] * len(at), []
-    for i, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = at[i] - 1
-        left[i] = at[stack[-1]] + 1 if stack else 0
+    c = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), t, np.maximum) == h)
+    # the places among c of the nearest smaller values on either side (an equal one before counts as smaller)
+    left, right, stack, held = [-1] * len(c), [len(c)] * len(c), [], []
+    for i, v in enumerate(h[c].tolist()):
+        while held and held[-1] > v:
+            held.pop()
+            right[stack.pop()] = i
+        if stack:
+            left[i] = stack[-1]
         stack.append(i)
-    return [(c, a, b) for c, a, b in zip(at, left, right) if b - a + 1 >= t]
+        held.append(v)
+    ends_ = np.concatenate([c, [n, -1]])  # place len(c): behind all; place -1: before all
+    l, r = ends_[left] + 1, ends_[right] - 1
+    keep = r - l + 1 >= t
+    return c[keep], l[keep], r[keep]
 
 
 def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -188,15 +200,67 @@ def agreeing(a: np.ndarray, b: np.ndarray, t: int, similarity: float, *offs: int
             if min(hi - lo, b_hi - b_lo) >= need:
                 yield lo, hi, b_lo, b_hi, s
             continue
-        lo, hi = max(lo - t, 0), min(hi + t, len(a))
-        open_ = np.ones(hi - lo, bool)
-        for first, last in bands(sorted(offs or (0,)), t - int(similarity * t) + 1):
-            for x, y, p, q, s in near_place(a, b, t, similarity, first, last, lo, hi):
-                open_[x - lo : y - lo] = False
-                yield x, y, p, q, s
-            # where a passage of a is found already, other places of b need not be looked at
-            if not dense(open_, t, t):
-                break
+        yield from elsewhere(a, b, t, similarity, lo, hi, offs)
+
+
+def elsewhere(a: np.ndarray, b: np.ndarray, t: int, similarity: float, lo: int, hi: int, offs: tuple[int, ...]) -> Iterator[tuple[int, int, int, int, float]]:
+    """agreeing() for a stretch of a whose hull in b is not similar."""
+    lo, hi = max(lo - t, 0), min(hi + t, len(a))
+    open_ = np.ones(hi - lo, bool)
+    for first, last in bands(sorted(offs or (0,)), t - int(similarity * t) + 1):
+        for x, y, p, q, s in near_place(a, b, t, similarity, first, last, lo, hi):
+            open_[x - lo : y - lo] = False
+            yield x, y, p, q, s
+        # where a passage of a is found already, other places of b need not be looked at
+        if not dense(open_, t, t):
+            break
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges [lo, hi) in a row, and which range each is of."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(of)) + (lo - np.cumsum(size) + size)[of], of
+
+
+def hulls(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, t: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """(pair, from, to, from, to, similarity) of the stretches of many pairs that agreeing() holds
+    against their hulls first; pair k is a[a_at[k] : a_at[k + 1]] and b[b_at[k] : b_at[k + 1]]."""
+    need = int(np.ceil(2 * similarity * t / (1 + similarity) - 1e-9))
+    n = len(a_at) - 1
+    a, b, a_at, b_at = a[a_at[0] : a_at[-1]], b[b_at[0] : b_at[-1]], a_at - a_at[0], b_at - b_at[0]
+    of_a, of_b = np.repeat(np.arange(n), np.diff(a_at)), np.repeat(np.arange(n), np.diff(b_at))
+    salt = mixed(np.arange(1, n + 1, dtype=np.uint64))
+    ids = np.unique(np.concatenate([a.view(np.uint64) ^ salt[of_a], b.view(np.uint64) ^ salt[of_b]]), return_inverse=True)[1]
+    a, b, count = ids[: len(a)], ids[len(a) :], int(ids.max(initial=-1)) + 1
+    shared = np.bincount(b, minlength=count)[a] > 0
+    total, good = np.append(0, np.cumsum(shared)), np.zeros(len(a), bool)
+    at = np.flatnonzero((np.arange(len(a)) + t <= a_at[1:][of_a]) & (np.diff(b_at)[of_a] >= t))
+    good[at] = total[at + t] - total[at] >= need
+    new = np.append(of_a[1:] != of_a[:-1], True) if len(a) else good
+    lo = np.flatnonzero(good & ~(np.append(False, good[:-1] & ~new[:-1])[: len(a)]))
+    hi = np.flatnonzero(good & ~(np.append(good[1:] & ~new[:-1], False)[: len(a)])) + t
+    on = np.flatnonzero(shared)
+    pair, lo, hi = of_a[lo], on[np.searchsorted(on, lo)], on[np.searchsorted(on, hi) - 1] + 1
+    b_lo, b_hi, s = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64), np.zeros(len(lo))
+    # a pair's first stretches at once, then the second ones, as ids are those of a pair
+    turn = np.arange(len(pair)) - np.searchsorted(pair, pair)
+    for k in range(int(turn.max(initial=-1)) + 1):
+        i = np.flatnonzero(turn == k)
+        mine, of_mine = spread(lo[i], hi[i])
+        theirs, of_theirs = spread(b_at[pair[i]], b_at[pair[i] + 1])
+        n_a = np.bincount(a[mine], minlength=count)
+        hit = np.flatnonzero(n_a[b[theirs]] > 0)
+        first, end = np.searchsorted(of_theirs[hit], np.arange(len(i))), np.searchsorted(of_theirs[hit], np.arange(len(i)), side="right")
+        b_lo[i], b_hi[i] = theirs[hit[first]], theirs[hit[end - 1]] + 1
+        inside = (theirs >= b_lo[i][of_theirs]) & (theirs < b_hi[i][of_theirs])
+        n_b = np.bincount(b[theirs[inside]], minlength=count)
+        own = np.zeros(count, np.int64)
+        own[a[mine]] = of_mine
+        some = np.flatnonzero(n_a)
+        both = np.bincount(own[some], np.minimum(n_a, n_b)[some], len(i))
+        s[i] = both / (hi[i] - lo[i] + b_hi[i] - b_lo[i] - both)
+    return pair, lo - a_at[pair], hi - a_at[pair], b_lo - b_at[pair], b_hi - b_at[pair], s
 
 
 def bands(offs: list[int], slack: int) -> Iterator[tuple[int, int]]:
@@ -222,21 +286,31 @@ def near_place(a: np.ndarray, b: np.ndarray, t: int, similarity: float, first: i
         k, i = np.nonzero(at[:, x:y])
         spots = k + i + (lo + first + x)
         b_lo, b_hi = int(spots.min()), int(spots.max()) + 1
-        s = jaccard(a[lo + x : lo + y], b[b_lo:b_hi])
+        # of two lengths, no more than the shorter one can be shared
+        s = jaccard(a[lo + x : lo + y], b[b_lo:b_hi]) if min(y - x, b_hi - b_lo) >= similarity * max(y - x, b_hi - b_lo) else 0.0
         if s >= similarity and min(y - x, b_hi - b_lo) >= need:
             yield lo + x, lo + y, b_lo, b_hi, s
             continue
-        for k in np.flatnonzero(at[:, x:y].sum(axis=1) >= t).tolist():
-            for u, v in runs_of(at[k, x:y]):
-                if v - u >= t:
-                    u, v = u + lo + x, v + lo + x
-                    yield u, v, u + first + k, v + first + k, 1.0
+        rows = np.flatnonzero(at[:, x:y].sum(axis=1) >= t)
+        # the runs of all rows at once, each row ended by a false value
+        flat = np.zeros((len(rows), y - x + 1), bool)
+        flat[:, :-1] = at[rows, x:y]
+        for u, v in runs_of(flat.ravel()):
+            if v - u >= t:
+                k, u, v = int(rows[u // (y - x + 1)]), u % (y - x + 1) + lo + x, v - u + u % (y - x + 1) + lo + x
+                yield u, v, u + first + k, v + first + k, 1.0
+
+
+@lru_cache(maxsize=12)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of BASE and of INVERSE, from 0 on."""
+    return tuple(np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))) for x in (BASE, INVERSE))
 
 
 def hashed_runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What content() needs: prefix sums of h times powers of BASE, and the inverse powers."""
-    one = np.ones(1, np.uint64)
-    up, down = (np.multiply.accumulate(np.append(one, np.full(len(h), x, np.uint64))) for x in (BASE, INVERSE))
+    up, down = powers(1 << len(h).bit_length())
+    up, down = up[: len(h) + 1], down[: len(h) + 1]
     return np.append(np.uint64(0), np.cumsum(h * up[:-1], dtype=np.uint64)), down
 
 
@@ -268,13 +342,14 @@ def windows(docs: DataFrame, t: int, run: int, hashes: int) -> DataFrame:
                 g = content(runs, at, at + span)
                 for k in range(hashes):
                     tokens = g if not k else mixed(g ^ np.uint64(k * 0x5851F42D4C957F2D & 2**64 - 1))
-                    c, l, r = np.array(compact_windows(tokens, run - span + 1), np.int64).reshape(-1, 3).T
+                    c, l, r = window_arrays(tokens, run - span + 1)
                     lo, hi = np.maximum(c - (t - span), 0), np.minimum(c + t, n)
                     # how far c is from the start belongs to the content
-                    around = mixed(content(runs, lo, hi) + (c - lo).astype(np.uint64))
+                    three = content(runs, np.concatenate([lo, np.maximum(c - span + 1, 0), c + span]), np.concatenate([hi, c, np.minimum(c + 2 * span - 1, n)])).reshape(3, -1)
+                    around = mixed(three[0] + (c - lo).astype(np.uint64))
                     one = np.unique(around, return_index=True)[1]
                     c, l, r, around = c[one], l[one], r[one], around[one]
-                    before, behind = content(runs, np.maximum(c - span + 1, 0), c), content(runs, c + span, np.minimum(c + 2 * span - 1, n))
+                    before, behind = three[1:, one]
                     ids.append(np.full(len(c), doc, np.int64))
                     sides = (low(before) << np.uint64(16) | low(behind)).astype(np.uint32).view(np.int32)
                     spot = c << 32 | np.minimum(c - l, t - span) << 16 | np.minimum(r + span - c, t)
@@ -404,7 +479,12 @@ def alike(group: np.ndarray, doc: np.ndarray, h: np.ndarray, before: np.ndarray,
 
     def classes(key: np.ndarray, rows: np.ndarray, again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """rows in order of their keys, where those of each key start, and which of them several trees and documents have."""
-        order = np.argsort(key, kind="stable")
+        # sorting numbers that end in their places is quicker than sorting places; where the rest of the bits is not enough, places it is
+        low = np.uint64((1 << len(key).bit_length()) - 1)
+        packed = np.sort(key & ~low | np.arange(len(key), dtype=np.uint64))
+        order = (packed & low).astype(np.int64)
+        if np.any(((packed[1:] ^ packed[:-1]) <= low) & (key[order[1:]] != key[order[:-1]])):
+            order = np.argsort(key, kind="stable")
         key, rows = key[order], rows[order]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         several = np.ones(len(start), bool)
@@ -609,14 +689,31 @@ def verified(pairs: DataFrame, slices: DataFrame, t: int, similarity: float) ->
     both = salted_join(mine, theirs, ["other_id", "other_lo", "other_hi"], pairs)
     names = [x.split()[0] for x in PASSAGE.split(", ")]
 
+    need = int(np.ceil(2 * similarity * t / (1 + similarity) - 1e-9))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            (a, a_at), (b, b_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("h"), batch.column("g")))
-            for k, (doc, lo, other, other_lo, d) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lo", "other_id", "other_lo", "d")))):
-                for x, y, p, q, s in agreeing(a[a_at[k] : a_at[k + 1]], b[b_at[k] : b_at[k + 1]], t, similarity, *(lo - x - other_lo for x in d)):
-                    out.append((doc, lo + x, y - x + SIZE - 1, other, other_lo + p, q - p + SIZE - 1, round(s, 6)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for n, c in zip(names, zip(*out) if out else [()] * 7)], names)
+            (a, a_at), (b, b_at) = ((c.values.to_numpy(), c.offsets.to_numpy().astype(np.int64)) for c in (batch.column("h"), batch.column("g")))
+            doc, lo, other, other_lo = (np.asarray(batch.column(c)).astype(np.int64) for c in ("doc_id", "lo", "other_id", "other_lo"))
+            k = 0
+            while k < batch.num_rows:
+                # about as many shingles at once as the processor's caches hold
+                to = k + max(1, int(np.searchsorted(a_at[k + 1 :] - a_at[k] + b_at[k + 1 :] - b_at[k], 1 << 17, side="right")))
+                pair, x, y, p, q, s = hulls(a, a_at[k : to + 1], b, b_at[k : to + 1], t, similarity)
+                pair += k
+                fits = (s >= similarity) & (np.minimum(y - x, q - p) >= need)
+                rows = [z[fits] for z in (pair, x, y, p, q, s)]
+                rest = np.flatnonzero(s < similarity)
+                more = []
+                for m, u, v in zip(pair[rest].tolist(), x[rest].tolist(), y[rest].tolist()):
+                    offs = tuple(int(lo[m]) - z - int(other_lo[m]) for z in batch.column("d")[m].as_py())
+                    more += [(m, *z) for z in elsewhere(a[a_at[m] : a_at[m + 1]], b[b_at[m] : b_at[m + 1]], t, similarity, u, v, offs)]
+                if more:
+                    rows = [np.concatenate([z, np.array(w, z.dtype)]) for z, w in zip(rows, zip(*more))]
+                pair, x, y, p, q, s = rows
+                out = [doc[pair], lo[pair] + x, y - x + SIZE - 1, other[pair], other_lo[pair] + p, q - p + SIZE - 1, np.array([round(z, 6) for z in s.tolist()], np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in out], names)
+                k = to
 
     return both.select("doc_id", "lo", "h", "other_id", "other_lo", "g", "d").mapInArrow(run, PASSAGE)
 

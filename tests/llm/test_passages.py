@@ -5,6 +5,30 @@ import numpy as np
 from seamline.llm import passages as p
 
 
+def test_hulls_of_many_pairs_at_once_give_what_agreeing_gives_one_by_one():
+    rng = np.random.default_rng(5)
+    pairs = []
+    for k in range(300):
+        a = rng.integers(0, 1 << 62, int(rng.integers(0, 160))).astype(np.int64)
+        if k % 7 == 0 and len(a):
+            a = a[rng.integers(0, max(1, len(a) // 3), len(a))]
+        b = a[len(a) // 5 :].copy()
+        for at in rng.integers(0, max(1, len(b)), int(rng.integers(0, 5))).tolist():
+            b[at : at + 5] = rng.integers(0, 1 << 62, len(b[at : at + 5]))
+        pairs.append((a, np.concatenate([rng.integers(0, 1 << 62, int(rng.integers(0, 60))), b, b[: 60 * (k % 5 == 0)]])))
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    a_at, b_at = (np.append(0, np.cumsum([len(x) for x in side])) for side in zip(*pairs))
+    for t in (46, 10, 1):
+        need = int(np.ceil(1.6 * t / 1.8 - 1e-9))
+        got = []
+        for k, x, y, u, v, s in zip(*(z.tolist() for z in p.hulls(a, a_at, b, b_at, t, 0.8))):
+            if s < 0.8:
+                got += [(k, *z) for z in p.elsewhere(*pairs[k], t, 0.8, x, y, ())]
+            elif min(y - x, v - u) >= need:
+                got.append((k, x, y, u, v, s))
+        assert sorted(got) == sorted((k, *z) for k, (x, y) in enumerate(pairs) for z in p.agreeing(x, y, t, 0.8))
+
+
 def test_compact_windows_match_brute_force():
     rng = np.random.default_rng(14)
     for n in (0, 3, 4, 5, 17, 60):
