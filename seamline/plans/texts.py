@@ -117,10 +117,11 @@ def dense_search(spark, sf):
 def fused(spark, sf, **filters):
     """All documents, with or without a vector, against the queries with their own vectors:
     the best by hybrid scores times the factors of soft filters."""
-    c, q = lexical(spark, sf)
-    meta = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_no"), F.col("source").alias("doc_type"), F.array("lang").alias("topics"))
-    factors = meta.select("chunk_no", R.soft(F.lit(1.0), **filters).alias("factor"))
-    return B.best_hybrid(c.join(factors, "chunk_no").join(vectors(spark, sf), "chunk_no", "left"), q.join(asked(spark, sf), "query_id", "left"), k=5)
+    meta = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_no"), "text", F.col("source").alias("doc_type"), F.array("lang").alias("topics"))
+    chunks = meta.select("chunk_no", "text", R.soft(F.lit(1.0), **filters).alias("factor"))
+    # texts meet their vectors before they are counted, as terms take more room than texts
+    c, q = lexical(spark, sf, B.bags(chunks.join(vectors(spark, sf), "chunk_no", "left"), "chunk_no"))
+    return B.best_hybrid(c, kept(q.join(asked(spark, sf), "query_id", "left"), "queries"), k=5)
 
 
 V_FUSED = f"""{V_BM25}, v_pair AS (SELECT q.doc_id AS query_id, o.doc_id AS chunk_no, e.embedding IS NOT NULL AS asked, CASE WHEN e.embedding IS NULL OR c.embedding IS NULL THEN 0.0::DOUBLE ELSE list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) END AS dense, coalesce(bm, 0.0::DOUBLE) AS bm, o.lang, o.source
