@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import geometry as G
 from seamline.functions import many_points as M
+from seamline.operators import block_scores as B
 from seamline.operators import near_profiles as C
 from seamline.operators import retrieval as R
 from seamline.operators import similarity as S
@@ -134,3 +135,20 @@ def test_index_without_vectors(spark, tmp_path):
     X.build(path, spark.createDataFrame([(1, "a pore"), (2, None)], "chunk_no long, text string"))
     queries = spark.createDataFrame([(1, "pore")], "query_id int, text string")
     assert [r["chunk_no"] for r in X.search(spark, path, queries).where("score > 0").collect()] == [1]
+
+
+def test_index_is_written_in_packs(spark, tmp_path):
+    """No row for each term of each chunk, and the same terms back, also of chunks that have none."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh 가나", k=rng.randint(0, 60))) for _ in range(400)] + [None, "a"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_no long, text string").repartition(2)
+    path = f"file://{tmp_path}/index"
+    X.build(path, chunks.where("chunk_no % 2 = 0"), buckets=8)
+    X.update(path, chunks.where("chunk_no % 4 = 1"), chunks.where("chunk_no % 10 = 0"))
+    X.update(path, chunks.where("chunk_no % 20 = 0"), chunks.limit(0))
+    expected = {r["chunk_no"]: (r["dl"], list(r["keys"]), list(r["tf"])) for r in B.bags(chunks.where("chunk_no % 4 = 1 or chunk_no % 2 = 0 and (chunk_no % 10 > 0 or chunk_no % 20 = 0)"), "chunk_no").collect()}
+    got = X.bags(spark, path, chunks.withColumnRenamed("chunk_no", "query_id")).collect()
+    assert {r["chunk_no"]: (r["dl"], r["keys"], r["tf"]) for r in got} == expected and len(got) == len(expected)
+    assert X.load(spark, path, "postings").count() < len(expected)
+    some = X.bags(spark, path, spark.createDataFrame([(1, "ab")], "query_id int, text string")).collect()
+    assert len(some) == len(expected) and 0 < sum(len(r["keys"]) for r in some) < sum(len(k) for _, k, _ in expected.values())
